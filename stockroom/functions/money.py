@@ -18,7 +18,7 @@ MONEY_DECIMAL = "decimal(18,2)"
 
 def parse_money(col) -> Column:
     """``'$1,234.56'`` -> 1234.56; unparsable text -> null."""
-    s = F.regexp_replace(as_col(col).cast("string"), r"[$,]", "")
+    s = F.translate(as_col(col).cast("string"), "$,", "")
     return F.when(s.rlike(_NUMERIC), F.trim(s).try_cast("double"))
 
 

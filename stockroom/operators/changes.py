@@ -117,14 +117,16 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
 
     ex_others = [c for c in existing.columns if c != qty]
     es, en = _sum_strict(qty)
-    merged = (tagged.where(F.col("_in").isNotNull()).groupBy(*names).agg(
+    touched = tagged.where(F.col("_in").isNotNull()).groupBy(*names).agg(
         F.min_by(F.struct(*[_c(c) for c in ex_others]), _c(order_col)).alias("_f"),
         es.alias("_eq"), en.alias("_en"), F.max("_iq").alias("_iq"), F.max("_in").alias("_in"))
-        .select(*[F.col("_f")[c].alias(c) for c in ex_others],
-                F.when(F.col("_en") + F.col("_in") > 0, F.lit(None))
-                .otherwise(F.col("_eq") + F.coalesce(F.col("_iq"), F.lit(0))).alias(qty)))
+    merged = touched.select(*[F.col("_f")[c].alias(c) for c in ex_others],
+                            F.when(F.col("_en") + F.col("_in") > 0, F.lit(None))
+                            .otherwise(F.col("_eq") + F.coalesce(F.col("_iq"), F.lit(0))).alias(qty))
 
-    new_keys = inc_agg.join(ex.select(*names), names, "left_anti")
+    # Keys without an existing match: compared with the matched keys (at most
+    # one row per incoming key), not with every key of the existing table.
+    new_keys = inc_agg.join(touched.select(*names), names, "left_anti")
     new = with_row_id(new_keys, ["_arr"], name="_new_no", start=0)
     appended = new.select(
         *[F.col("_inc_first")[c].alias(c) for c in inc_cols],
