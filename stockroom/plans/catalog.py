@@ -18,7 +18,7 @@ from . import bindings as B
 from . import sqlparts as S
 from .dashboard import (clean_table, county_table, phone_bill_by_administration, phone_bill_by_location,
                         storage_by_category, summary_cards, workstation_value_by)
-from .inventory import section_report, with_combined_section
+from .inventory import inventory_summary, maintain_inventory, section_report, with_combined_section
 from .phones import merge_phones, price_phones, price_phones_distinct, prepare_plans
 from ..functions.categories import combine_sections, map_values
 from ..functions.money import annualise, format_money, money_product_sum, money_sum, parse_money
@@ -31,7 +31,8 @@ from ..operators.changes import (append_and_collapse, apply_quantity_events, col
 from ..operators.filters import drop_null, filter_eq, filter_in, filter_two_step, having_gt, validate_items
 from ..operators.joins import left_join_nullsafe, remove_rows, split_matches
 from ..operators.lookup import price_by_rule_table, rules_frame
-from ..operators.ordering import anonymise, append_rows, first_per_key, sort_view, table_page, with_row_id
+from ..operators.ordering import (anonymise, append_rows, first_per_key, rank_groups, sort_view, table_page,
+                                  with_row_id)
 from ..session import scratch_path
 from ..sources.layout import flatten_sections
 from ..sources.readers import read_table
@@ -792,3 +793,116 @@ def q_stream_apply_events(spark, d):
     run_available(stream_apply_events(_event_stream(spark, d), root, "inventory", f"{root}/_checkpoint",
                                       interval=None))
     return snake(read_snapshot(spark, root, "inventory"))
+
+
+# ---------------------------------------------------------------------------
+# Remaining dashboard and inventory views
+# ---------------------------------------------------------------------------
+
+def _ws_share_sql(key: str) -> str:
+    return B.with_ctes("workstations", extra=_WS_CLEAN_SQL) + f"""
+SELECT {snake_name(key)}, estimated_price, round(estimated_price / sum(estimated_price) OVER (), 6) AS share
+FROM (SELECT {S.q(key)} AS {snake_name(key)}, coalesce({S.money_sum('"Estimated Price"')}, 0) AS estimated_price
+      FROM ws_clean WHERE {S.q(key)} IS NOT NULL GROUP BY {S.q(key)})"""
+
+
+@register("workstation_value_by_warehouse", _ws_share_sql("Warehouse"))
+def q_workstation_value_by_warehouse(spark, d):
+    return snake(workstation_value_by(_ws_clean(spark, d), "Warehouse"))
+
+
+@register("workstation_value_by_department", _ws_share_sql("Department"))
+def q_workstation_value_by_department(spark, d):
+    return snake(workstation_value_by(_ws_clean(spark, d), "Department"))
+
+
+@register("county_phone_value", B.with_ctes("phones", "plans", extra=_PHONES_CLEAN_SQL + ","
+                                            + _county_sql("phones_clean", S.money_sum('"Estimated Price"'),
+                                                          "v", '"Location"', True)) + """
+SELECT n_name AS county, coalesce(c.v, 0) AS estimated_price
+FROM nation LEFT JOIN per_county c ON n_name = c.county""")
+def q_county_phone_value(spark, d):
+    t = county_table(_phones_clean(spark, d), B.county_domain(spark, d), "Estimated Price",
+                     B.TEST_COUNTY_OF_LOCATION)
+    return snake(t)
+
+
+# Order of the phone view's rows (the sheet order), then every column as a
+# tie-break, so pseudonyms are assigned identically on both sides.
+_PHONE_VIEW_ORDER = ["Device ID", "Number", "Administration", "Total Charges"]
+_PHONE_VIEW_LOCATION = "NATION_3"
+
+
+@register("explore_phones", B.with_ctes("phones", "plans", extra=_PHONES_CLEAN_SQL) + f"""
+SELECT number, username, equipment_model, device_id, location, administration, storage, monthly_access_charges,
+       usage_charges, equipment_charges, surcharges_and_other_charges_and_credits,
+       taxes_governmental_surcharges_and_fees, third_party_charges_includes_tax, total_charges,
+       estimated_price, annual_phone_bill
+FROM (
+  SELECT "Number" AS number,
+         'User ' || CAST(row_number() OVER (ORDER BY "Device ID" NULLS FIRST, "Number" NULLS FIRST,
+                                                      "Administration" NULLS FIRST, total_charges_num NULLS FIRST,
+                                                      "Username" NULLS FIRST, "Equipment Model" NULLS FIRST,
+                                                      "Location" NULLS FIRST, "Storage" NULLS FIRST) - 1 AS VARCHAR)
+           AS username,
+         "Equipment Model" AS equipment_model, "Device ID" AS device_id, "Location" AS location,
+         CASE "Administration" WHEN 'Y' THEN 'Yes' WHEN 'N' THEN 'No' END AS administration,
+         "Storage" AS storage, "Monthly Access Charges" AS monthly_access_charges, "Usage Charges" AS usage_charges,
+         "Equipment Charges" AS equipment_charges,
+         "Surcharges and Other Charges and Credits" AS surcharges_and_other_charges_and_credits,
+         "Taxes Governmental Surcharges and Fees" AS taxes_governmental_surcharges_and_fees,
+         "Third Party Charges (Includes Tax)" AS third_party_charges_includes_tax,
+         total_charges_num AS total_charges, "Estimated Price" AS estimated_price,
+         "Annual Phone Bill" AS annual_phone_bill
+  FROM phones_clean)
+WHERE location = '{_PHONE_VIEW_LOCATION}'""")
+def q_explore_phones(spark, d):
+    """The phone view as exported: pseudonyms (W2), Yes/No (C8), one
+    location (B6). Columns not in the order list break ties."""
+    ph = _phones_clean(spark, d).select(*MERGED_VIEW_COLUMNS)
+    ph = anonymise(ph, "Username", [*_PHONE_VIEW_ORDER, "Username", "Equipment Model", "Location", "Storage"])
+    ph = ph.withColumn("Administration", map_values(F.col("Administration")))
+    return snake(filter_eq(ph, "Location", _PHONE_VIEW_LOCATION))
+
+
+MERGED_VIEW_COLUMNS = ["Number", "Username", "Equipment Model", "Device ID", "Location", "Administration", "Storage",
+                       "Monthly Access Charges", "Usage Charges", "Equipment Charges",
+                       "Surcharges and Other Charges and Credits", "Taxes Governmental Surcharges and Fees",
+                       "Third Party Charges (Includes Tax)", "Total Charges", "Estimated Price", "Annual Phone Bill"]
+
+
+@register("inventory_summary_value", B.with_ctes("inventory") + f"""
+SELECT combined_section AS combined_section,
+       coalesce({S.money_product_sum('"Quantity"', '"Estimated Price"')}, 0) AS total_price
+FROM (SELECT *, {S.combine('"Section"', GROUPS)} AS combined_section FROM inventory)
+GROUP BY combined_section""")
+def q_inventory_summary_value(spark, d):
+    """P8 with the price measure over all combined sections."""
+    return snake(inventory_summary(B.inventory(spark, d), None, "price", GROUPS))
+
+
+@register("top_sections", B.with_ctes("inventory") + """
+SELECT "Section" AS section, CAST(coalesce(sum("Quantity"), 0) AS BIGINT) AS total_quantity
+FROM inventory GROUP BY "Section" ORDER BY total_quantity DESC, section ASC NULLS FIRST LIMIT 3""")
+def q_top_sections(spark, d):
+    """S2 top-k: the three sections with the most items (the limit is the report)."""
+    g = group_total(B.inventory(spark, d), "Section", "Quantity", "total_quantity")
+    return snake(rank_groups(g, "total_quantity", "Section", top_k=3))
+
+
+@register("inventory_maintenance", B.with_ctes("inventory", "incoming", "qevents",
+                                               extra=_UPSERT_SQL + ",\n" + _APPLY_SQL) + """
+SELECT i."Item" AS item,
+       CAST(CASE WHEN s.net IS NULL THEN i."Quantity" ELSE i."Quantity" + s.net END AS BIGINT) AS quantity,
+       i."Comments" AS comments, i."Section" AS section, i."Estimated Price" AS estimated_price,
+       CAST(i."RowID" AS BIGINT) AS rowid
+FROM upserted i LEFT JOIN s ON i."RowID" = s.row_id
+WHERE NOT coalesce(i."Quantity" + s.fl <= 0, false)""")
+def q_inventory_maintenance(spark, d):
+    """P10: snapshot v1 = existing items; merge the incoming batch (I1) and
+    apply the quantity events (I5); the result is snapshot v2."""
+    root = scratch_path(spark, "maintenance")
+    existing, incoming = B.split_existing_incoming(spark, d)
+    write_snapshot(existing, root, "inventory", version=1)
+    version = maintain_inventory(spark, root, "inventory", incoming=incoming, events=B.quantity_events(spark, d))
+    return snake(read_snapshot(spark, root, "inventory", version=version))
