@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.money import format_money
 from ..functions.text import parse_event
+from ..sources.readers import read_parquet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # Section roll-up used with the test inventory (its sections are part types);

@@ -1,7 +1,7 @@
 """Sources and sinks: CSV exports, table snapshots, GeoJSON domains."""
 
 from .layout import flatten_sections
-from .readers import from_rows, load_table, read_export, read_feature_names, read_table
+from .readers import from_rows, load_table, read_export, read_feature_names, read_parquet, read_table
 from .sinks import (export_name, export_view, read_snapshot, snapshot_versions, write_csv,
                     write_snapshot)
 

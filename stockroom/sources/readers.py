@@ -12,6 +12,12 @@ from pyspark.sql.utils import AnalysisException
 
 log = logging.getLogger("stockroom")
 
+# A single input file in this size range is read by one task (a parquet file
+# splits only at row-group boundaries); ``read_parquet`` spreads it over the
+# session's partitions. Directories and larger files are read as they are.
+FAN_OUT_MIN_BYTES = 1 << 20
+FAN_OUT_MAX_BYTES = 512 << 20
+
 # Text that pandas.read_csv reads as missing by default.
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -76,6 +82,29 @@ def read_export(spark: SparkSession, path: str, header_record: int,
     return _cast(_null_tokens(df, PANDAS_NA_TOKENS), types)
 
 
+def _single_file_bytes(spark: SparkSession, path: str) -> int | None:
+    """Size of ``path`` if it is one file, else None (one status call)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        st = fs.getFileStatus(p)
+    except Exception:  # missing or glob path: let the reader report it
+        return None
+    return st.getLen() if st.isFile() else None
+
+
+def read_parquet(spark: SparkSession, path: str, fan_out: bool = True) -> DataFrame:
+    """Parquet table; a single mid-sized file is spread over the session's
+    shuffle partitions so per-row work does not run in one task."""
+    df = spark.read.parquet(path)
+    if fan_out:
+        size = _single_file_bytes(spark, path)
+        if size is not None and FAN_OUT_MIN_BYTES <= size <= FAN_OUT_MAX_BYTES:
+            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df
+
+
 def load_table(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
     """Named table snapshot (Parquet); a missing table is an empty table of
     ``schema`` plus a warning (A4)."""
