@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import bindings as B
 from . import sqlparts as S
-from .dashboard import (clean_table, county_table, phone_bill_by_administration, phone_bill_by_location,
-                        storage_by_category, summary_cards, workstation_value_by)
+from .dashboard import (clean_table, county_table, export_explored, phone_bill_by_administration,
+                        phone_bill_by_location, storage_by_category, summary_cards, workstation_value_by)
 from .inventory import inventory_summary, maintain_inventory, section_report, with_combined_section
 from .phones import merge_phones, price_phones, price_phones_distinct, prepare_plans
 from ..functions.categories import combine_sections, map_values
@@ -35,7 +35,7 @@ from ..operators.ordering import (anonymise, append_rows, first_per_key, rank_gr
                                   with_row_id)
 from ..session import scratch_path
 from ..sources.layout import flatten_sections
-from ..sources.readers import read_table
+from ..sources.readers import read_export, read_table
 from ..sources.sinks import read_snapshot, write_csv, write_snapshot
 from ..streaming.streams import (file_stream, run_available, stream_apply_events, stream_net_quantity,
                                  stream_summary)
@@ -906,3 +906,55 @@ def q_inventory_maintenance(spark, d):
     write_snapshot(existing, root, "inventory", version=1)
     version = maintain_inventory(spark, root, "inventory", incoming=incoming, events=B.quantity_events(spark, d))
     return snake(read_snapshot(spark, root, "inventory", version=version))
+
+
+# ---------------------------------------------------------------------------
+# Vendor exports with a preamble (A3) and named view exports
+# ---------------------------------------------------------------------------
+
+# Preamble of the test plan exports: five records above the header, one
+# blank line among them, so the header is non-blank record 6.
+_PREAMBLE = ["Wireless account statement,,", "Account,0000-0000,", "", "Period,monthly,", "Company,example,",
+             "Summary,lines follow,"]
+_EXPORT_FILES = 4
+
+
+def write_plan_exports(spark, d, path: str) -> None:
+    """Write the plan lines as vendor-style CSV exports: one file per hash
+    bucket of the plan id, each with the preamble and header on top."""
+    cols = ["plan_id", "Number / User Name", "Cost Center", *B.PLAN_CHARGE_COLUMNS, "Total Charges"]
+    plans = B.plans(spark, d).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    header = ",".join(f'"{c}"' if "," in c else c for c in cols)
+    head = spark.createDataFrame([(i, line) for i, line in enumerate(_PREAMBLE + [header])], "_i int, _line string")
+    top = head.select(F.explode(F.sequence(F.lit(0), F.lit(_EXPORT_FILES - 1))).alias("_b"),
+                      F.lit(0).alias("_kind"), "_i", "_line")
+    data = plans.select(F.pmod(F.xxhash64("plan_id"), F.lit(_EXPORT_FILES)).cast("int").alias("_b"),
+                        F.lit(1).alias("_kind"), F.lit(0).alias("_i"),
+                        F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"escape": '"'}).alias("_line"))
+    (top.unionByName(data).repartition(_EXPORT_FILES, "_b").sortWithinPartitions("_b", "_kind", "_i")
+     .select("_b", "_line").write.partitionBy("_b").text(path))
+
+
+@register("read_export", B.with_ctes("plans") + """
+SELECT plan_id, "Number / User Name" AS number_user_name, "Cost Center" AS cost_center,
+       CASE WHEN "Total Charges" IN ('', 'N/A') THEN NULL ELSE "Total Charges" END AS total_charges
+FROM plans""")
+def q_read_export(spark, d):
+    """A3: plan exports with a preamble read back with the header taken
+    from non-blank record 6 (pandas missing-value tokens -> null)."""
+    path = scratch_path(spark, "plan-exports")
+    write_plan_exports(spark, d, path)
+    back = read_export(spark, f"{path}/_b=*/*.txt", header_record=6, types={"plan_id": "bigint"})
+    return snake(back.select("plan_id", "Number / User Name", "Cost Center", "Total Charges"))
+
+
+@register("export_phone_view", ORACLES["explore_phones"])
+def q_export_phone_view(spark, d):
+    """A8 + A1: the explored phone view written under its derived name and
+    read back."""
+    root = scratch_path(spark, "views")
+    path = export_explored(QUERIES["explore_phones"](spark, d), root, "phone", _PHONE_VIEW_LOCATION)
+    if not path.endswith(f"phone_data_{_PHONE_VIEW_LOCATION}.csv"):
+        raise RuntimeError(f"unexpected export name {path}")
+    types = {"total_charges": "double", "estimated_price": "double", "annual_phone_bill": "double"}
+    return read_table(spark, path, types=types, string_cols=["device_id", "number"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -62,23 +63,71 @@ def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None =
     return _cast(df, types)
 
 
+def _input_files(spark: SparkSession, path: str) -> list[str]:
+    """Files a text read of ``path`` (file, folder or glob) would see."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for st in fs.globStatus(p) or []:
+        children = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
+        out += [c.getPath().toString() for c in children
+                if c.isFile() and not c.getPath().getName().startswith(("_", "."))]
+    return sorted(out)
+
+
+def _header_line(spark: SparkSession, file_path: str, header_record: int) -> tuple[int, str]:
+    """(line index, text) of the ``header_record``-th non-blank line of a
+    file, reading only the lines up to it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(file_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    try:
+        index, seen = -1, 0
+        while True:
+            line = reader.readLine()
+            if line is None:
+                raise ValueError(f"{file_path} has fewer than {header_record} non-blank records")
+            index += 1
+            seen += bool(line.strip())
+            if seen == header_record:
+                return index, line
+    finally:
+        reader.close()
+
+
 def read_export(spark: SparkSession, path: str, header_record: int,
                 types: Mapping[str, str] | None = None) -> DataFrame:
     """CSV export whose real header is non-blank record ``header_record``
     (1-based); the records before it are a preamble and are dropped (A3).
 
-    Only the first ``header_record`` lines reach the driver (the names); the
-    data records are filtered by their index on the executors.
+    The driver reads each file only up to its header line (as Spark's own
+    CSV header handling does); executors drop the lines at or above it in
+    each file's first split, by position in the scan, and parse the rest
+    with ``from_csv``. Blank lines are skipped; quoted line breaks are not
+    supported.
     """
-    lines = spark.sparkContext.textFile(path).filter(lambda s: s.strip() != "").zipWithIndex()
-    k = header_record - 1
-    head = lines.filter(lambda li: li[1] == k).map(lambda li: li[0]).take(1)
-    if not head:
-        return spark.createDataFrame([], StructType([]))
-    header = spark.read.option("escape", '"').csv(spark.sparkContext.parallelize(head)).first()
-    names = [h if h is not None and h != "" else f"_c{i}" for i, h in enumerate(header)]
-    body = lines.filter(lambda li: li[1] > k).map(lambda li: li[0])
-    df = spark.read.option("escape", '"').schema(_string_schema(names)).csv(body)
+    files = _input_files(spark, path)
+    if not files:
+        raise FileNotFoundError(path)
+    cuts = [(f, *_header_line(spark, f, header_record)) for f in files]
+    header = next(csv.reader([cuts[0][2]]))
+    names = [h if h else f"_c{i}" for i, h in enumerate(header)]
+    ddl = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+
+    raw = spark.read.text(path).select(
+        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_m"))
+    # One row per file: the scan id of the file's header line.
+    cut = spark.createDataFrame([(f, i) for f, i, _ in cuts], "_file string, _h long")
+    bounds = (raw.where(F.col("_block") == 0).groupBy("_part", "_file").agg(F.min("_m").alias("_m0"))
+              .join(F.broadcast(cut), "_file").select("_part", "_file", (F.col("_m0") + F.col("_h")).alias("_last")))
+    body = (raw.join(F.broadcast(bounds), ["_part", "_file"], "left")
+            .where((F.col("_block") > 0) | F.col("_last").isNull() | (F.col("_m") > F.col("_last")))
+            .where(~F.col("_line").rlike(r"^\s*$")))
+    df = body.select(F.from_csv(F.col("_line"), ddl, {"escape": '"'}).alias("_r")).select("_r.*")
     return _cast(_null_tokens(df, PANDAS_NA_TOKENS), types)
 
 

@@ -117,3 +117,28 @@ def test_flatten_sections_per_file(spark):
                                "file string, Item string, Quantity long, pos long")
     out = flatten_sections(df, "pos", group_cols=["file"], num_partitions=3)
     assert rows(out, "file", "Item", "Section") == [("a.csv", "x", "S1"), ("b.csv", "y", None), ("b.csv", "z", "S2")]
+
+
+def test_read_export_many_files_and_splits(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "exports")
+    os.makedirs(folder)
+    expected = []
+    for f in range(3):
+        lines = ["Report for account,,", "", f"Generated,{f},", "Name,Cost Center,Total"]
+        for i in range(200):
+            lines.append(f"u{f}-{i},C{i % 3},\"${i},000.00\"")
+            expected.append((f"u{f}-{i}", f"C{i % 3}", f"${i},000.00"))
+            if i % 50 == 0:
+                lines.append("")
+        _write(os.path.join(folder, f"part{f}.csv"), "\n".join(lines) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        df = read_export(spark, folder, header_record=3)
+        assert df.columns == ["Name", "Cost Center", "Total"]
+        assert spark.read.text(folder).rdd.getNumPartitions() > 6
+        assert rows(df) == sorted(expected, key=lambda t: tuple((x is None, str(x)) for x in t))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
