@@ -60,7 +60,9 @@ def price_by_rules(col, rules: Sequence[tuple[str, float]] = DEFAULT_PRICE_RULES
     equi-join instead of one regex test per rule and row.
     """
     up = F.upper(as_col(col))
-    return when_chain(((up.rlike(keyword_pattern(k.upper())), F.lit(p)) for k, p in rules),
+    # A whole-word match implies plain containment; the cheap test runs first
+    # and the regex only on texts that contain the keyword.
+    return when_chain(((up.contains(k.upper()) & up.rlike(keyword_pattern(k.upper())), F.lit(p)) for k, p in rules),
                       otherwise=F.lit(default), use_otherwise=True)
 
 

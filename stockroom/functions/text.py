@@ -49,10 +49,10 @@ def split_phone(col) -> tuple[Column, Column]:
     user name may be '' on a match.
     """
     c = as_col(col)
-    hit = c.rlike(PHONE_PATTERN)
-    number = F.when(hit, F.regexp_extract(c, PHONE_PATTERN, 1))
-    name = F.when(hit, F.regexp_extract(c, PHONE_PATTERN, 2))
-    return number, name
+    # Group 1 is never empty on a match, so it doubles as the match test.
+    found = F.regexp_extract(c, PHONE_PATTERN, 1)
+    hit = found != ""
+    return F.when(hit, found), F.when(hit, F.regexp_extract(c, PHONE_PATTERN, 2))
 
 
 def dashes_to_dots(col) -> Column:

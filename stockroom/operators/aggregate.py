@@ -52,17 +52,22 @@ def group_count(df: DataFrame, key, name: str = "n", drop_null_keys: bool = True
 def summary_totals(tables: Mapping[str, tuple[DataFrame, str]], money: bool = True) -> DataFrame:
     """One (metric, value) row per non-empty table (G4, with B11).
 
-    ``tables`` maps a metric name to (table, value column). An empty table
-    yields no row rather than 0; the emptiness test is part of the plan
+    ``tables`` maps a metric name to (table, value column). Metrics over the
+    same table share one aggregate (one scan), unpivoted to rows. An empty
+    table yields no row rather than 0; the emptiness test is part of the plan
     (``count > 0``), not a driver-side probe.
     """
-    parts = []
+    by_table: dict[int, tuple[DataFrame, list[tuple[str, str]]]] = {}
     for metric, (df, value) in tables.items():
-        parts.append(
-            df.agg(F.coalesce(_sum(value, money), F.lit(0)).cast("double").alias("value"),
-                   F.count(F.lit(1)).alias("_rows"))
-            .where(F.col("_rows") > 0)
-            .select(F.lit(metric).alias("metric"), "value"))
+        by_table.setdefault(id(df), (df, []))[1].append((metric, value))
+    parts = []
+    for df, items in by_table.values():
+        sums = [F.coalesce(_sum(value, money), F.lit(0)).cast("double").alias(f"_v{i}")
+                for i, (_, value) in enumerate(items)]
+        one = df.agg(*sums, F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 0)
+        pairs = F.array(*[F.struct(F.lit(metric).alias("metric"), F.col(f"_v{i}").alias("value"))
+                          for i, (metric, _) in enumerate(items)])
+        parts.append(one.select(F.explode(pairs).alias("_m")).select("_m.metric", "_m.value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
