@@ -118,20 +118,27 @@ PLAN_CHARGE_COLUMNS = ["Monthly Access Charges", "Usage Charges", "Equipment Cha
 
 
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw phone plan lines from ``orders``: number and user in one text,
-    cost centre, charges as money text with 'N/A' and '' mixed in."""
+    """Raw phone plan lines: one per order (number and user in one text,
+    cost centre, charges as money text with 'N/A' and '' mixed in), plus one
+    account-summary line without a number per nation, as a vendor export
+    carries. Null numbers on this side stay bounded by the nation table, so
+    the null-safe merge does not grow with the square of the data."""
     o = table(spark, sf_dir, "orders")
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
     num = _dotted_number("o_custkey", "-")
-    text = (F.when(F.col("o_totalprice") < 2000, F.concat(F.lit("Account summary "), _s("o_orderkey")))
-            .when((st == "P") & (pr == "1-URGENT"), num)
+    text = (F.when((st == "P") & (pr == "1-URGENT"), num)
             .otherwise(F.concat(num, F.lit("  User "), _s("o_custkey"))))
     total = (F.when((st == "F") & (pr == "4-NOT SPECIFIED"), F.lit("N/A"))
              .when((st == "O") & (pr == "5-LOW"), F.lit(""))
              .otherwise(format_money(F.col("o_totalprice"))))
     charges = [F.lit("$40.00" if c == "Monthly Access Charges" else "$0.00").alias(c) for c in PLAN_CHARGE_COLUMNS]
-    return o.select(F.col("o_orderkey").alias("plan_id"), text.alias("Number / User Name"),
-                    pr.alias("Cost Center"), *charges, total.alias("Total Charges"))
+    lines = o.select(F.col("o_orderkey").alias("plan_id"), text.alias("Number / User Name"),
+                     pr.alias("Cost Center"), *charges, total.alias("Total Charges"))
+    n = table(spark, sf_dir, "nation")
+    summary = n.select((-(F.col("n_nationkey").cast("bigint") + 1)).alias("plan_id"),
+                       F.concat(F.lit("Account summary "), F.col("n_name")).alias("Number / User Name"),
+                       F.lit("SUMMARY").alias("Cost Center"), *charges, F.lit("N/A").alias("Total Charges"))
+    return lines.unionByName(summary)
 
 
 def workstations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +229,7 @@ phones AS (
     "plans": f"""
 plans AS (
   SELECT o_orderkey AS plan_id,
-         CASE WHEN o_totalprice < 2000 THEN 'Account summary ' || CAST(o_orderkey AS VARCHAR)
-              WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN {_sql_dotted('o_custkey', '-')}
+         CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' THEN {_sql_dotted('o_custkey', '-')}
               ELSE {_sql_dotted('o_custkey', '-')} || '  User ' || CAST(o_custkey AS VARCHAR) END
            AS "Number / User Name",
          o_orderpriority AS "Cost Center",
@@ -234,7 +240,11 @@ plans AS (
          CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '4-NOT SPECIFIED' THEN 'N/A'
               WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN ''
               ELSE {SQL_MONEY.format(x='o_totalprice')} END AS "Total Charges"
-  FROM orders)""",
+  FROM orders
+  UNION ALL
+  SELECT -(CAST(n_nationkey AS BIGINT) + 1), 'Account summary ' || n_name, 'SUMMARY',
+         '$40.00', '$0.00', '$0.00', '$0.00', '$0.00', '$0.00', 'N/A'
+  FROM nation)""",
     "workstations": f"""
 workstations AS (
   SELECT l_orderkey, l_linenumber, 'Device ' || l_returnflag AS "Device", n_name AS "Warehouse",
