@@ -30,8 +30,9 @@ def enrich_distinct(df: DataFrame, key: str, out_col: str, *,
 
     Exactly one source: ``fn`` (a pandas Series -> Series function, run
     batch-wise by ``mapInPandas`` over the distinct keys only), ``expr`` (a
-    column expression), or ``table`` (an existing key -> value table). Rows
-    whose key gets no value receive ``default``. A null key is a key too.
+    column expression), or ``table`` (an existing key -> value table with one
+    row per key, like the dict it stands for). Rows whose key gets no value
+    receive ``default``. A null key is a key too.
     """
     if sum(x is not None for x in (fn, expr, table)) != 1:
         raise ValueError("give exactly one of fn, expr, table")
@@ -68,7 +69,6 @@ def price_by_rule_table(df: DataFrame, model_col: str, rules: DataFrame, out_col
     a later one. Those spans (at most runs x longest keyword) are joined to
     the rule table by equality; the lowest priority wins.
     """
-    spark = df.sparkSession
     r = rules.select(F.upper("keyword").alias("keyword"), "priority", F.col("price").cast("double").alias("price"))
     stats = r.agg(F.count(F.lit(1)).alias("n"),
                   F.max(F.size(F.split("keyword", _RUN_SPLIT))).alias("runs"),

@@ -67,7 +67,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """The session's shuffle partition count (the cluster's choice), falling
+    back to its default parallelism when that setting is not a number."""
+    value = spark.conf.get("spark.sql.shuffle.partitions", None)
+    try:
+        return max(1, int(value))
+    except (TypeError, ValueError):
+        return max(1, spark.sparkContext.defaultParallelism)
 
 
 def env_flag(name: str, default: bool = False) -> bool:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
+from ..session import default_parallelism
+
 log = logging.getLogger("stockroom")
 
 # A single input file in this size range is read by one task (a parquet file
@@ -143,14 +145,16 @@ def _single_file_bytes(spark: SparkSession, path: str) -> int | None:
     return st.getLen() if st.isFile() else None
 
 
-def read_parquet(spark: SparkSession, path: str, fan_out: bool = True) -> DataFrame:
-    """Parquet table; a single mid-sized file is spread over the session's
-    shuffle partitions so per-row work does not run in one task."""
+def read_parquet(spark: SparkSession, path: str, fan_out: bool = False) -> DataFrame:
+    """Parquet table. With ``fan_out``, a single mid-sized file is spread
+    over the session's shuffle partitions, for per-row work that would
+    otherwise run in one task before the first shuffle; folders and large
+    files are read as they are (their splits already spread the work)."""
     df = spark.read.parquet(path)
     if fan_out:
         size = _single_file_bytes(spark, path)
         if size is not None and FAN_OUT_MIN_BYTES <= size <= FAN_OUT_MAX_BYTES:
-            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+            df = df.repartition(default_parallelism(spark))
     return df
 
 
