@@ -9,7 +9,7 @@ from stockroom.operators import (anonymise, append_rows, complete_domain, distin
                                  next_row_id, price_by_rule_table, remove_rows, rename, rollup_to, rules_frame,
                                  select_columns, share_of_total, sort_view, split_matches, summary_totals,
                                  table_page, validate_items, with_row_id)
-from stockroom.functions import map_or_self, price_by_rules
+from stockroom.functions import map_or_self
 
 from conftest import rows
 

@@ -4,7 +4,6 @@ import datetime as dt
 import json
 import os
 
-from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from stockroom.sources import (export_name, export_view, flatten_sections, load_table, read_export,
