@@ -182,3 +182,36 @@ def test_append_rows(spark):
     a = spark.createDataFrame([("x", 1)], "Item string, RowID long")
     b = spark.createDataFrame([("y", 9)], "Item string, seq long")
     assert rows(append_rows(a, b)) == [("x", 1, None), ("y", None, 9)]
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_PIECES = ["S20", "S21", "FE", "PLUS", "13", "14", "MINI", "XR", "6S", "A54", "JETPACK", "MIFI", "8800L", "XCOVER",
+           "PRO", "GS20", "galaxy", "iphone", "x13", "130", "fe"]
+_SEPS = [" ", "  ", "+", "-", "/", "(", ")", "_", "", ".", "\t"]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.tuples(st.sampled_from(_PIECES), st.sampled_from(_SEPS)), min_size=0, max_size=6),
+                min_size=1, max_size=40))
+def test_rule_table_equals_rules_on_random_models(spark, models):
+    from stockroom.functions import estimate_price
+    texts = ["".join(p + s for p, s in m) for m in models]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, m string")
+    a = price_by_rule_table(df, "m", rules_frame(spark), "p")
+    b = df.withColumn("p", estimate_price(F.col("m")).cast("double"))
+    assert rows(a, "i", "p") == rows(b, "i", "p")
+    assert rows(b, "i", "p") == sorted((i, _brute_price(t)) for i, t in enumerate(texts))
+
+
+def _brute_price(text):
+    """Independent statement of the rule semantics: clean the model, upper
+    case, first keyword found as a whole word wins, else 0."""
+    import re
+    from stockroom.functions.pricing import DEFAULT_PRICE_RULES
+    model = text.replace("GS", "S").strip(" \t\r\n").upper()
+    for keyword, price in DEFAULT_PRICE_RULES:
+        if re.search(r"\b" + re.escape(keyword) + r"\b", model):
+            return float(price)
+    return 0.0
