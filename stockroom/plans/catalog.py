@@ -34,7 +34,7 @@ from ..operators.ordering import (anonymise, append_rows, first_per_key, rank_gr
                                   with_row_id)
 from ..session import scratch_path
 from ..sources.layout import flatten_sections
-from ..sources.readers import read_export, read_table
+from ..sources.readers import read_export, read_feature_names, read_table
 from ..sources.sinks import read_snapshot, write_csv, write_snapshot
 from ..streaming.streams import (file_stream, run_available, stream_apply_events, stream_net_quantity,
                                  stream_summary)
@@ -957,3 +957,36 @@ def q_export_phone_view(spark, d):
         raise RuntimeError(f"unexpected export name {path}")
     types = {"total_charges": "double", "estimated_price": "double", "annual_phone_bill": "double"}
     return read_table(spark, path, types=types, string_cols=["device_id", "number"])
+
+
+# ---------------------------------------------------------------------------
+# GeoJSON county domain (A5)
+# ---------------------------------------------------------------------------
+
+def write_feature_collection(spark, d, path: str) -> None:
+    """Write the county domain (the nation table: bounded by the dimension,
+    not by the data) as one GeoJSON FeatureCollection document."""
+    features = B.table(spark, d, "nation").select(F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col("n_name").alias("name")).alias("properties")).alias("f"))
+    doc = features.agg(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))
+    doc.coalesce(1).write.json(path)
+
+
+@register("feature_names", """
+SELECT n_name AS county FROM nation""")
+def q_feature_names(spark, d):
+    """A5: ``features[].properties.name`` of a GeoJSON file as the county list."""
+    path = scratch_path(spark, "geojson")
+    write_feature_collection(spark, d, path)
+    return read_feature_names(spark, path, name="county")
+
+
+@register("drop_null", f"""
+SELECT p_name AS item, CAST(p_size AS BIGINT) AS quantity, p_brand AS comments,
+       {_SECNO_SQL} * {_BLOCK} + p_partkey + 1 AS pos
+FROM part""")
+def q_drop_null(spark, d):
+    """The sheet layout without its divider rows (null quantity)."""
+    rows_only = drop_null(sheet_with_dividers(spark, d), "Quantity")
+    return rows_only.select(F.col("Item").alias("item"), F.col("Quantity").alias("quantity"),
+                            F.col("Comments").alias("comments"), "pos")

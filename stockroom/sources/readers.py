@@ -169,10 +169,14 @@ def load_table(spark: SparkSession, root: str, name: str, schema: StructType) ->
         return spark.createDataFrame([], schema)
 
 
+# The part of a GeoJSON FeatureCollection that is read (no inference pass).
+_FEATURES_SCHEMA = "features array<struct<properties: struct<name: string>>>"
+
+
 def read_feature_names(spark: SparkSession, path: str, name: str = "County") -> DataFrame:
     """``features[].properties.name`` of a GeoJSON file as a one-column
     domain table (A5)."""
-    raw = spark.read.option("multiLine", True).json(path)
+    raw = spark.read.schema(_FEATURES_SCHEMA).option("multiLine", True).json(path)
     return raw.select(F.explode("features").alias("f")).select(F.col("f.properties.name").alias(name))
 
 
