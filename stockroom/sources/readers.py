@@ -21,6 +21,10 @@ log = logging.getLogger("stockroom")
 FAN_OUT_MIN_BYTES = 1 << 20
 FAN_OUT_MAX_BYTES = 512 << 20
 
+# Exports of up to this many files join their per-file header positions by
+# broadcast; more files use a shuffled join.
+EXPORT_BROADCAST_MAX_FILES = 100_000
+
 # Text that pandas.read_csv reads as missing by default.
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -124,9 +128,11 @@ def read_export(spark: SparkSession, path: str, header_record: int,
         F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_m"))
     # One row per file: the scan id of the file's header line.
     cut = spark.createDataFrame([(f, i) for f, i, _ in cuts], "_file string, _h long")
+    # One row per file, counted on the driver: broadcast below the bound.
+    small = (lambda t: F.broadcast(t)) if len(files) <= EXPORT_BROADCAST_MAX_FILES else (lambda t: t)
     bounds = (raw.where(F.col("_block") == 0).groupBy("_part", "_file").agg(F.min("_m").alias("_m0"))
-              .join(F.broadcast(cut), "_file").select("_part", "_file", (F.col("_m0") + F.col("_h")).alias("_last")))
-    body = (raw.join(F.broadcast(bounds), ["_part", "_file"], "left")
+              .join(small(cut), "_file").select("_part", "_file", (F.col("_m0") + F.col("_h")).alias("_last")))
+    body = (raw.join(small(bounds), ["_part", "_file"], "left")
             .where((F.col("_block") > 0) | F.col("_last").isNull() | (F.col("_m") > F.col("_last")))
             .where(~F.col("_line").rlike(r"^\s*$")))
     df = body.select(F.from_csv(F.col("_line"), ddl, {"escape": '"'}).alias("_r")).select("_r.*")
