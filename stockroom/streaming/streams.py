@@ -79,7 +79,11 @@ def stream_apply_events(events: DataFrame, root: str, name: str, checkpoint: str
         versions = snapshot_versions(spark, root, name)
         if target in versions:
             return
-        base_version = max(v for v in versions if v < target)
+        earlier = [v for v in versions if v < target]
+        if not earlier:
+            raise FileNotFoundError(f"no snapshot of {name} under {root} before version {target}; "
+                                    "write the starting table as version 0")
+        base_version = max(earlier)
         current = read_snapshot(spark, root, name, version=base_version)
         write_snapshot(apply_quantity_events(current, batch, id_col=id_col, order_cols=order_cols),
                        root, name, version=target)
