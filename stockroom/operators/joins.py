@@ -24,30 +24,42 @@ def _c(name: str):
 
 
 def left_join_nullsafe(left: DataFrame, right: DataFrame, key: str, right_key: str | None = None,
-                       null_safe: bool = True, warn_null_pairs: int | None = None) -> DataFrame:
+                       null_safe: bool = True, skew_safe: bool = True,
+                       warn_null_pairs: int | None = None) -> DataFrame:
     """Left outer equi-join on ``key``; right duplicates multiply rows.
 
     ``null_safe=True`` (default, the pandas merge rule) lets a null key match
-    a null key; ``False`` gives SQL semantics. Spark plans the null-safe
-    condition as a hash-partitioned equi-join on (coalesce(key), isnull(key)),
-    and AQE's skew handling splits the left side of a hot key, null included.
-    Non-key columns present on both sides are an error rather than suffixed.
-    ``warn_null_pairs`` counts null keys on both sides (one extra aggregate
-    each) and logs a warning when their product exceeds it.
+    a null key; ``False`` gives SQL semantics. Non-key columns present on
+    both sides are an error rather than suffixed.
+
+    A left outer join lets AQE split only the left side of a hot key. With
+    ``skew_safe`` (default) it is written as an inner join (AQE can split a
+    hot key on either side) plus the left rows whose key has no match (an
+    anti join against the right keys, deduplicated map-side), which is the
+    same result. ``warn_null_pairs`` counts null keys on both sides (one
+    extra aggregate each) and logs a warning when their product exceeds it.
     """
     right_key = right_key or key
     clash = (set(left.columns) & set(right.columns)) - {key, right_key}
     if clash:
         raise ValueError(f"non-key columns on both sides: {sorted(clash)}")
     r = right.withColumnRenamed(right_key, "_rk")
-    lk, rk = left[f"`{key}`"], r["_rk"]
     if null_safe and warn_null_pairs is not None:
-        nl = left.where(lk.isNull()).count()
+        nl = left.where(left[f"`{key}`"].isNull()).count()
         nr = right.where(F.col(f"`{right_key}`").isNull()).count()
         if nl * nr > warn_null_pairs:
             log.warning("null-key match will emit %d x %d rows", nl, nr)
-    cond = lk.eqNullSafe(rk) if null_safe else lk == rk
-    return left.join(r, cond, "left").drop("_rk")
+
+    def cond(rk):
+        lk = left[f"`{key}`"]
+        return lk.eqNullSafe(rk) if null_safe else lk == rk
+
+    if not skew_safe:
+        return left.join(r, cond(r["_rk"]), "left").drop("_rk")
+    matched = left.join(r, cond(r["_rk"]), "inner").drop("_rk")
+    keys = r.select("_rk").distinct()
+    unmatched = left.join(keys, cond(keys["_rk"]), "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def complete_domain(domain: DataFrame, agg: DataFrame, key: str, value: str, default=0) -> DataFrame:
@@ -76,8 +88,8 @@ def split_matches(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]
     """
     ex, names = _with_match_keys(existing, keys, collapse_inner)
     inc, _ = _with_match_keys(incoming, keys, collapse_inner)
-    ex_keys = ex.select(*names)
-    inc_keys = inc.select(*names)
+    ex_keys = ex.select(*names).distinct()
+    inc_keys = inc.select(*names).distinct()
     touched = ex.join(inc_keys, names, "left_semi").drop(*names)
     found = inc.join(ex_keys, names, "left_semi").drop(*names)
     new = inc.join(ex_keys, names, "left_anti").drop(*names)
