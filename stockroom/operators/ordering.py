@@ -49,8 +49,11 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
     n = num_partitions or default_parallelism(df.sparkSession)
     order = [as_col(c) for c in order_cols]
     order_names = [c for c in order_cols if isinstance(c, str)]
-    ranged = (df.repartitionByRange(n, *order)
-              .sortWithinPartitions(*order, *_orderable(df, order_names))
+    full = [*order, *_orderable(df, order_names)]
+    # Ranges over the full order, so rows sharing a hot order value can land
+    # in several partitions instead of one.
+    ranged = (df.repartitionByRange(n, *full)
+              .sortWithinPartitions(*full)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
     if persist:
@@ -92,9 +95,16 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence) -> D
         *[F.col(f"`{c}`") for c in df.columns])
 
 
-def sort_view(df: DataFrame, keys: Sequence[str] = ("Section", "Item")) -> DataFrame:
-    """Sort by text keys ascending, nulls last."""
-    return df.orderBy(*[F.asc_nulls_last(F.col(f"`{k}`")) for k in keys])
+def sort_view(df: DataFrame, keys: Sequence[str] = ("Section", "Item"),
+              tiebreak: Sequence[str] | None = None) -> DataFrame:
+    """Sort by text keys ascending, nulls last.
+
+    Ties are broken by ``tiebreak`` (the row position, for R's stable sort)
+    or else by the remaining columns: the global sort then ranges over
+    distinct values, so one hot (Section, Item) is not sorted by one task.
+    """
+    rest = [F.col(f"`{c}`") for c in tiebreak] if tiebreak is not None else _orderable(df, keys)
+    return df.orderBy(*[F.asc_nulls_last(F.col(f"`{k}`")) for k in keys], *rest)
 
 
 def rank_groups(df: DataFrame, measure: str, key: str, top_k: int | None = None) -> DataFrame:

@@ -530,7 +530,7 @@ def q_table_page(spark, d):
 @register("sort_view", B.with_ctes("inventory") + f"""
 SELECT {INV_COLS} FROM inventory ORDER BY "Section" NULLS LAST, "Item" NULLS LAST""")
 def q_sort_view(spark, d):
-    return snake(sort_view(B.inventory(spark, d)))
+    return snake(sort_view(B.inventory(spark, d), tiebreak=["RowID"]))
 
 
 @register("append_rows", B.with_ctes("inventory", "incoming") + """
