@@ -972,13 +972,15 @@ def write_feature_collection(spark, d, path: str) -> None:
     doc.coalesce(1).write.json(path)
 
 
-@register("feature_names", """
-SELECT n_name AS county FROM nation""")
+@register("feature_names", ORACLES["county_phone_counts"])
 def q_feature_names(spark, d):
-    """A5: ``features[].properties.name`` of a GeoJSON file as the county list."""
+    """A5 + P6: the county list read from a GeoJSON FeatureCollection
+    (``features[].properties.name``), completed with phone counts per
+    county from the customer table."""
     path = scratch_path(spark, "geojson")
     write_feature_collection(spark, d, path)
-    return read_feature_names(spark, path, name="county")
+    domain = read_feature_names(spark, path, name="County")
+    return snake(county_table(B.phones(spark, d), domain, None, B.TEST_COUNTY_OF_LOCATION))
 
 
 @register("drop_null", f"""
