@@ -5,14 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.categories import DEFAULT_COUNTY_OF_LOCATION, YES_NO_LABELS, map_or_self, map_values
 from ..functions.money import annualise, format_money, line_value, parse_money_column
 from ..operators.aggregate import group_count, group_total, rollup_to, share_of_total, summary_totals
 from ..operators.filters import ALL, drop_columns, filter_eq, filter_two_step
 from ..operators.joins import complete_domain
+from ..sources.readers import load_table
 from ..sources.sinks import export_view
 
 # The workstation filter columns offered by the explorer.
@@ -102,3 +105,33 @@ def explore_workstations(df: DataFrame, column: str = ALL, value=ALL) -> DataFra
 
 def export_explored(df: DataFrame, root: str, kind: str, label: str = ALL, category: str | None = None) -> str:
     return export_view(df, root, kind, label=label, category=category)
+
+
+def load_dashboard(spark, root: str, names: Mapping[str, str], schemas: Mapping[str, StructType]) -> dict:
+    """P4 for the dashboard: load each named table snapshot (a missing one
+    is an empty table of its schema, A4), clean it, and persist it once;
+    every panel below is a separate action over these."""
+    return {role: clean_table(load_table(spark, root, name, schemas[role])).persist(StorageLevel.MEMORY_AND_DISK)
+            for role, name in names.items()}
+
+
+def dashboard_tables(tables: Mapping[str, DataFrame], domain: DataFrame,
+                     mapping: Mapping[str, str] = DEFAULT_COUNTY_OF_LOCATION) -> dict[str, DataFrame]:
+    """The summary cards, the breakdowns with shares, and the
+    county tables, from cleaned ``storage``, ``phones`` and ``workstations``
+    tables (any may be absent)."""
+    storage, phones, ws = tables.get("storage"), tables.get("phones"), tables.get("workstations")
+    out = {"cards": summary_cards(storage, phones, ws)}
+    if storage is not None and "Total Value" in storage.columns:
+        out["storage_by_category"] = storage_by_category(storage)
+    if phones is not None:
+        out["phone_bill_by_location"] = phone_bill_by_location(phones)
+        out["phone_bill_by_administration"] = phone_bill_by_administration(phones)
+        out["county_phone_count"] = county_table(phones, domain, None, mapping)
+        out["county_annual_bill"] = county_table(phones, domain, "Annual Phone Bill", mapping)
+        out["county_phone_value"] = county_table(phones, domain, "Estimated Price", mapping)
+    if ws is not None:
+        for key in WORKSTATION_FILTERS:
+            out[f"workstation_value_by_{key.lower()}"] = workstation_value_by(ws, key)
+        out["county_workstation_value"] = county_table(ws, domain, "Estimated Price", mapping)
+    return out

@@ -84,3 +84,28 @@ def test_maintain_inventory_versions(spark, tmp_dir):
     assert v == 2
     assert rows(read_snapshot(spark, tmp_dir, "inventory")) == [("dock", 3, None, "Laptops", 1),
                                                               ("pen", 3, None, "Other", 2)]
+
+
+def test_dashboard_from_snapshots(spark, tmp_dir):
+    from stockroom.plans.dashboard import dashboard_tables, load_dashboard
+    storage = spark.createDataFrame([("a", 2, "Laptops", "Laptops & Accessories", "$10.50", 1)],
+                                    "Item string, Quantity long, Section string, Combined_Section string, "
+                                    "`Estimated Price` string, RowID long")
+    storage.write.parquet(f"{tmp_dir}/TechInventory")
+    phones = spark.createDataFrame([("Columbia", "Y", "$100.00", 300.0), ("Charleston", "N", "$1,000.00", 0.0)],
+                                   "Location string, Administration string, `Total Charges` string, "
+                                   "`Estimated Price` double")
+    phones.write.parquet(f"{tmp_dir}/FullPhones")
+    schemas = {"storage": storage.schema, "phones": phones.schema,
+               "workstations": spark.createDataFrame([], "Device string, Warehouse string, Department string, "
+                                                         "`Estimated Price` string").schema}
+    names = {"storage": "TechInventory", "phones": "FullPhones", "workstations": "StationaryTech"}
+    tables = load_dashboard(spark, tmp_dir, names, schemas)
+    assert tables["workstations"].count() == 0      # missing table: empty, panels skip it
+    domain = spark.createDataFrame([("Richland",), ("Charleston",), ("Aiken",)], "County string")
+    out = dashboard_tables(tables, domain)
+    cards = {r["metric"]: r["value"] for r in out["cards"].collect()}
+    assert cards == {"Total Storage Value": 21.0, "Total Phone Value": 300.0, "Total Annual Phone Bills": 13200.0}
+    assert rows(out["county_annual_bill"]) == [("Aiken", 0.0), ("Charleston", 12000.0), ("Richland", 1200.0)]
+    assert rows(out["phone_bill_by_administration"]) == [("No", 12000.0, 0.909091), ("Yes", 1200.0, 0.090909)]
+    assert rows(out["workstation_value_by_device"]) == []
