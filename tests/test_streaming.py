@@ -77,3 +77,21 @@ def test_stream_apply_events_replay_is_idempotent(spark, tmp_dir):
                                       root, "inventory", os.path.join(tmp_dir, "ck2"), interval=None))
     assert rows(read_snapshot(spark, root, "inventory")) == first
     assert first == [("a", 5, 1), ("b", 4, 2), ("c", 5, 3)]
+
+
+def test_stream_summary_refreshes_as_files_arrive(spark, tmp_dir):
+    src = os.path.join(tmp_dir, "inv")
+    os.makedirs(src)
+    schema = spark.createDataFrame([], INV).schema
+    spark.createDataFrame([("a", 1, 1)], INV).write.parquet(os.path.join(src, "batch1"))
+    stream = file_stream(spark, os.path.join(src, "*"), schema)
+    q = stream_summary(stream, "Item", "Quantity", tmp_dir, "summary", os.path.join(tmp_dir, "ck"),
+                       interval="1 second")
+    try:
+        q.processAllAvailable()
+        assert rows(read_snapshot(spark, tmp_dir, "summary")) == [("a", 1)]
+        spark.createDataFrame([("a", 2, 2), ("b", 5, 3)], INV).write.parquet(os.path.join(src, "batch2"))
+        q.processAllAvailable()
+        assert rows(read_snapshot(spark, tmp_dir, "summary")) == [("a", 3), ("b", 5)]
+    finally:
+        q.stop()
