@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from ..functions._util import as_col
-from ..session import default_parallelism
+from ..session import default_parallelism, ensure_checkpoint_dir
 
 # monotonically_increasing_id() = partition index << 33 | position in partition
 _POS_MASK = (1 << 33) - 1
@@ -38,13 +38,16 @@ def with_chunks(df: DataFrame, keys: Sequence, order_cols: Sequence, name: str =
 
 
 def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start: int = 1,
-                num_partitions: int | None = None, persist: bool = True) -> DataFrame:
+                num_partitions: int | None = None, persist: bool = True, checkpoint: bool = False) -> DataFrame:
     """Dense global index in ``order_cols`` order, starting at ``start``.
 
     Two passes and no single-task step: range-partition and sort, count rows
     per partition (one row per partition), turn the counts into offsets, and
-    add each row's position in its partition. Remaining columns break ties,
-    so a recomputed partition (lost executor) gets the same ids.
+    add each row's position in its partition. Both passes must see the same
+    partitions: the sorted input is persisted (a lost block is recomputed
+    from the same range exchange, and remaining columns break ties, so it
+    gets the same ids), or with ``checkpoint`` written once to the shared
+    ``spark.checkpoint.dir``, which also cuts the lineage.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
     order = [as_col(c) for c in order_cols]
@@ -56,7 +59,10 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
               .sortWithinPartitions(*full)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
-    if persist:
+    if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
+        ranged = ranged.checkpoint(eager=True)
+    elif persist:
         ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # At most one row per partition: a bounded table, safe to order globally

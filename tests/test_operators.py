@@ -156,6 +156,12 @@ def test_with_row_id_dense_for_any_partitioning(spark, parts):
     assert [r[:2] for r in sorted(got, key=lambda t: t[2])] == sorted(r[:2] for r in got)
 
 
+def test_with_row_id_checkpointed(spark):
+    df = spark.range(0, 100, 1, numPartitions=3).select((F.col("id") * 37 % 100).alias("k"))
+    out = with_row_id(df, ["k"], name="rid", start=1, num_partitions=4, checkpoint=True)
+    assert sorted((r["k"], r["rid"]) for r in out.collect()) == [(k, k + 1) for k in range(100)]
+
+
 def test_anonymise(spark):
     df = spark.createDataFrame([(3, "Ann"), (1, "Bob"), (2, "Ann")], "id long, Username string")
     assert rows(anonymise(df, "Username", ["id"])) == [(1, "User 0"), (2, "User 1"), (3, "User 2")]
