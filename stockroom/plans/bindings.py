@@ -89,7 +89,8 @@ def incoming_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_existing_incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Even part keys form the existing table, odd ones the incoming batch."""
+    """Even part keys form the existing table, odd ones the incoming batch:
+    the two halves together use every part row (a role split, not a sample)."""
     existing = inventory(spark, sf_dir).where((F.col("RowID") - 1) % 2 == 0)
     incoming = incoming_items(spark, sf_dir).where(F.col("seq") % 2 == 1)
     return existing, incoming
