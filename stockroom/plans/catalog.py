@@ -32,7 +32,7 @@ from ..operators.joins import left_join_nullsafe, remove_rows, split_matches
 from ..operators.lookup import price_by_rule_table, rules_frame
 from ..operators.ordering import (anonymise, append_rows, first_per_key, rank_groups, sort_view, table_page,
                                   with_row_id)
-from ..session import scratch_path
+from ..session import default_parallelism, scratch_path
 from ..sources.layout import flatten_sections
 from ..sources.readers import read_export, read_feature_names, read_table
 from ..sources.sinks import read_snapshot, write_csv, write_snapshot
@@ -915,22 +915,22 @@ def q_inventory_maintenance(spark, d):
 # blank line among them, so the header is non-blank record 6.
 _PREAMBLE = ["Wireless account statement,,", "Account,0000-0000,", "", "Period,monthly,", "Company,example,",
              "Summary,lines follow,"]
-_EXPORT_FILES = 4
-
-
 def write_plan_exports(spark, d, path: str) -> None:
     """Write the plan lines as vendor-style CSV exports: one file per hash
-    bucket of the plan id, each with the preamble and header on top."""
+    bucket of the plan id (as many buckets as the session has partitions,
+    so files grow in number, not size), each with the preamble and header
+    on top."""
+    files = default_parallelism(spark)
     cols = ["plan_id", "Number / User Name", "Cost Center", *B.PLAN_CHARGE_COLUMNS, "Total Charges"]
     plans = B.plans(spark, d).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
     header = ",".join(f'"{c}"' if "," in c else c for c in cols)
     head = spark.createDataFrame([(i, line) for i, line in enumerate(_PREAMBLE + [header])], "_i int, _line string")
-    top = head.select(F.explode(F.sequence(F.lit(0), F.lit(_EXPORT_FILES - 1))).alias("_b"),
+    top = head.select(F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("_b"),
                       F.lit(0).alias("_kind"), "_i", "_line")
-    data = plans.select(F.pmod(F.xxhash64("plan_id"), F.lit(_EXPORT_FILES)).cast("int").alias("_b"),
+    data = plans.select(F.pmod(F.xxhash64("plan_id"), F.lit(files)).cast("int").alias("_b"),
                         F.lit(1).alias("_kind"), F.lit(0).alias("_i"),
                         F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"escape": '"'}).alias("_line"))
-    (top.unionByName(data).repartition(_EXPORT_FILES, "_b").sortWithinPartitions("_b", "_kind", "_i")
+    (top.unionByName(data).repartition(files, "_b").sortWithinPartitions("_b", "_kind", "_i")
      .select("_b", "_line").write.partitionBy("_b").text(path))
 
 
