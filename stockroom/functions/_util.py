@@ -12,7 +12,7 @@ def as_col(c) -> Column:
 def when_chain(pairs, otherwise=None, use_otherwise: bool = False) -> Column:
     """Fold ``[(condition, value), ...]`` into one ordered CASE WHEN.
 
-    The first true condition wins, as in the reference's ordered loops.
+    The first true condition wins, as in an ordered loop over rules.
     """
     pairs = list(pairs)
     if not pairs:

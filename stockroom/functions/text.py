@@ -62,7 +62,7 @@ def dashes_to_dots(col) -> Column:
 def flag_contains(col, keyword: str, yes: str = "Y", no: str = "N") -> Column:
     """``yes`` when upper(col) contains ``keyword`` (already upper), else ``no``.
 
-    Null input gives ``no``, as ``str(None).upper()`` does in the reference.
+    Null input gives ``no``: a missing value does not contain the keyword.
     """
     return F.when(F.upper(as_col(col)).contains(keyword.upper()), yes).otherwise(no)
 
