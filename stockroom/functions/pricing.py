@@ -29,10 +29,9 @@ DEFAULT_PRICE_RULES: list[tuple[str, int]] = [
     ("XCOVER PRO", 350),
 ]
 
-# Price used when no rule matches.
+# The price when no rule matches, and the value the
+# distinct-model price function gives a model without a number.
 NO_MATCH_PRICE = 0
-
-# Default of the distinct-model price function when a model has no number.
 FIRST_NUMBER_DEFAULT = 100.0
 
 

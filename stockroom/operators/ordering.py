@@ -14,6 +14,9 @@ from pyspark.sql.types import MapType, VariantType
 from ..functions._util import as_col
 from ..session import default_parallelism, ensure_checkpoint_dir
 
+# Fixed value: the pseudonym prefix of anonymised names.
+PSEUDONYM_PREFIX = "User "
+
 # monotonically_increasing_id() = partition index << 33 | position in partition
 _POS_MASK = (1 << 33) - 1
 
@@ -75,7 +78,7 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
 
 
 def anonymise(df: DataFrame, col: str, order_cols: Sequence, clearance: str | None = None,
-              prefix: str = "User ") -> DataFrame:
+              prefix: str = PSEUDONYM_PREFIX) -> DataFrame:
     """Replace ``col`` by ``'User 0'..'User n-1'`` in row order unless the
     clearance is ``'high'`` (W2). Every row gets its own label."""
     if clearance == "high":

@@ -117,6 +117,7 @@ def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
         seg.alias("Storage"))
 
 
+# The charge columns of a plan export, in order.
 PLAN_CHARGE_COLUMNS = ["Monthly Access Charges", "Usage Charges", "Equipment Charges",
                        "Surcharges and Other Charges and Credits", "Taxes Governmental Surcharges and Fees",
                        "Third Party Charges (Includes Tax)"]

@@ -14,6 +14,8 @@ from ..operators.changes import apply_quantity_events, upsert_items
 from ..operators.filters import drop_null, filter_eq, filter_in, having_gt
 from ..sources.sinks import read_snapshot, write_snapshot
 
+# Fixed value: the message when the price measure is asked for without a
+# price column.
 PRICE_NOT_AVAILABLE = "The 'Estimated Price' data is not available."
 
 

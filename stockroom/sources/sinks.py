@@ -18,6 +18,16 @@ from ..functions.text import slug
 
 _VERSION = re.compile(r"^v=(\d+)$")
 
+# File names of exported views. {date} is ISO, {label} is the
+# filter value with blanks as '_' (lower case for workstations, as is
+# {category}).
+EXPORT_NAME_FORMATS = {
+    "inventory": "inventory-{date}.csv",
+    "phone": "phone_data_{label}.csv",
+    "server": "server_data_{label}.csv",
+    "workstation": "{category}_{label}_data.csv",
+}
+
 
 def write_csv(df: DataFrame, path: str, style: str = "pandas", single_file: bool = False,
               mode: str = "errorifexists") -> None:
@@ -89,13 +99,12 @@ def export_name(kind: str, label: str | None = None, category: str | None = None
     ``<kind>_data_<label>.csv`` (blanks -> '_', case kept); ``workstation``
     -> ``<category>_<label>_data.csv`` in lower case.
     """
-    if kind == "inventory":
-        return f"inventory-{(today or _dt.date.today()).isoformat()}.csv"
-    if kind in ("phone", "server"):
-        return f"{kind}_data_{slug(label or 'All')}.csv"
-    if kind == "workstation":
-        return f"{(category or 'All').lower()}_{slug(label or 'All', lower=True)}_data.csv"
-    raise ValueError(f"unknown export kind {kind!r}")
+    if kind not in EXPORT_NAME_FORMATS:
+        raise ValueError(f"unknown export kind {kind!r}")
+    lower = kind == "workstation"
+    return EXPORT_NAME_FORMATS[kind].format(date=(today or _dt.date.today()).isoformat(),
+                                            label=slug(label or "All", lower=lower),
+                                            category=(category or "All").lower())
 
 
 def export_view(df: DataFrame, root: str, kind: str, label: str | None = None, category: str | None = None,

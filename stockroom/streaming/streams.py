@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from ..operators.changes import apply_quantity_events
 from ..sources.sinks import read_snapshot, snapshot_versions, write_snapshot
 
+# Fixed value: refresh interval of the live inventory view.
 REFRESH_INTERVAL = "30 seconds"
 
 
