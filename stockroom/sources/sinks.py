@@ -77,6 +77,19 @@ def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = No
     return version
 
 
+def prune_snapshots(spark: SparkSession, root: str, name: str, keep: int) -> list[int]:
+    """Delete all but the newest ``keep`` committed versions; returns the
+    versions removed. Readers take the newest version, so they are unaffected."""
+    if keep < 1:
+        raise ValueError("keep at least one version")
+    versions = snapshot_versions(spark, root, name)
+    drop = versions[:-keep]
+    fs, base = _fs(spark, f"{root.rstrip('/')}/{name}")
+    for v in drop:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base, f"v={v}"), True)
+    return drop
+
+
 def read_snapshot(spark: SparkSession, root: str, name: str, schema: StructType | None = None,
                   version: int | None = None) -> DataFrame:
     """The latest (or given) version of a snapshot table; empty if none."""

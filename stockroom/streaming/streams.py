@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.changes import apply_quantity_events
-from ..sources.sinks import read_snapshot, snapshot_versions, write_snapshot
+from ..sources.sinks import prune_snapshots, read_snapshot, snapshot_versions, write_snapshot
 
 # Fixed value: refresh interval of the live inventory view.
 REFRESH_INTERVAL = "30 seconds"
@@ -37,20 +37,24 @@ def _trigger(writer, interval: str | None):
     return writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
 
 
-def _snapshot_sink(root: str, name: str):
+def _snapshot_sink(root: str, name: str, keep_versions: int | None = None):
     def write(batch: DataFrame, batch_id: int) -> None:
         write_snapshot(batch, root, name, version=batch_id + 1)
+        if keep_versions:
+            prune_snapshots(batch.sparkSession, root, name, keep_versions)
     return write
 
 
 def stream_summary(stream: DataFrame, key: str, value: str, root: str, name: str, checkpoint: str,
-                   total_name: str = "total", interval: str | None = REFRESH_INTERVAL) -> StreamingQuery:
+                   total_name: str = "total", interval: str | None = REFRESH_INTERVAL,
+                   keep_versions: int | None = None) -> StreamingQuery:
     """Keep ``sum(value)`` per key fresh as rows arrive; every trigger
-    writes the complete summary as a new snapshot version. ``interval=None``
-    processes what is there now and stops (tests, backfills)."""
+    writes the complete summary as a new snapshot version (only the newest
+    ``keep_versions`` are kept, when given). ``interval=None`` processes
+    what is there now and stops (tests, backfills)."""
     summary = stream.groupBy(F.col(f"`{key}`")).agg(F.coalesce(F.sum(F.col(f"`{value}`")), F.lit(0)).alias(total_name))
     writer = (summary.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-              .foreachBatch(_snapshot_sink(root, name)))
+              .foreachBatch(_snapshot_sink(root, name, keep_versions)))
     return _trigger(writer, interval).start()
 
 

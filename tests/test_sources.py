@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stockroom.sources import (export_name, export_view, flatten_sections, load_table, read_export,
-                               read_feature_names, read_snapshot, read_table, snapshot_versions, write_csv,
-                               write_snapshot)
+from stockroom.sources import (export_name, export_view, flatten_sections, load_table, prune_snapshots,
+                               read_export, read_feature_names, read_snapshot, read_table, snapshot_versions,
+                               write_csv, write_snapshot)
 
 from conftest import rows
 
@@ -141,3 +141,11 @@ def test_read_export_many_files_and_splits(spark, tmp_dir):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_prune_snapshots_keeps_newest(spark, tmp_dir):
+    for q in (1, 2, 3, 4):
+        write_snapshot(spark.createDataFrame([("x", q)], "Item string, Quantity long"), tmp_dir, "inv")
+    assert prune_snapshots(spark, tmp_dir, "inv", keep=2) == [1, 2]
+    assert snapshot_versions(spark, tmp_dir, "inv") == [3, 4]
+    assert rows(read_snapshot(spark, tmp_dir, "inv")) == [("x", 4)]

@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from stockroom.operators import apply_quantity_events
-from stockroom.sources import read_snapshot, write_snapshot
+from stockroom.sources import read_snapshot, snapshot_versions, write_snapshot
 from stockroom.streaming import (file_stream, run_available, stream_apply_events, stream_net_quantity,
                                  stream_summary)
 
@@ -86,12 +86,13 @@ def test_stream_summary_refreshes_as_files_arrive(spark, tmp_dir):
     spark.createDataFrame([("a", 1, 1)], INV).write.parquet(os.path.join(src, "batch1"))
     stream = file_stream(spark, os.path.join(src, "*"), schema)
     q = stream_summary(stream, "Item", "Quantity", tmp_dir, "summary", os.path.join(tmp_dir, "ck"),
-                       interval="1 second")
+                       interval="1 second", keep_versions=2)
     try:
         q.processAllAvailable()
         assert rows(read_snapshot(spark, tmp_dir, "summary")) == [("a", 1)]
         spark.createDataFrame([("a", 2, 2), ("b", 5, 3)], INV).write.parquet(os.path.join(src, "batch2"))
         q.processAllAvailable()
         assert rows(read_snapshot(spark, tmp_dir, "summary")) == [("a", 3), ("b", 5)]
+        assert len(snapshot_versions(spark, tmp_dir, "summary")) <= 2
     finally:
         q.stop()
