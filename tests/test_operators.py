@@ -221,3 +221,21 @@ def _brute_price(text):
         if re.search(r"\b" + re.escape(keyword) + r"\b", model):
             return float(price)
     return 0.0
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "c"])), min_size=0, max_size=12),
+       st.lists(st.one_of(st.none(), st.sampled_from(["a", "b", "d"])), min_size=0, max_size=12),
+       st.booleans())
+def test_left_join_forms_agree(spark, lkeys, rkeys, null_safe):
+    left = spark.createDataFrame([(k, i) for i, k in enumerate(lkeys)], "k string, li int")
+    right = spark.createDataFrame([(k, i) for i, k in enumerate(rkeys)], "k string, ri int")
+    a = left_join_nullsafe(left, right, "k", null_safe=null_safe, skew_safe=True)
+    b = left_join_nullsafe(left, right, "k", null_safe=null_safe, skew_safe=False)
+    assert rows(a, "li", "ri") == rows(b, "li", "ri")
+    # Brute force: pandas merge rule when null_safe, SQL rule otherwise.
+    want = []
+    for li, lk in enumerate(lkeys):
+        hits = [ri for ri, rk in enumerate(rkeys) if rk == lk and (lk is not None or null_safe)]
+        want += [(li, ri) for ri in hits] or [(li, None)]
+    assert rows(a, "li", "ri") == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
