@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -58,7 +59,16 @@ def rules_frame(spark, rules: Sequence[tuple[str, float]] = DEFAULT_PRICE_RULES)
     return spark.createDataFrame(rows, "priority int, keyword string, price double")
 
 
-def price_by_rule_table(df: DataFrame, model_col: str, rules: DataFrame, out_col: str = "Estimated Price",
+def _rule_stats_local(rules: Sequence[tuple[str, float]]) -> tuple[int, int, int]:
+    """(count, most runs in a keyword, keywords not starting and ending with
+    a word character) of rules given as a list, computed on the driver."""
+    keys = [k.upper() for k, _ in rules]
+    runs = max((len(re.findall(r"\w+|\W+", k)) for k in keys), default=0)
+    bad = sum(1 for k in keys if not re.fullmatch(r"\w(.*\w)?", k, flags=re.S))
+    return len(keys), runs, bad
+
+
+def price_by_rule_table(df: DataFrame, model_col: str, rules, out_col: str = "Estimated Price",
                         clean: bool = True, default=NO_MATCH_PRICE) -> DataFrame:
     """Ordered whole-word keyword rules as an equi-join.
 
@@ -68,16 +78,26 @@ def price_by_rule_table(df: DataFrame, model_col: str, rules: DataFrame, out_col
     exactly when it equals the text from the start of one run to the end of
     a later one. Those spans (at most runs x longest keyword) are joined to
     the rule table by equality; the lowest priority wins.
+
+    ``rules`` is a (priority, keyword, price) table, or a list of (keyword,
+    price) pairs in priority order (then its size and shape are known on
+    the driver and no job runs to check them).
     """
-    r = rules.select(F.upper("keyword").alias("keyword"), "priority", F.col("price").cast("double").alias("price"))
-    stats = r.agg(F.count(F.lit(1)).alias("n"),
-                  F.max(F.size(F.split("keyword", _RUN_SPLIT))).alias("runs"),
-                  F.sum(F.when(~F.col("keyword").rlike(_WORD_BOTH_ENDS), 1).otherwise(0)).alias("bad")).first()
-    if stats["n"] == 0:
+    if isinstance(rules, DataFrame):
+        r = rules.select(F.upper("keyword").alias("keyword"), "priority", F.col("price").cast("double").alias("price"))
+        stats = r.agg(F.count(F.lit(1)).alias("n"),
+                      F.max(F.size(F.split("keyword", _RUN_SPLIT))).alias("runs"),
+                      F.sum(F.when(~F.col("keyword").rlike(_WORD_BOTH_ENDS), 1).otherwise(0)).alias("bad")).first()
+        n, runs, bad = stats["n"], stats["runs"], stats["bad"]
+    else:
+        rules = list(rules)
+        n, runs, bad = _rule_stats_local(rules)
+        r = rules_frame(df.sparkSession, [(k.upper(), p) for k, p in rules])
+    if n == 0:
         return df.withColumn(out_col, F.lit(float(default)))
-    if stats["bad"]:
+    if bad:
         raise ValueError("rule keywords must start and end with a word character")
-    max_tokens = int(stats["runs"])  # word runs + separators of the longest keyword
+    max_tokens = int(runs)  # word runs + separators of the longest keyword
     text = F.upper(clean_model(F.col(f"`{model_col}`")) if clean else F.col(f"`{model_col}`"))
     texts = df.select(text.alias("_t")).distinct().where(F.col("_t").isNotNull())
     tokens = texts.select("_t", F.split("_t", _RUN_SPLIT).alias("_tok"))
@@ -87,7 +107,7 @@ def price_by_rule_table(df: DataFrame, model_col: str, rules: DataFrame, out_col
         F.explode(F.transform(
             F.sequence(F.lit(1), F.least(F.lit(max_tokens), F.size("_tok") - F.col("_p")), F.lit(2)),
             lambda n: F.array_join(F.slice("_tok", F.col("_p") + 1, n), ""))).alias("keyword"))
-    rule_side = F.broadcast(r) if stats["n"] <= RULES_BROADCAST_MAX_ROWS else r
+    rule_side = F.broadcast(r) if n <= RULES_BROADCAST_MAX_ROWS else r
     best = (spans.join(rule_side, "keyword")
             .groupBy("_t").agg(F.min_by("price", "priority").alias("_price")))
     keyed = df.withColumn("_t", text)

@@ -16,12 +16,21 @@ from ..functions.text import parse_event
 from ..sources.readers import read_parquet
 
 
+# The given tables are read-only: one DataFrame per (application, table)
+# saves re-listing files and re-reading footers in every query.
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, fan_out: bool = False) -> DataFrame:
     """A given table. ``fan_out`` spreads a single mid-sized file over the
     session's partitions; only role builders that do heavy per-row text
     work before their first shuffle ask for it (elsewhere the first
     exchange spreads the rows, after map-side aggregation)."""
-    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", fan_out=fan_out)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name, fan_out)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", fan_out=fan_out)
+    return df
 
 
 # Section roll-up used with the test inventory (its sections are part types);

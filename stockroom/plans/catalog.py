@@ -29,7 +29,7 @@ from ..operators.changes import (append_and_collapse, apply_quantity_events, col
                                  running_quantity, upsert_items)
 from ..operators.filters import drop_null, filter_eq, filter_in, filter_two_step, having_gt, validate_items
 from ..operators.joins import left_join_nullsafe, remove_rows, split_matches
-from ..operators.lookup import price_by_rule_table, rules_frame
+from ..operators.lookup import price_by_rule_table
 from ..operators.ordering import (anonymise, append_rows, first_per_key, rank_groups, sort_view, table_page,
                                   with_row_id)
 from ..session import default_parallelism, scratch_path
@@ -140,7 +140,7 @@ def q_price_rules(spark, d):
 
 @register("price_rule_table", ORACLES["price_rules"])
 def q_price_rule_table(spark, d):
-    ph = price_by_rule_table(B.phones(spark, d), "Equipment Model", rules_frame(spark, DEFAULT_PRICE_RULES))
+    ph = price_by_rule_table(B.phones(spark, d), "Equipment Model", DEFAULT_PRICE_RULES)
     return ph.select("c_custkey", F.col("`Equipment Model`").alias("equipment_model"),
                      F.col("`Estimated Price`").alias("estimated_price"))
 
@@ -153,7 +153,7 @@ ITEM_RULES = [("RED PLATE", 10.0), ("PLATE", 5.0), ("SMALL GEAR", 7.0), ("GEAR",
 @register("price_rule_table_items", B.with_ctes("inventory") + f"""
 SELECT "RowID" AS rowid, {S.price_rules('"Item"', ITEM_RULES)} AS rule_price FROM inventory""")
 def q_price_rule_table_items(spark, d):
-    inv = price_by_rule_table(B.inventory(spark, d), "Item", rules_frame(spark, ITEM_RULES), "rule_price")
+    inv = price_by_rule_table(B.inventory(spark, d), "Item", ITEM_RULES, "rule_price")
     return inv.select(F.col("RowID").alias("rowid"), "rule_price")
 
 

@@ -145,6 +145,18 @@ def test_rule_table_rejects_keywords_with_edges(spark):
     bad = spark.createDataFrame([(0, "S20+", 1.0)], "priority int, keyword string, price double")
     with pytest.raises(ValueError):
         price_by_rule_table(df, "m", bad)
+    with pytest.raises(ValueError):
+        price_by_rule_table(df, "m", [("S20+", 1.0)])
+
+
+def test_rule_table_list_and_frame_agree(spark):
+    from stockroom.functions.pricing import DEFAULT_PRICE_RULES
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(["GS20 FE", "iPhone 13 mini", "Jetpack MiFi 8800L",
+                                                               "XR", None, "s21"])], "i int, m string")
+    a = price_by_rule_table(df, "m", DEFAULT_PRICE_RULES, "p")
+    b = price_by_rule_table(df, "m", rules_frame(spark), "p")
+    assert rows(a, "i", "p") == rows(b, "i", "p") == [(0, 300.0), (1, 650.0), (2, 100.0), (3, 400.0), (4, 0.0),
+                                                      (5, 0.0)]
 
 
 @pytest.mark.parametrize("parts", [1, 3, 7])
