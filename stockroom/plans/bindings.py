@@ -47,6 +47,20 @@ TEST_SELECTED_SECTIONS = ["Small & Medium", "Large", "STANDARD"]
 TEST_COUNTY_OF_LOCATION = {"NATION_0": "NATION_1"}
 
 
+def _per_application(build):
+    """Build a role table once per (application, folder): the given tables
+    are read-only, so the plan can be shared by every query."""
+    memo: dict[tuple, DataFrame] = {}
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+        if key not in memo:
+            memo[key] = build(spark, sf_dir)
+        return memo[key]
+    get.__name__, get.__doc__ = build.__name__, build.__doc__
+    return get
+
+
 def _s(c) -> Column:
     return F.col(c).cast("string")
 
@@ -60,6 +74,7 @@ def _dotted_number(key: str, sep: str) -> Column:
     return F.concat_ws(sep, F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 4))
 
 
+@_per_application
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item, Quantity, Comments, Section, Estimated Price, RowID from ``part``.
 
@@ -78,6 +93,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") + 1).alias("RowID"))
 
 
+@_per_application
 def incoming_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch of items to add, from ``part``: blank names, negative and null
     prices, extra inner blanks, and arrival order ``seq``."""
@@ -105,6 +121,7 @@ def split_existing_incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
     return existing, incoming
 
 
+@_per_application
 def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone inventory (already renamed: Number) from ``customer``."""
     c = table(spark, sf_dir, "customer")
@@ -132,6 +149,7 @@ PLAN_CHARGE_COLUMNS = ["Monthly Access Charges", "Usage Charges", "Equipment Cha
                        "Third Party Charges (Includes Tax)"]
 
 
+@_per_application
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw phone plan lines: one per order (number and user in one text,
     cost centre, charges as money text with 'N/A' and '' mixed in), plus one
@@ -156,6 +174,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(summary)
 
 
+@_per_application
 def workstations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workstation devices from ``lineitem``; the warehouse is the
     supplier's nation. Estimated Price is money text."""
@@ -171,10 +190,12 @@ def workstations(spark: SparkSession, sf_dir: str) -> DataFrame:
         format_money(F.col("l_extendedprice")).alias("Estimated Price"))
 
 
+@_per_application
 def county_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("County"))
 
 
+@_per_application
 def buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Button ids clicked, from ``events``: click = plus, error = minus."""
     e = table(spark, sf_dir, "events")
@@ -183,6 +204,7 @@ def buttons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "ts", F.concat(kind, _s("user_id")).alias("button"))
 
 
+@_per_application
 def quantity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed quantity events (row_id, delta, ts, event_id); others dropped."""
     return parse_buttons(buttons(spark, sf_dir))

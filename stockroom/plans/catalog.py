@@ -240,6 +240,7 @@ SELECT "Number" AS number, "Username" AS username, "Equipment Model" AS equipmen
        "Total Charges" AS total_charges"""
 
 
+@B._per_application
 def _merged(spark, d) -> DataFrame:
     return merge_phones(B.phones(spark, d), B.plans(spark, d), admin_keyword=ADMIN)
 
@@ -266,6 +267,7 @@ phones_clean AS (
   FROM merged)"""
 
 
+@B._per_application
 def _phones_clean(spark, d) -> DataFrame:
     return clean_table(price_phones(_merged(spark, d)))
 
@@ -275,6 +277,7 @@ ws_clean AS (SELECT l_orderkey, l_linenumber, "Device", "Warehouse", "Department
                     {S.parse_money('"Estimated Price"')} AS "Estimated Price" FROM workstations)"""
 
 
+@B._per_application
 def _ws_clean(spark, d) -> DataFrame:
     return clean_table(B.workstations(spark, d))
 
