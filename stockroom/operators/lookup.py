@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from ..functions.pricing import DEFAULT_PRICE_RULES, NO_MATCH_PRICE, clean_model
 
+# Functions of this package that run in Python workers (the price function
+# of ``enrich_distinct``) travel by value, so executors need not have the
+# package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 # Rule tables up to this many rows are broadcast to the join; larger ones are
 # shuffled like any other join side.
 RULES_BROADCAST_MAX_ROWS = 200_000

@@ -37,3 +37,25 @@ def test_query_matches_oracle(spark, con, name):
 def test_queries_run_on_smallest_tables(spark):
     for name in ["inventory_summary", "upsert_items", "apply_quantity_events", "phone_merge"]:
         entry.queries()[name](spark, SF_SMALL).count()
+
+
+def test_entry_module_from_another_directory(tmp_path):
+    """The driver loads __spark_entry__.py by path from elsewhere: Python
+    workers must not need the package on their path (functions travel by
+    value)."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import importlib.util
+spec = importlib.util.spec_from_file_location("__spark_entry__", {os.path.join(repo, "__spark_entry__.py")!r})
+m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", m.queries()["price_distinct"](spark, {SF_SMALL!r}).count(), m.entry(spark).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "rows " in out.stdout
