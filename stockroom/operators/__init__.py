@@ -2,7 +2,7 @@
 
 from .aggregate import (distinct_in_order, distinct_sorted, group_count, group_total, group_value,
                         next_row_id, rollup_to, share_of_total, summary_totals)
-from .changes import (append_and_collapse, apply_quantity_events, collapse_exact, collapse_items,
+from .changes import (append_and_collapse, apply_buttons, apply_quantity_events, collapse_exact, collapse_items,
                       net_and_floor, running_quantity, upsert_items)
 from .filters import (drop_columns, drop_null, filter_eq, filter_in, filter_two_step, has_column, having_gt,
                       is_empty, rename, select_columns, validate_items)

@@ -224,3 +224,16 @@ def apply_quantity_events(df: DataFrame, events: DataFrame, id_col: str = "RowID
     kept = joined.where(~gone).withColumn(
         qty, F.when(F.col("_net").isNull(), q).otherwise(q + F.col("_net")).cast(df.schema[qty].dataType))
     return kept.select(*[_c(c) for c in df.columns])
+
+
+def apply_buttons(df: DataFrame, clicks: DataFrame, button_col: str = "button", id_col: str = "RowID",
+                  qty: str = "Quantity", order_cols: Sequence[str] = ("ts", "event_id"),
+                  num_partitions: int | None = None) -> DataFrame:
+    """I3 and I4 from button clicks: parse ``plus_<id>`` / ``minus_<id>``
+    (C15; anything else is ignored) and apply them in order (I5)."""
+    from ..functions.text import parse_event
+    row_id, delta = parse_event(_c(button_col))
+    events = (clicks.select(*[_c(c) for c in order_cols], row_id.alias("_bid"), delta.alias("_bdelta"))
+              .where(F.col("_bdelta").isNotNull()))
+    return apply_quantity_events(df, events, id_col=id_col, qty=qty, event_id_col="_bid", delta_col="_bdelta",
+                                 order_cols=order_cols, num_partitions=num_partitions)

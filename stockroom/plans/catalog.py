@@ -25,8 +25,8 @@ from ..functions.pricing import DEFAULT_PRICE_RULES, clean_model, first_number,
 from ..functions.text import match_key, parse_event, squish
 from ..operators.aggregate import (distinct_in_order, distinct_sorted, group_count, group_total, group_value,
                                    next_row_id)
-from ..operators.changes import (append_and_collapse, apply_quantity_events, collapse_exact, collapse_items,
-                                 running_quantity, upsert_items)
+from ..operators.changes import (append_and_collapse, apply_buttons, apply_quantity_events, collapse_exact,
+                                 collapse_items, running_quantity, upsert_items)
 from ..operators.filters import drop_null, filter_eq, filter_in, filter_two_step, having_gt, validate_items
 from ..operators.joins import left_join_nullsafe, remove_rows, split_matches
 from ..operators.lookup import price_by_rule_table
@@ -995,3 +995,9 @@ def q_drop_null(spark, d):
     rows_only = drop_null(sheet_with_dividers(spark, d), "Quantity")
     return rows_only.select(F.col("Item").alias("item"), F.col("Quantity").alias("quantity"),
                             F.col("Comments").alias("comments"), "pos")
+
+
+@register("apply_buttons", ORACLES["apply_quantity_events"])
+def q_apply_buttons(spark, d):
+    """I3-I5 straight from the clicked button ids (C15 inside the operator)."""
+    return snake(apply_buttons(B.inventory(spark, d), B.buttons(spark, d)))

@@ -152,3 +152,11 @@ def test_running_quantity_equals_window(spark):
     for parts in (1, 4, 9):
         got = running_quantity(ev, num_partitions=parts)
         assert rows(got, "event_id", "running") == rows(expected, "event_id", "running")
+
+
+def test_apply_buttons(spark):
+    from stockroom.operators import apply_buttons
+    inv = spark.createDataFrame([("a", 1, None, "S", None, 1), ("b", 2, None, "S", None, 2)], INV)
+    clicks = spark.createDataFrame([(1, 10, "plus_2"), (2, 11, "minus_1"), (3, 12, "plus_1"), (4, 13, "noise"),
+                                    (5, 14, "minus_2")], "event_id long, ts long, button string")
+    assert rows(apply_buttons(inv, clicks), "RowID", "Quantity") == [(2, 2)]
