@@ -127,7 +127,8 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
     # Keys without an existing match: compared with the matched keys (at most
     # one row per incoming key), not with every key of the existing table.
     new_keys = inc_agg.join(touched.select(*names), names, "left_anti")
-    new = with_row_id(new_keys, ["_arr"], name="_new_no", start=0)
+    # _arr is the first arrival of each key: distinct per key, so no ties.
+    new = with_row_id(new_keys, ["_arr"], name="_new_no", start=0, unique=True)
     appended = new.select(
         *[F.col("_inc_first")[c].alias(c) for c in inc_cols],
         F.when(F.col("_in") > 0, F.lit(None)).otherwise(F.col("_iq")).alias(qty),

@@ -41,7 +41,8 @@ def with_chunks(df: DataFrame, keys: Sequence, order_cols: Sequence, name: str =
 
 
 def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start: int = 1,
-                num_partitions: int | None = None, persist: bool = True, checkpoint: bool = False) -> DataFrame:
+                num_partitions: int | None = None, persist: bool = True, checkpoint: bool = False,
+                unique: bool = False) -> DataFrame:
     """Dense global index in ``order_cols`` order, starting at ``start``.
 
     Two passes and no single-task step: range-partition and sort, count rows
@@ -50,12 +51,13 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
     partitions: the sorted input is persisted (a lost block is recomputed
     from the same range exchange, and remaining columns break ties, so it
     gets the same ids), or with ``checkpoint`` written once to the shared
-    ``spark.checkpoint.dir``, which also cuts the lineage.
+    ``spark.checkpoint.dir``, which also cuts the lineage. ``unique=True``
+    states that ``order_cols`` never tie, and skips the tie-break columns.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
     order = [as_col(c) for c in order_cols]
     order_names = [c for c in order_cols if isinstance(c, str)]
-    full = [*order, *_orderable(df, order_names)]
+    full = order if unique else [*order, *_orderable(df, order_names)]
     # Ranges over the full order, so rows sharing a hot order value can land
     # in several partitions instead of one.
     ranged = (df.repartitionByRange(n, *full)
@@ -78,13 +80,13 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
 
 
 def anonymise(df: DataFrame, col: str, order_cols: Sequence, clearance: str | None = None,
-              prefix: str = PSEUDONYM_PREFIX) -> DataFrame:
+              prefix: str = PSEUDONYM_PREFIX, unique: bool = False) -> DataFrame:
     """Replace ``col`` by ``'User 0'..'User n-1'`` in row order unless the
     clearance is ``'high'`` (W2). Every row gets its own label."""
     if clearance == "high":
         return df
     cols = df.columns
-    numbered = with_row_id(df, order_cols, name="_user_no", start=0)
+    numbered = with_row_id(df, order_cols, name="_user_no", start=0, unique=unique)
     return numbered.withColumn(col, F.concat(F.lit(prefix), F.col("_user_no").cast("string"))).select(
         *[F.col(f"`{c}`") for c in cols])
 

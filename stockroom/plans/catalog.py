@@ -500,13 +500,13 @@ def q_admin_breakdown(spark, d):
 SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_id FROM orders""")
 def q_row_id(spark, d):
     o = B.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    return with_row_id(o, ["o_orderdate", "o_orderkey"], name="row_id").select("o_orderkey", "row_id")
+    return with_row_id(o, ["o_orderdate", "o_orderkey"], name="row_id", unique=True).select("o_orderkey", "row_id")
 
 
 @register("anonymise", B.with_ctes("phones") + """
 SELECT c_custkey, 'User ' || CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS VARCHAR) AS username FROM phones""")
 def q_anonymise(spark, d):
-    ph = anonymise(B.phones(spark, d), "Username", ["c_custkey"])
+    ph = anonymise(B.phones(spark, d), "Username", ["c_custkey"], unique=True)
     return ph.select("c_custkey", F.col("Username").alias("username"))
 
 

@@ -159,10 +159,10 @@ def test_rule_table_list_and_frame_agree(spark):
                                                       (5, 0.0)]
 
 
-@pytest.mark.parametrize("parts", [1, 3, 7])
-def test_with_row_id_dense_for_any_partitioning(spark, parts):
+@pytest.mark.parametrize("parts,unique", [(1, False), (3, False), (7, False), (3, True)])
+def test_with_row_id_dense_for_any_partitioning(spark, parts, unique):
     df = spark.range(0, 200, 1, numPartitions=5).select((F.col("id") % 17).alias("k"), F.col("id"))
-    out = with_row_id(df, ["k", "id"], name="rid", start=0, num_partitions=parts)
+    out = with_row_id(df, ["k", "id"], name="rid", start=0, num_partitions=parts, unique=unique)
     got = [(r["k"], r["id"], r["rid"]) for r in out.collect()]
     assert sorted(r[2] for r in got) == list(range(200))
     assert [r[:2] for r in sorted(got, key=lambda t: t[2])] == sorted(r[:2] for r in got)
