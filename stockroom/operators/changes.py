@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.categories import DEFAULT_SECTION_GROUPS, combine_sections
-from ..functions.text import squish, trim_ws
+from ..functions.text import parse_event, squish, trim_ws
 from .aggregate import next_row_id
 from .filters import validate_items
 from .joins import _with_match_keys
@@ -232,7 +232,6 @@ def apply_buttons(df: DataFrame, clicks: DataFrame, button_col: str = "button",
                   num_partitions: int | None = None) -> DataFrame:
     """I3 and I4 from button clicks: parse ``plus_<id>`` / ``minus_<id>``
     (C15; anything else is ignored) and apply them in order (I5)."""
-    from ..functions.text import parse_event
     row_id, delta = parse_event(_c(button_col))
     events = (clicks.select(*[_c(c) for c in order_cols], row_id.alias("_bid"), delta.alias("_bdelta"))
               .where(F.col("_bdelta").isNotNull()))
