@@ -52,17 +52,20 @@ def _cast(df: DataFrame, types: Mapping[str, str] | None) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
-               style: str = "pandas", string_cols: Sequence[str] = ()) -> DataFrame:
+               style: str = "pandas", string_cols: Sequence[str] = (), multiline: bool = False) -> DataFrame:
     """CSV with a header row (A1, A2).
 
     Every column is read as text (no inference pass over the data), missing
     tokens become null, then ``types`` are applied with ``try_cast`` except
     for ``string_cols``, which stay text (long ids, phone numbers).
     ``style='readr'`` also trims fields and reads only ''/NA as missing.
+    ``multiline=True`` accepts line breaks inside quoted fields; each file
+    is then read by one task, so keep it for exports that need it.
     """
     readr = style == "readr"
     reader = (spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
-              .option("ignoreLeadingWhiteSpace", readr).option("ignoreTrailingWhiteSpace", readr))
+              .option("ignoreLeadingWhiteSpace", readr).option("ignoreTrailingWhiteSpace", readr)
+              .option("multiLine", multiline))
     df = reader.csv(path)
     df = _null_tokens(df, READR_NA_TOKENS if readr else PANDAS_NA_TOKENS)
     types = {k: v for k, v in (types or {}).items() if k not in set(string_cols)}

@@ -166,3 +166,9 @@ def test_read_parquet_fans_out_single_mid_sized_file_only(spark, tmp_dir):
     assert "RoundRobinPartitioning" not in folder._jdf.queryExecution().executedPlan().toString()
     plain = read_parquet(spark, path)
     assert "RoundRobinPartitioning" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
+def test_read_table_quoted_line_breaks(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "notes.csv"), 'Item,Comments\nDock,"two\nlines"\nPen,\n')
+    df = read_table(spark, p, multiline=True)
+    assert rows(df) == [("Dock", "two\nlines"), ("Pen", None)]
