@@ -59,3 +59,14 @@ print("rows", m.queries()["price_distinct"](spark, {SF_SMALL!r}).count(), m.entr
                          timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "rows " in out.stdout
+
+
+def test_only_the_pluggable_price_function_runs_python(spark):
+    """Stay JVM-side: no registered query has a Python stage in its plan
+    except the per-distinct-key price function (J3/F3)."""
+    import re
+    python_stage = re.compile(r"MapInPandas|ArrowEvalPython|BatchEvalPython|PythonMapInArrow|FlatMapGroupsInPandas")
+    with_python = {name for name, fn in entry.queries().items()
+                   if python_stage.search(fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString())}
+    spark.catalog.clearCache()
+    assert with_python == {"price_distinct"}
