@@ -160,3 +160,15 @@ def test_apply_buttons(spark):
     clicks = spark.createDataFrame([(1, 10, "plus_2"), (2, 11, "minus_1"), (3, 12, "plus_1"), (4, 13, "noise"),
                                     (5, 14, "minus_2")], "event_id long, ts long, button string")
     assert rows(apply_buttons(inv, clicks), "RowID", "Quantity") == [(2, 2)]
+
+
+def test_upsert_collapse_inner_option(spark):
+    existing = spark.createDataFrame([("usb  cable", 1, None, "S", None, 1)], INV)
+    incoming = spark.createDataFrame([("USB cable", 2, None, "S", None, 1)], INC)
+    # Default: inner blanks are squished on the incoming side only, so the
+    # existing "usb  cable" does not match and the item is appended.
+    assert rows(upsert_items(existing, incoming), "Item", "Quantity", "RowID") == [
+        ("USB cable", 2, 2), ("usb  cable", 1, 1)]
+    # collapse_inner=True squishes both sides: one merged row.
+    assert rows(upsert_items(existing, incoming, collapse_inner=True), "Item", "Quantity", "RowID") == [
+        ("usb  cable", 3, 1)]
