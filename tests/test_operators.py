@@ -251,3 +251,13 @@ def test_left_join_forms_agree(spark, lkeys, rkeys, null_safe):
         hits = [ri for ri, rk in enumerate(rkeys) if rk == lk and (lk is not None or null_safe)]
         want += [(li, ri) for ri in hits] or [(li, None)]
     assert rows(a, "li", "ri") == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
+def test_left_join_warns_on_many_null_pairs(spark, caplog):
+    import logging
+    left = spark.createDataFrame([(None, i) for i in range(3)], "k string, li int")
+    right = spark.createDataFrame([(None, i) for i in range(4)], "k string, ri int")
+    with caplog.at_level(logging.WARNING, logger="stockroom"):
+        out = left_join_nullsafe(left, right, "k", warn_null_pairs=10)
+    assert out.count() == 12
+    assert any("3 x 4" in r.getMessage() for r in caplog.records)
