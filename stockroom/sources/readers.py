@@ -115,7 +115,8 @@ def read_export(spark: SparkSession, path: str, header_record: int,
     CSV header handling does); executors drop the lines at or above it in
     each file's first split, by position in the scan, and parse the rest
     with ``from_csv``. Blank lines are skipped; quoted line breaks are not
-    supported.
+    supported. The preamble must lie within the file's first split (it is a
+    few lines; a split is ``spark.sql.files.maxPartitionBytes`` of text).
     """
     files = _input_files(spark, path)
     if not files:
