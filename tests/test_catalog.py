@@ -70,3 +70,19 @@ def test_only_the_pluggable_price_function_runs_python(spark):
                    if python_stage.search(fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString())}
     spark.catalog.clearCache()
     assert with_python == {"price_distinct"}
+
+
+def test_bench_prints_one_json_line(tmp_path):
+    import json
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "BENCH_SF_DIR": SF_SMALL, "BENCH_REPEATS": "1", "BENCH_CPUS": "2"}
+    out = subprocess.run([sys.executable, os.path.join(repo, "bench.py"), "inventory_summary", "group_total"],
+                         cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    lines = [ln for ln in out.stdout.splitlines() if ln.strip()]
+    assert len(lines) == 1
+    d = json.loads(lines[0])
+    assert d["unit"] == "sec" and set(d["queries"]) == {"inventory_summary", "group_total"}
+    assert d["value"] == round(sum(d["queries"].values()), 3) and d["sf"] == "0.001"
