@@ -34,8 +34,8 @@ def _fence(name: str, keys: str) -> str:
 
 OP5 = f"""
 with t as (select row_number() over () rid, doc_id, lang, source, coalesce(text, '') t from documents),
-w as (select *, list_filter(regexp_split_to_array(t, '{_SPACE}'), x -> x <> '') w,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from t),
+w as (select *, list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda x: x <> '') w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from t),
 win as (select rid, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') s from
   (select rid, w, unnest(range(1, len(w) - {WINDOW - 2})) i from w where len(w) >= {WINDOW})),
 twice as (select rid, i from (select rid, i, count(*) over (partition by rid, s) c from win) where c > 1),
