@@ -29,7 +29,7 @@ def _fence(name: str, keys: str) -> str:
 {name} as (select {by}rate, max(total) total,
   greatest(min(edge) filter (upto * 100 >= total * 50)
     + {SPREADS} * (min(edge) filter (upto * 100 >= total * 75) - min(edge) filter (upto * 100 >= total * 50)),
-    case rate {floors} end) fence from {name}_r group by all)"""
+    case rate {floors} end) fence from {name}_r group by {by}rate)"""
 
 
 OP5 = f"""
