@@ -42,13 +42,13 @@ GRAM = 16
 _BEFORE = LENGTH - GRAM  # bytes before an anchor that a window can hold
 _SPAN = _BEFORE + LENGTH
 # Texts of so many bytes are one group, and anchors of so many one range.
-GROUP_BYTES = 24 << 20
-RANGE_BYTES = 48 << 20
+GROUP_BYTES = 16 << 20
+RANGE_BYTES = 20 << 20
 BUCKET_BYTES = 12 << 20
 # Splitters come from about so many sampled documents.
 SAMPLE_DOCS = 2_000
 # Text that one task gathers before it deals out blobs, and hashes at a time.
-_GATHER = 16 << 20
+_GATHER = 10 << 20
 _CHUNK = 256 << 10
 _ROWS = 64
 NO_ID = np.iinfo(np.int64).max  # null ids come after all others
