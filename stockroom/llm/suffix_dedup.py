@@ -154,7 +154,8 @@ def _anchor_stage(ranges: int):
                 size += len(t)
                 if size >= _CHUNK or k == len(texts) - 1:
                     text, pos, h = anchors(texts[first:k + 1])
-                    parts.append((text + first, pos, h >> np.uint64(16)))
+                    # Anchors have small hashes: multiplied, they spread over all ranges.
+                    parts.append((text + first, pos, (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)))
                     first, size = k + 1, 0
             text, pos, key = (np.concatenate(x) for x in zip(*parts))
             tids = np.array([_digest(t) for t in texts], dtype=np.uint64)
