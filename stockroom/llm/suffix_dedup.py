@@ -35,8 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockroom.llm.common import materialize
-
 LENGTH = 50
 GRAM = 16
 _BEFORE = LENGTH - GRAM  # bytes before an anchor that a window can hold
@@ -379,14 +377,16 @@ def _held_texts(rows: list[tuple], id_at: int) -> tuple[list[_Text], list[_Text]
     return with_, without
 
 
-def _group_stage(splitters: np.ndarray, id_at: int):
+def _group_stage(splitters: np.ndarray, id_at: int, with_text: bool):
     """Kind 0: surroundings to their bucket. Kind 1: texts with anchors, to be
-    cut later. Kind 2: texts that share nothing, finished."""
+    cut later. Kind 2: texts that share nothing: their length and digest, and
+    the text itself only if asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in _by_key(batches):
             with_, without = _held_texts(rows, id_at)
             for k in range(0, len(without), 256):
-                yield _rows(_NAMES, [group], [2], [_blob([(t.raw, t.rows, t.low, None) for t in without[k:k + 256]])])
+                yield _rows(_NAMES, [group], [2], [_blob([(t.raw if with_text else None, t.rows, t.low, (len(t.raw), hashlib.sha256(t.raw).hexdigest()))
+                                                        for t in without[k:k + 256]])])
             if not with_:
                 continue
             around, before, after, low, *_ = _surroundings(with_)
@@ -457,19 +457,23 @@ def _finish(keep: list[str], types: list, id_at: int, with_text: bool):
     """Result rows of finished texts and of texts with their verdicts."""
     names = [*keep, *(["text"] if with_text else []), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
-    def results(texts: list[tuple[_Text, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    def results(texts: list[tuple]) -> pa.RecordBatch:
+        """Rows of (raw, rows, low, spans, (length, digest) if nothing is cut)."""
         cols: list[list] = [[] for _ in names]
-        for t, spans in texts:
-            whole = [(0, len(t.raw))] if len(t.raw) >= LENGTH else []
-            for own in (spans, whole):
-                mine = [r for r in t.rows if ((NO_ID if r[id_at] is None else r[id_at]) == t.low) == (own is spans)]
+        for raw, rows, low, spans, facts in texts:
+            size, digest = facts or (len(raw), None)
+            for own, smallest in ((spans, True), ([(0, size)] if size >= LENGTH else [], False)):
+                mine = [r for r in rows if ((NO_ID if r[id_at] is None else r[id_at]) == low) == smallest]
                 if not mine:
                     continue
-                rest = _kept(t.raw, own)
-                out = [sum(b - a for a, b in own), len(own), hashlib.sha256(rest).hexdigest()]
-                text = [_kept(t.raw, _whole_characters(t.raw, own)).decode("utf-8", "replace")] if with_text else []
+                uncut = digest is not None and not own
+                gone = own == [(0, size)]
+                text = []
+                if with_text:
+                    text = ["" if gone else _kept(raw, _whole_characters(raw, own)).decode("utf-8", "replace")]
+                sha = digest if uncut else hashlib.sha256(b"" if gone else _kept(raw, own)).hexdigest()
                 for r in mine:
-                    for c, v in zip(cols, [*r, *text, len(t.raw), *out]):
+                    for c, v in zip(cols, [*r, *text, size, sum(b - a for a, b in own), len(own), sha]):
                         c.append(v)
         kinds = [*types, *([pa.string()] if with_text else []), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
@@ -481,15 +485,10 @@ def _finish(keep: list[str], types: list, id_at: int, with_text: bool):
                 if kind == 0:
                     verdicts.append(_unblob(blob))
                     continue
-                made = []
-                for raw, own, low, at in _unblob(blob):
-                    t = _Text.__new__(_Text)
-                    t.raw, t.rows, t.low, t.at = raw, own, low, at
-                    made.append(t)
                 if kind == 2:
-                    yield results([(t, []) for t in made])
+                    yield results([(raw, own, low, [], facts) for raw, own, low, facts in _unblob(blob)])
                 else:
-                    texts += made
+                    texts += [_Text(raw, own, at, id_at) for raw, own, _, at in _unblob(blob)]
             if not texts:
                 continue
             texts.sort(key=lambda t: (_digest(t.raw), t.raw))
@@ -508,7 +507,7 @@ def _finish(keep: list[str], types: list, id_at: int, with_text: bool):
             begin, end = pos[hit] - hi[hit], pos[hit] - lo[hit] + LENGTH
             cuts = np.searchsorted(text[hit], np.arange(len(texts) + 1))
             for k in range(0, len(texts), 256):
-                yield results([(t, _merge(begin[cuts[i]:cuts[i + 1]], end[cuts[i]:cuts[i + 1]]))
+                yield results([(t.raw, t.rows, t.low, _merge(begin[cuts[i]:cuts[i + 1]], end[cuts[i]:cuts[i + 1]]), None)
                                for i, t in enumerate(texts[k:k + 256], k)])
     return run
 
@@ -560,7 +559,8 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
     anchored = docs.select("text").mapInArrow(_anchor_stage(ranges), _DEALT)
     surviving = _dealt(anchored, _range_stage(groups), _DEALT)
     grouped = surviving.unionAll(texts.mapInArrow(_text_stage(groups, id_at), _DEALT))
-    staged = materialize(_dealt(grouped, _group_stage(splitters, id_at), _DEALT), "suffix-groups")
+    # Read by both branches below: the exchange is shared, the stage runs twice.
+    staged = _dealt(grouped, _group_stage(splitters, id_at, with_text), _DEALT)
     verdicts = _dealt(staged.where("kind = 0"), _bucket_stage, _DEALT)
     from pyspark.sql.pandas.types import to_arrow_type
 
