@@ -74,7 +74,8 @@ def text_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         "__bare": F.array_join("__w", ""),
         "__lines": F.filter(F.split("__t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
         "__win": F.when(F.size("__w") > WINDOW, _window_hashes(F.transform("__w", lambda w: F.xxhash64(w)), F.size("__w")))})
-    return d.withColumns({
+    counts = {
+        "n_words": F.col("n_words"),
         "word_chars": F.length("__bare").cast("long"),
         "n_symbols": (F.length("__bare") - F.length(F.translate("__bare", SYMBOLS, ""))).cast("long"),
         "n_upper": F.length(F.regexp_replace("__bare", "[^A-Z]+", "")).cast("long"),
@@ -82,7 +83,10 @@ def text_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
         "n_repeat_words": F.when(F.col("__win").isNull() | (F.size(F.array_distinct("__win")) == F.size("__win")),
                                  F.lit(0).cast("long")).otherwise(_covered(F.col("__win"))),
-    }).drop("__t", "__w", "__bare", "__lines", "__win")
+    }
+    # A generator of one row: the planner does not fold the counts into the
+    # expressions that use them, which would count again for every use.
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*[v.alias(k) for k, v in counts.items()]))))
 
 
 def _rates(m: DataFrame) -> DataFrame:
