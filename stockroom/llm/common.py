@@ -23,7 +23,7 @@ WORD_SPACES_CLASS = "[\\x20\\x09-\\x0D]+"
 
 # Rows per Arrow batch handed to Python: whole texts can be long, so that a
 # batch stays within tens of MB.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

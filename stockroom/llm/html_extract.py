@@ -158,6 +158,7 @@ def subtree_hashes(top: _Element) -> list[int]:
         return out
 
     _deep(walk, top)
+    walk = None  # a function that names itself is a cycle: free it now
     return found
 
 
@@ -215,6 +216,7 @@ def blocks(top: _Element) -> list[tuple[str, list[int]]]:
 
     _deep(lambda t: walk(t, False, []), top)
     flush([])
+    walk = None
     return out
 
 
@@ -246,7 +248,7 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
 def templates(subtrees: DataFrame, hosts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree) standing on at least ``min_pages`` pages and
     ``min_share`` of the pages of the host."""
-    seen = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    seen = subtrees.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
     return seen.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
 
 
@@ -262,7 +264,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
     keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.md5(F.concat_ws(
         "\0", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")),
         F.coalesce("html", F.lit("")))).alias("page"))
-    subtrees = materialize(page_subtrees(keyed), "html-subtrees").distinct()
+    subtrees = materialize(page_subtrees(keyed), "html-subtrees")
     hosts = materialize(keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")), "html-hosts")
     template = materialize(templates(subtrees, hosts, min_pages, min_share), "html-templates")
     doomed = materialize(subtrees.join(template, ["host", "subtree"]).select("page", "subtree"), "html-doomed")
@@ -299,6 +301,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()),
                                           pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    # Few, sorted hashes per page; the packed blocks are the wide side.
     joined = packed.join(doomed, "page", "left").select("page_id", "url", "packed", "doomed")
     return map_batches(joined, unpack, T.StructType([
         T.StructField("page_id", id_type), T.StructField("url", url_type),
