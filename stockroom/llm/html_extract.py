@@ -27,6 +27,9 @@ from stockroom.llm.common import map_batches, materialize
 MIN_PAGES = 3
 MIN_SHARE = 0.01
 
+# Elements nested deeper are flattened into their parent.
+MAX_DEPTH = 150
+
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea svg math object canvas select xmp noembed noframes title".split())
@@ -123,7 +126,12 @@ def parse(source: str | None) -> _Element:
                     break
         boiler, root = _marks(tag, m[3], roots > 0)
         element = _Element(tag, boiler, root)
-        stack[-1].parts.append(element)
+        if len(stack) <= MAX_DEPTH or ((boiler or (root and not roots)) and not any(e.boiler for e in stack)):
+            stack[-1].parts.append(element)
+        else:  # its text stays, as its parent's
+            element.root, root = False, False
+            element.parts = stack[-1].parts
+            element.parts.append(" ")
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
             roots += root
@@ -157,37 +165,18 @@ def subtree_hashes(top: _Element) -> list[int]:
             found.append(e.hash)
         return out
 
-    _deep(walk, top)
+    walk(top)
     walk = None  # a function that names itself is a cycle: free it now
     return found
 
 
-def _deep(fn, top: _Element):
-    """Run a recursive walk; very deep trees get a deeper stack."""
-    import sys
-    import threading
-
-    try:
-        return fn(top)
-    except RecursionError:
-        out: list = []
-        limit, size = sys.getrecursionlimit(), threading.stack_size(512 * 1024 * 1024)
-        sys.setrecursionlimit(2_000_000)
-        t = threading.Thread(target=lambda: out.append(fn(top)))
-        t.start()
-        t.join()
-        sys.setrecursionlimit(limit)
-        threading.stack_size(size)
-        return out[0] if out else None
-
-
 def blocks(top: _Element) -> list[tuple[str, list[int]]]:
     """Text blocks in page order as (text, hashes of the subtrees around it
     that a template may delete). If the page marks content, only that;
     boilerplate-marked elements are left out."""
     out: list[tuple[str, list[int]]] = []
     buffer: list[str] = []
-    marked = _deep(_has_root, top)
+    marked = _has_root(top)
 
     def flush(path: list[int]) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
@@ -214,7 +203,7 @@ def blocks(top: _Element) -> list[tuple[str, list[int]]]:
         if block:
             flush(here)
 
-    _deep(lambda t: walk(t, False, []), top)
+    walk(top, False, [])
     flush([])
     walk = None
     return out
