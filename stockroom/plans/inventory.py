@@ -12,7 +12,7 @@ from ..functions.categories import DEFAULT_SECTION_GROUPS, combine_sections
 from ..operators.aggregate import group_total, group_value, share_of_total
 from ..operators.changes import apply_quantity_events, upsert_items
 from ..operators.filters import drop_null, filter_eq, filter_in, having_gt
-from ..sources.sinks import read_snapshot, write_snapshot
+from ..sources.sinks import update_snapshot
 
 # Fixed value: the message when the price measure is asked for without a
 # price column.
@@ -57,13 +57,13 @@ def section_report(df: DataFrame, threshold=10, drill_section: str = "Laptops",
 
 
 def maintain_inventory(spark: SparkSession, root: str, name: str, incoming: DataFrame | None = None,
-                       events: DataFrame | None = None, version: int | None = None) -> int:
-    """P10: read the latest snapshot, merge incoming items (I1), apply
-    quantity events (I5), write the next snapshot. Returns its version."""
-    current = read_snapshot(spark, root, name)
-    nxt = current
-    if incoming is not None:
-        nxt = upsert_items(nxt, incoming)
-    if events is not None:
-        nxt = apply_quantity_events(nxt, events)
-    return write_snapshot(nxt, root, name, version)
+                       events: DataFrame | None = None) -> int:
+    """P10: merge incoming items (I1) into the newest snapshot, apply quantity
+    events (I5), commit the next version. Returns it. If a stream or another
+    run commits meanwhile, the change is made again on that version."""
+    def change(current: DataFrame) -> DataFrame:
+        if incoming is not None:
+            current = upsert_items(current, incoming)
+        return current if events is None else apply_quantity_events(current, events)
+
+    return update_snapshot(spark, root, name, change)

@@ -2,7 +2,7 @@
 
 from .layout import flatten_sections
 from .readers import from_rows, load_table, read_export, read_feature_names, read_parquet, read_table
-from .sinks import (export_name, export_view, prune_snapshots, read_snapshot, snapshot_versions, write_csv,
+from .sinks import (SnapshotConflict, applied_batches, export_name, export_view, prune_snapshots, read_snapshot, snapshot_versions, update_snapshot, write_csv,
                     write_snapshot)
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -9,9 +9,9 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
-from pyspark.sql.utils import AnalysisException
 
 from ..session import default_parallelism
+from .sinks import _fs, snapshot_versions
 
 log = logging.getLogger("stockroom")
 
@@ -169,14 +169,16 @@ def read_parquet(spark: SparkSession, path: str, fan_out: bool = False) -> DataF
 
 
 def load_table(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
-    """Named table snapshot (Parquet); a missing table is an empty table of
-    ``schema`` plus a warning (A4)."""
+    """Named table (Parquet) with the columns of ``schema``: the newest
+    committed version of a snapshot table, else the folder itself. Only a
+    missing path is an empty table plus a warning (A4)."""
     path = f"{root.rstrip('/')}/{name}"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        log.warning("table %s not loaded: %s", path, e)
+    fs, base = _fs(spark, path)
+    if not fs.exists(base):
+        log.warning("table %s not loaded: no such path", path)
         return spark.createDataFrame([], schema)
+    versions = snapshot_versions(spark, root, name)
+    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}" if versions else path).select(schema.fieldNames())
 
 
 # The part of a GeoJSON FeatureCollection that is read (no inference pass).

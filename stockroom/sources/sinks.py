@@ -2,14 +2,20 @@
 
 A snapshot is a folder ``<root>/<name>/v=<N>``; readers take the highest N.
 Spark cannot overwrite a path it is reading from, so a change never writes in
-place: it writes version N+1, and a replayed write of the same version is
-skipped.
+place: it is written aside, version N+1 is claimed by creating a file that
+only one writer can create, and the folder is renamed. A writer that loses
+the claim gets ``SnapshotConflict`` and starts again from the newer version.
+Each version carries ``_applied``: the last batch of every stream whose
+events it holds.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import json
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -38,6 +44,7 @@ def write_csv(df: DataFrame, path: str, style: str = "pandas", single_file: bool
     """
     out = df.coalesce(1) if single_file else df
     (out.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("nullValue", "NA" if style == "readr" else "").option("emptyValue", "")
      .csv(path))
 
@@ -61,20 +68,83 @@ def snapshot_versions(spark: SparkSession, root: str, name: str) -> list[int]:
     return sorted(versions)
 
 
-def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = None) -> int:
-    """Write ``df`` as the next version (or ``version``) of a table.
+class SnapshotConflict(RuntimeError):
+    """The version to be written was committed by another writer meanwhile."""
 
-    Returns the version. An already committed version is not rewritten, so
-    a retried batch is harmless.
+
+def _latest(spark: SparkSession, root: str, name: str) -> int | None:
+    versions = snapshot_versions(spark, root, name)
+    return versions[-1] if versions else None
+
+
+def applied_batches(spark: SparkSession, root: str, name: str, version: int | None) -> dict[str, int]:
+    """Last batch per stream whose events version ``version`` holds."""
+    if version is None:
+        return {}
+    fs, path = _fs(spark, f"{root.rstrip('/')}/{name}/v={version}/_applied")
+    if not fs.exists(path):
+        return {}
+    stream = fs.open(path)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = None, base: int | None = None,
+                   applied: dict[str, int] | None = None) -> int:
+    """Commit ``df`` as the next version (or ``version``) of a table (A7); returns it.
+
+    ``base`` is the version that ``df`` was computed from: if it is no longer
+    the newest, or another writer claims the next one first, the write is
+    refused with ``SnapshotConflict``. A committed version is never replaced.
+    The record of applied stream batches is carried over, plus ``applied``.
     """
     spark = df.sparkSession
-    if version is None:
-        existing = snapshot_versions(spark, root, name)
-        version = (existing[-1] + 1) if existing else 1
-    elif version in snapshot_versions(spark, root, name):
-        return version
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/v={version}")
-    return version
+    folder = f"{root.rstrip('/')}/{name}"
+    aside = f"{folder}/_aside-{uuid.uuid4().hex}"
+    df.write.parquet(aside)
+    latest = _latest(spark, root, name)
+    if base is not None and latest != base:
+        raise SnapshotConflict(f"{name}: version {latest} was written since version {base} was read")
+    record = {**applied_batches(spark, root, name, latest), **(applied or {})}
+    fs, path = _fs(spark, f"{aside}/_applied")
+    out = fs.create(path)
+    out.write(json.dumps(record).encode())
+    out.close()
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(jpath(f"{folder}/_claims"))
+    target = version if version is not None else (1 if latest is None else latest + 1)
+    # A claim without its version was left by a writer that died: passed over
+    # when appending, refused when that very version is asked for.
+    while not fs.createNewFile(jpath(f"{folder}/_claims/{target}")):
+        if version is not None or base is not None and (_latest(spark, root, name) or 0) >= target:
+            raise SnapshotConflict(f"{name}: version {target} is taken")
+        target += 1
+    if not fs.rename(jpath(aside), jpath(f"{folder}/v={target}")):
+        raise SnapshotConflict(f"{name}: version {target} could not be committed")
+    return target
+
+
+def update_snapshot(spark: SparkSession, root: str, name: str, change: Callable[[DataFrame], DataFrame],
+                    stream: tuple[str, int] | None = None, attempts: int = 10) -> int:
+    """Read the newest version, write ``change`` of it as the next; start
+    again when another writer came first. With ``stream`` = (query id, batch
+    id) a batch that the newest version already holds changes nothing."""
+    for attempt in range(attempts):
+        base = _latest(spark, root, name)
+        if base is None:
+            raise FileNotFoundError(f"no snapshot of {name} under {root}; write the starting table first")
+        if stream and applied_batches(spark, root, name, base).get(stream[0], -1) >= stream[1]:
+            return base
+        try:
+            return write_snapshot(change(read_snapshot(spark, root, name, version=base)), root, name, base=base,
+                                  applied=dict([stream]) if stream else None)
+        except SnapshotConflict:
+            if attempt == attempts - 1:
+                raise
+    raise ValueError("attempts must be positive")
 
 
 def prune_snapshots(spark: SparkSession, root: str, name: str, keep: int) -> list[int]:

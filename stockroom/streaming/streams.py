@@ -1,9 +1,12 @@
 """Structured Streaming forms of the refresh loop and the +/- events
 (SURVEY T1-T3).
 
-Results are written with ``foreachBatch`` as versioned snapshots
-(``<root>/<name>/v=<batch_id + 1>``): a replayed micro-batch finds its version
-already committed and does nothing, so the sinks are idempotent.
+Results are written with ``foreachBatch`` as versioned snapshots. A version
+is always the one after the newest, whoever wrote that; the batch id is not
+part of it. Each version records the last batch of every stream it holds, so
+a replayed micro-batch changes nothing, and maintenance and streams can share
+a table. A query with a fresh checkpoint is a new stream: what it reads is
+applied.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.changes import apply_quantity_events
-from ..sources.sinks import prune_snapshots, read_snapshot, snapshot_versions, write_snapshot
+from ..sources.sinks import applied_batches, prune_snapshots, snapshot_versions, update_snapshot, write_snapshot
 
 # Fixed value: refresh interval of the live inventory view.
 REFRESH_INTERVAL = "30 seconds"
@@ -37,9 +40,18 @@ def _trigger(writer, interval: str | None):
     return writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
 
 
+def _query_id(batch: DataFrame) -> str:
+    """Id of the streaming query a micro-batch belongs to; it lives in the checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def _snapshot_sink(root: str, name: str, keep_versions: int | None = None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_snapshot(batch, root, name, version=batch_id + 1)
+        spark, query = batch.sparkSession, _query_id(batch)
+        versions = snapshot_versions(spark, root, name)
+        if applied_batches(spark, root, name, versions[-1] if versions else None).get(query, -1) >= batch_id:
+            return
+        write_snapshot(batch, root, name, applied={query: batch_id})
         if keep_versions:
             prune_snapshots(batch.sparkSession, root, name, keep_versions)
     return write
@@ -75,23 +87,13 @@ def stream_apply_events(events: DataFrame, root: str, name: str, checkpoint: str
     snapshot with the delete-at-zero rule (I5) and write the next version.
 
     Events are ordered within a batch; batches apply in arrival order, so
-    event files must arrive in time order. The snapshot written by batch b is
-    version b + 1, so a replayed batch is skipped.
+    event files must arrive in time order. The base is the newest version;
+    if another writer commits meanwhile, the batch is applied again to that.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = batch_id + 1
-        versions = snapshot_versions(spark, root, name)
-        if target in versions:
-            return
-        earlier = [v for v in versions if v < target]
-        if not earlier:
-            raise FileNotFoundError(f"no snapshot of {name} under {root} before version {target}; "
-                                    "write the starting table as version 0")
-        base_version = max(earlier)
-        current = read_snapshot(spark, root, name, version=base_version)
-        write_snapshot(apply_quantity_events(current, batch, id_col=id_col, order_cols=order_cols),
-                       root, name, version=target)
+        update_snapshot(batch.sparkSession, root, name,
+                        lambda current: apply_quantity_events(current, batch, id_col=id_col, order_cols=order_cols),
+                        stream=(_query_id(batch), batch_id))
 
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return _trigger(writer, interval).start()

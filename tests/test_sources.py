@@ -4,9 +4,11 @@ import datetime as dt
 import json
 import os
 
+import pytest
+
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from stockroom.sources import (export_name, export_view, flatten_sections, load_table, prune_snapshots,
+from stockroom.sources import (SnapshotConflict, export_name, export_view, flatten_sections, load_table, prune_snapshots,
                                read_export, read_feature_names, read_snapshot, read_table, snapshot_versions,
                                write_csv, write_snapshot)
 
@@ -76,7 +78,10 @@ def test_snapshots_versions_and_replay(spark, tmp_dir):
     b = spark.createDataFrame([("x", 2)], "Item string, Quantity long")
     assert write_snapshot(a, tmp_dir, "inv") == 1
     assert write_snapshot(b, tmp_dir, "inv") == 2
-    assert write_snapshot(a, tmp_dir, "inv", version=2) == 2  # replay: skipped
+    with pytest.raises(SnapshotConflict):
+        write_snapshot(a, tmp_dir, "inv", version=2)
+    with pytest.raises(SnapshotConflict):
+        write_snapshot(a, tmp_dir, "inv", base=1)
     assert snapshot_versions(spark, tmp_dir, "inv") == [1, 2]
     assert rows(read_snapshot(spark, tmp_dir, "inv")) == [("x", 2)]
     assert rows(read_snapshot(spark, tmp_dir, "inv", version=1)) == [("x", 1)]
@@ -172,3 +177,18 @@ def test_read_table_quoted_line_breaks(spark, tmp_dir):
     p = _write(os.path.join(tmp_dir, "notes.csv"), 'Item,Comments\nDock,"two\nlines"\nPen,\n')
     df = read_table(spark, p, multiline=True)
     assert rows(df) == [("Dock", "two\nlines"), ("Pen", None)]
+
+
+def test_load_table_takes_the_newest_version(spark, tmp_dir):
+    schema = StructType([StructField("Item", StringType()), StructField("Quantity", LongType())])
+    for q in (1, 2, 3):
+        write_snapshot(spark.createDataFrame([("x", q)], schema), tmp_dir, "inv")
+    df = load_table(spark, tmp_dir, "inv", schema)
+    assert df.columns == ["Item", "Quantity"] and rows(df) == [("x", 3)]
+
+
+def test_csv_keeps_outer_blanks(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "blanks")
+    write_csv(spark.createDataFrame([(" a b ", "x")], "k string, v string"), out)
+    text = "".join(open(os.path.join(out, f)).read() for f in os.listdir(out) if f.endswith(".csv"))
+    assert " a b ,x" in text
