@@ -13,7 +13,8 @@ from ._util import as_col
 _NUMERIC = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"
 
 # Exact accumulator for money sums: float sums depend on the order rows arrive.
-MONEY_DECIMAL = "decimal(18,2)"
+# Ten digits after the point keep sub-cent prices and fractional quantities.
+MONEY_DECIMAL = "decimal(38,10)"
 
 
 def parse_money(col) -> Column:
@@ -49,5 +50,6 @@ def money_sum(col) -> Column:
 
 
 def money_product_sum(qty, price) -> Column:
-    """Order-independent sum of qty x price, returned as double."""
-    return F.sum(as_col(qty).cast(MONEY_DECIMAL) * as_col(price).cast(MONEY_DECIMAL)).cast("double")
+    """Order-independent sum of qty x price, multiplied before any rounding,
+    returned as double."""
+    return F.sum((as_col(qty).cast("double") * as_col(price).cast("double")).cast(MONEY_DECIMAL)).cast("double")

@@ -74,8 +74,8 @@ def summary_totals(tables: Mapping[str, tuple[DataFrame, str]], money: bool = Tr
     return out
 
 
-def share_of_total(grouped: DataFrame, value: str, name: str = "share", digits: int | None = 6) -> DataFrame:
-    """Each group's fraction of the grand total.
+def share_of_total(grouped: DataFrame, value: str, name: str = "share", digits: int | None = None) -> DataFrame:
+    """Each group's fraction of the grand total (G10), rounded only on request.
 
     The total is a scalar subquery evaluated once, so no join, no global
     window and no single-task step is needed however many groups there are.

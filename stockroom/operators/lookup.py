@@ -19,9 +19,6 @@ from ..functions.pricing import DEFAULT_PRICE_RULES, NO_MATCH_PRICE, clean_model
 # package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
-# Rule tables up to this many rows are broadcast to the join; larger ones are
-# shuffled like any other join side.
-RULES_BROADCAST_MAX_ROWS = 200_000
 
 # Splits text into alternating runs of word and non-word characters.
 _RUN_SPLIT = r"(?U)(?<=\W)(?=\w)|(?<=\w)(?=\W)"
@@ -114,8 +111,7 @@ def price_by_rule_table(df: DataFrame, model_col: str, rules, out_col: str = "Es
         F.explode(F.transform(
             F.sequence(F.lit(1), F.least(F.lit(max_tokens), F.size("_tok") - F.col("_p")), F.lit(2)),
             lambda n: F.array_join(F.slice("_tok", F.col("_p") + 1, n), ""))).alias("keyword"))
-    rule_side = F.broadcast(r) if n <= RULES_BROADCAST_MAX_ROWS else r
-    best = (spans.join(rule_side, "keyword")
+    best = (spans.join(r, "keyword")
             .groupBy("_t").agg(F.min_by("price", "priority").alias("_price")))
     keyed = df.withColumn("_t", text)
     out = keyed.join(best, "_t", "left").withColumn(out_col, F.coalesce(F.col("_price"), F.lit(float(default))))

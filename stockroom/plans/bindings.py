@@ -21,15 +21,12 @@ from ..sources.readers import read_parquet
 _TABLES: dict[tuple, DataFrame] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, fan_out: bool = False) -> DataFrame:
-    """A given table. ``fan_out`` spreads a single mid-sized file over the
-    session's partitions; only role builders that do heavy per-row text
-    work before their first shuffle ask for it (elsewhere the first
-    exchange spreads the rows, after map-side aggregation)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name, fan_out)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, read once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     df = _TABLES.get(key)
     if df is None:
-        df = _TABLES[key] = read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", fan_out=fan_out)
+        df = _TABLES[key] = read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df
 
 
@@ -156,7 +153,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     account-summary line without a number per nation, as a vendor export
     carries. Null numbers on this side stay bounded by the nation table, so
     the null-safe merge does not grow with the square of the data."""
-    o = table(spark, sf_dir, "orders", fan_out=True)
+    o = table(spark, sf_dir, "orders")
     st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
     num = _dotted_number("o_custkey", "-")
     text = (F.when((st == "P") & (pr == "1-URGENT"), num)
@@ -178,7 +175,7 @@ def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workstations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workstation devices from ``lineitem``; the warehouse is the
     supplier's nation. Estimated Price is money text."""
-    li = table(spark, sf_dir, "lineitem", fan_out=True)
+    li = table(spark, sf_dir, "lineitem")
     su = table(spark, sf_dir, "supplier")
     na = table(spark, sf_dir, "nation")
     j = (li.join(su, li.l_suppkey == su.s_suppkey).join(na, su.s_nationkey == na.n_nationkey))

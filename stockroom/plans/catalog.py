@@ -440,10 +440,9 @@ def q_distinct_sorted(spark, d):
 
 
 @register("next_row_id", B.with_ctes("inventory") + """
-SELECT coalesce(max("RowID"), 0) + 1 AS next_row_id FROM inventory WHERE ("RowID" - 1) % 2 = 0""")
+SELECT coalesce(max("RowID"), 0) + 1 AS next_row_id FROM inventory""")
 def q_next_row_id(spark, d):
-    existing, _ = B.split_existing_incoming(spark, d)
-    return spark.range(1).select(next_row_id(existing).alias("next_row_id"))
+    return spark.range(1).select(next_row_id(B.inventory(spark, d)).alias("next_row_id"))
 
 
 @register("summary_totals", B.with_ctes("inventory", "phones", "plans", "workstations",

@@ -22,6 +22,10 @@ from ..sources.sinks import export_view
 WORKSTATION_FILTERS = ["Department", "Device", "Warehouse"]
 
 
+# Digits of the shares that the charts show.
+SHARE_DIGITS = 6
+
+
 def clean_table(df: DataFrame) -> DataFrame:
     """Whichever table it is, drop RowID, parse money columns, add the
     derived Annual Phone Bill / Total Value (each only if its inputs exist)."""
@@ -52,26 +56,26 @@ def summary_cards(storage: DataFrame | None, phones: DataFrame | None, workstati
 
 def storage_by_category(storage: DataFrame) -> DataFrame:
     return share_of_total(group_total(storage, "Combined_Section", "Total Value", "Total Value",
-                                      drop_null_keys=True, money=True), "Total Value")
+                                      drop_null_keys=True, money=True), "Total Value", digits=SHARE_DIGITS)
 
 
 def phone_bill_by_location(phones: DataFrame) -> DataFrame:
     """Pie over raw rows: blank and null locations stay as their own slice."""
     return share_of_total(group_total(phones, "Location", "Annual Phone Bill", "Annual Phone Bill",
-                                      drop_null_keys=False, money=True), "Annual Phone Bill")
+                                      drop_null_keys=False, money=True), "Annual Phone Bill", digits=SHARE_DIGITS)
 
 
 def phone_bill_by_administration(phones: DataFrame, labels: Mapping[str, str] = YES_NO_LABELS) -> DataFrame:
     """Y/N -> Yes/No, then a pandas group-by: rows with neither flag vanish."""
     labelled = phones.withColumn("Administration", map_values(F.col("Administration"), labels))
     return share_of_total(group_total(labelled, "Administration", "Annual Phone Bill", "Annual Phone Bill",
-                                      drop_null_keys=True, money=True), "Annual Phone Bill")
+                                      drop_null_keys=True, money=True), "Annual Phone Bill", digits=SHARE_DIGITS)
 
 
 def workstation_value_by(workstations: DataFrame, key: str) -> DataFrame:
     """Device / Warehouse / Department value breakdown with shares."""
     return share_of_total(group_total(workstations, key, "Estimated Price", "Estimated Price",
-                                      drop_null_keys=True, money=True), "Estimated Price")
+                                      drop_null_keys=True, money=True), "Estimated Price", digits=SHARE_DIGITS)
 
 
 def county_table(df: DataFrame, domain: DataFrame, value_col: str | None = None,

@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import DEFAULT_SECTION_GROUPS, combine_sections
 from ..operators.aggregate import group_total, group_value, share_of_total
-from ..operators.changes import apply_quantity_events, upsert_items
+from ..operators.changes import apply_quantity_events, prepare_incoming, upsert_items
 from ..operators.filters import drop_null, filter_eq, filter_in, having_gt
-from ..sources.sinks import update_snapshot
+from ..sources.sinks import read_snapshot, update_snapshot, write_snapshot
 
 # Fixed value: the message when the price measure is asked for without a
 # price column.
 PRICE_NOT_AVAILABLE = "The 'Estimated Price' data is not available."
 
 
+# Digits of the shares that the reports show.
+SHARE_DIGITS = 6
+
+
 def with_combined_section(df: DataFrame, groups=DEFAULT_SECTION_GROUPS) -> DataFrame:
     if "Combined_Section" in df.columns:
         return df
@@ -51,7 +55,7 @@ def section_report(df: DataFrame, threshold=10, drill_section: str = "Laptops",
     top = having_gt(by_section, "Total_Quantity", threshold)
     drill = filter_eq(rows, "Section", drill_section).select("Item", "Quantity").orderBy(F.desc("Quantity"))
     combined = share_of_total(group_total(with_combined_section(rows, groups), "Combined_Section",
-                                          "Quantity", "Total_Quantity"), "Total_Quantity")
+                                          "Quantity", "Total_Quantity"), "Total_Quantity", digits=SHARE_DIGITS)
     return {"by_section": by_section.orderBy(F.desc("Total_Quantity")), "top_sections": top,
             "drill_down": drill, "combined": combined}
 
@@ -60,10 +64,16 @@ def maintain_inventory(spark: SparkSession, root: str, name: str, incoming: Data
                        events: DataFrame | None = None) -> int:
     """P10: merge incoming items (I1) into the newest snapshot, apply quantity
     events (I5), commit the next version. Returns it. If a stream or another
-    run commits meanwhile, the change is made again on that version."""
+    run commits meanwhile, the change is made again on that version. Incoming
+    rows that validation rejects are kept, with their reason, as the snapshot
+    table ``<name>_rejected``."""
     def change(current: DataFrame) -> DataFrame:
         if incoming is not None:
             current = upsert_items(current, incoming)
         return current if events is None else apply_quantity_events(current, events)
 
-    return update_snapshot(spark, root, name, change)
+    version = update_snapshot(spark, root, name, change)
+    if incoming is not None:
+        rejected = prepare_incoming(read_snapshot(spark, root, name, version=version), incoming)[1]
+        write_snapshot(rejected, root, f"{name}_rejected")
+    return version

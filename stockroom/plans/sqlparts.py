@@ -63,8 +63,8 @@ def first_number(x: str, default: float = 100.0) -> str:
 
 
 def money_sum(x: str) -> str:
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(CAST(sum(CAST({x} AS DECIMAL(38,10))) AS DECIMAL(38,4)) AS DOUBLE)"
 
 
 def money_product_sum(a: str, b: str) -> str:
-    return f"CAST(sum(CAST({a} AS DECIMAL(18,2)) * CAST({b} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(CAST(sum(CAST(CAST({a} AS DOUBLE) * CAST({b} AS DOUBLE) AS DECIMAL(38,10))) AS DECIMAL(38,4)) AS DOUBLE)"

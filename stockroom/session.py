@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import os
 import tempfile
 import uuid
 
@@ -74,8 +73,3 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, int(value))
     except (TypeError, ValueError):
         return max(1, spark.sparkContext.defaultParallelism)
-
-
-def env_flag(name: str, default: bool = False) -> bool:
-    v = os.environ.get(name)
-    return default if v is None else v.lower() in ("1", "true", "yes")

@@ -10,21 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..session import default_parallelism
 from .sinks import _fs, snapshot_versions
 
 log = logging.getLogger("stockroom")
 
-# A single input file in this size range is read by one task (a parquet file
-# splits only at row-group boundaries); ``read_parquet`` spreads it over the
-# session's partitions. Directories and larger files are read as they are.
-FAN_OUT_MIN_BYTES = 1 << 20
-FAN_OUT_MAX_BYTES = 512 << 20
-
-# Exports of up to this many files join their per-file header positions by
-# broadcast; more files use a shuffled join.
-EXPORT_BROADCAST_MAX_FILES = 100_000
-
 # Text that pandas.read_csv reads as missing by default.
 PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -132,40 +121,18 @@ def read_export(spark: SparkSession, path: str, header_record: int,
         F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_m"))
     # One row per file: the scan id of the file's header line.
     cut = spark.createDataFrame([(f, i) for f, i, _ in cuts], "_file string, _h long")
-    # One row per file, counted on the driver: broadcast below the bound.
-    small = (lambda t: F.broadcast(t)) if len(files) <= EXPORT_BROADCAST_MAX_FILES else (lambda t: t)
     bounds = (raw.where(F.col("_block") == 0).groupBy("_part", "_file").agg(F.min("_m").alias("_m0"))
-              .join(small(cut), "_file").select("_part", "_file", (F.col("_m0") + F.col("_h")).alias("_last")))
-    body = (raw.join(small(bounds), ["_part", "_file"], "left")
+              .join(cut, "_file").select("_part", "_file", (F.col("_m0") + F.col("_h")).alias("_last")))
+    body = (raw.join(bounds, ["_part", "_file"], "left")
             .where((F.col("_block") > 0) | F.col("_last").isNull() | (F.col("_m") > F.col("_last")))
             .where(~F.col("_line").rlike(r"^\s*$")))
     df = body.select(F.from_csv(F.col("_line"), ddl, {"escape": '"'}).alias("_r")).select("_r.*")
     return _cast(_null_tokens(df, PANDAS_NA_TOKENS), types)
 
 
-def _single_file_bytes(spark: SparkSession, path: str) -> int | None:
-    """Size of ``path`` if it is one file, else None (one status call)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        st = fs.getFileStatus(p)
-    except Exception:  # missing or glob path: let the reader report it
-        return None
-    return st.getLen() if st.isFile() else None
-
-
-def read_parquet(spark: SparkSession, path: str, fan_out: bool = False) -> DataFrame:
-    """Parquet table. With ``fan_out``, a single mid-sized file is spread
-    over the session's shuffle partitions, for per-row work that would
-    otherwise run in one task before the first shuffle; folders and large
-    files are read as they are (their splits already spread the work)."""
-    df = spark.read.parquet(path)
-    if fan_out:
-        size = _single_file_bytes(spark, path)
-        if size is not None and FAN_OUT_MIN_BYTES <= size <= FAN_OUT_MAX_BYTES:
-            df = df.repartition(default_parallelism(spark))
-    return df
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table."""
+    return spark.read.parquet(path)
 
 
 def load_table(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:

@@ -261,3 +261,10 @@ def test_left_join_warns_on_many_null_pairs(spark, caplog):
         out = left_join_nullsafe(left, right, "k", warn_null_pairs=10)
     assert out.count() == 12
     assert any("3 x 4" in r.getMessage() for r in caplog.records)
+
+
+def test_money_is_not_rounded_before_multiplying(spark):
+    from stockroom.operators import group_value, summary_totals
+    df = spark.createDataFrame([("a", 0.125, 100.0), ("a", 0.125, 100.0), ("b", 1.0, 0.004)], "k string, q double, p double")
+    assert rows(group_value(df, "k", "q", "p")) == [("a", 25.0), ("b", 0.004)]
+    assert rows(summary_totals({"m": (df, "p")})) == [("m", 200.004)]

@@ -109,3 +109,14 @@ def test_dashboard_from_snapshots(spark, tmp_dir):
     assert rows(out["county_annual_bill"]) == [("Aiken", 0.0), ("Charleston", 12000.0), ("Richland", 1200.0)]
     assert rows(out["phone_bill_by_administration"]) == [("No", 12000.0, 0.909091), ("Yes", 1200.0, 0.090909)]
     assert rows(out["workstation_value_by_device"]) == []
+
+
+def test_maintenance_keeps_rejected_rows(spark, tmp_dir):
+    inv = spark.createDataFrame([("dock", 2, None, "Laptops", 1)],
+                                "Item string, Quantity long, Comments string, Section string, RowID long")
+    write_snapshot(inv, tmp_dir, "inventory", version=1)
+    incoming = spark.createDataFrame([("", 1, "", "Tablets", 1), ("pen", 4, None, "Other", 2)],
+                                     "Item string, Quantity long, Comments string, Section string, seq long")
+    maintain_inventory(spark, tmp_dir, "inventory", incoming=incoming)
+    rejected = read_snapshot(spark, tmp_dir, "inventory_rejected")
+    assert rejected.count() == 1 and len(rejected.columns) > len(incoming.columns)

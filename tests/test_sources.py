@@ -156,23 +156,6 @@ def test_prune_snapshots_keeps_newest(spark, tmp_dir):
     assert rows(read_snapshot(spark, tmp_dir, "inv")) == [("x", 4)]
 
 
-def test_read_parquet_fans_out_single_mid_sized_file_only(spark, tmp_dir):
-    from stockroom.sources import read_parquet
-    from stockroom.sources import readers
-    big = spark.range(0, 400_000).selectExpr("id", "cast(id * 7 as string) as s").coalesce(1)
-    big.write.parquet(os.path.join(tmp_dir, "one"))
-    single = [f for f in os.listdir(os.path.join(tmp_dir, "one")) if f.endswith(".parquet")][0]
-    path = os.path.join(tmp_dir, "one", single)
-    assert os.path.getsize(path) >= readers.FAN_OUT_MIN_BYTES
-    fanned = read_parquet(spark, path, fan_out=True)
-    assert "RoundRobinPartitioning" in fanned._jdf.queryExecution().executedPlan().toString()
-    assert fanned.count() == 400_000
-    folder = read_parquet(spark, os.path.join(tmp_dir, "one"), fan_out=True)
-    assert "RoundRobinPartitioning" not in folder._jdf.queryExecution().executedPlan().toString()
-    plain = read_parquet(spark, path)
-    assert "RoundRobinPartitioning" not in plain._jdf.queryExecution().executedPlan().toString()
-
-
 def test_read_table_quoted_line_breaks(spark, tmp_dir):
     p = _write(os.path.join(tmp_dir, "notes.csv"), 'Item,Comments\nDock,"two\nlines"\nPen,\n')
     df = read_table(spark, p, multiline=True)
