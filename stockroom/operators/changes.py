@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import DEFAULT_SECTION_GROUPS, combine_sections
 from ..functions.text import parse_event, squish, trim_ws
+from ..session import ensure_checkpoint_dir
 from .aggregate import next_row_id
 from .filters import validate_items
 from .joins import _with_match_keys
@@ -101,41 +102,43 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
     dropped; with no existing match the first incoming row is appended with
     the incoming sum and a new id (max + 1 upwards, in arrival order).
     Untouched rows stay as they are. A null quantity makes its key's sum null.
+    ``order_col`` is the row's id: present and different in every existing row.
     """
     accepted, _ = prepare_incoming(existing, incoming, price_col, section_col, groups, keys)
     ex, names = _with_match_keys(existing, keys, collapse_inner)
     inc, _ = _with_match_keys(accepted, keys, collapse_inner)
 
+    # Both sides are reduced to one row per key, with map-side partials, before
+    # they meet: no row of a hot key is aggregated after a join.
     inc_cols = [c for c in accepted.columns if c not in (qty, arrival_col)]
     is_, in_ = _sum_strict(qty)
     inc_agg = inc.groupBy(*names).agg(
         F.min_by(F.struct(*[_c(c) for c in inc_cols]), _c(arrival_col)).alias("_inc_first"),
         F.min(_c(arrival_col)).alias("_arr"), is_.alias("_iq"), in_.alias("_in"))
-
-    tagged = ex.join(inc_agg.select(*names, "_iq", "_in"), names, "left")
-    untouched = tagged.where(F.col("_in").isNull()).select(*[_c(c) for c in existing.columns])
-
-    ex_others = [c for c in existing.columns if c != qty]
     es, en = _sum_strict(qty)
-    touched = tagged.where(F.col("_in").isNotNull()).groupBy(*names).agg(
-        F.min_by(F.struct(*[_c(c) for c in ex_others]), _c(order_col)).alias("_f"),
-        es.alias("_eq"), en.alias("_en"), F.max("_iq").alias("_iq"), F.max("_in").alias("_in"))
-    merged = touched.select(*[F.col("_f")[c].alias(c) for c in ex_others],
-                            F.when(F.col("_en") + F.col("_in") > 0, F.lit(None))
-                            .otherwise(F.col("_eq") + F.coalesce(F.col("_iq"), F.lit(0))).alias(qty))
-
-    # Keys without an existing match: compared with the matched keys (at most
-    # one row per incoming key), not with every key of the existing table.
-    new_keys = inc_agg.join(touched.select(*names), names, "left_anti")
+    ex_agg = ex.groupBy(*names).agg(F.min(_c(order_col)).alias("_keep"), es.alias("_eq"), en.alias("_en"),
+                                    F.lit(True).alias("_found"))
+    ensure_checkpoint_dir(existing.sparkSession)
+    changed = inc_agg.join(ex_agg, names, "left").checkpoint()
+
+    # The first existing row of a changed key takes the sum, its other rows go.
+    total = F.when(F.col("_en") + F.col("_in") > 0, F.lit(None)).otherwise(
+        F.coalesce(F.col("_eq"), F.lit(0)) + F.coalesce(F.col("_iq"), F.lit(0)))
+    sums = changed.where(F.col("_found")).select(*names, "_keep", "_found", total.alias("_total"))
+    present = (ex.join(sums, names, "left")
+               .where(F.col("_found").isNull() | (_c(order_col) == F.col("_keep")))
+               .withColumn(qty, F.when(F.col("_found"), F.col("_total")).otherwise(_c(qty))))
+
     # _arr is the first arrival of each key: distinct per key, so no ties.
-    new = with_row_id(new_keys, ["_arr"], name="_new_no", start=0, unique=True)
+    new = with_row_id(changed.where(F.col("_found").isNull()), ["_arr"], name="_new_no", start=0, unique=True,
+                      checkpoint=True)
     appended = new.select(
         *[F.col("_inc_first")[c].alias(c) for c in inc_cols],
         F.when(F.col("_in") > 0, F.lit(None)).otherwise(F.col("_iq")).alias(qty),
         (next_row_id(existing, order_col) + F.col("_new_no")).alias(order_col))
 
     schema = {f.name: f.dataType for f in existing.schema.fields}
-    out = untouched.unionByName(merged).unionByName(appended, allowMissingColumns=True)
+    out = present.select(*[_c(c) for c in existing.columns]).unionByName(appended, allowMissingColumns=True)
     return out.select(*[_c(c).cast(schema[c]).alias(c) for c in existing.columns])
 
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import match_key
 
@@ -56,10 +59,29 @@ def left_join_nullsafe(left: DataFrame, right: DataFrame, key: str, right_key: s
 
     if not skew_safe:
         return left.join(r, cond(r["_rk"]), "left").drop("_rk")
-    matched = left.join(r, cond(r["_rk"]), "inner").drop("_rk")
-    keys = r.select("_rk").distinct()
-    unmatched = left.join(keys, cond(keys["_rk"]), "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    if null_safe:
+        # The columns that a null-safe match compares, as plain equi-join keys:
+        # the distinct right keys are then partitioned as the join wants them,
+        # and both joins share one exchange of the left rows.
+        numeric = all(isinstance(t, NumericType) for t in (left.schema[key].dataType, r.schema["_rk"].dataType))
+        lt, rt = _null_safe_key(left, key, "_l", numeric), _null_safe_key(r, "_rk", "_r", numeric)
+        cols = list(zip(("_l0", "_l1"), ("_r0", "_r1")))
+    else:
+        lt, rt = left.withColumn("_l0", _c(key)), r.withColumn("_r0", F.col("_rk"))
+        cols = [("_l0", "_r0")]
+    on = reduce(and_, [F.col(x) == F.col(y) for x, y in cols])
+    rnames = [y for _, y in cols]
+    matched = lt.join(rt, on, "inner").drop("_rk", *rnames)
+    unmatched = lt.join(rt.select(*rnames).distinct(), on, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True).drop(*[x for x, _ in cols])
+
+
+def _null_safe_key(df: DataFrame, key: str, name: str, numeric: bool) -> DataFrame:
+    """``df`` with <name>0 (the key, a fixed value for null) and <name>1 (is it
+    null): equal on both exactly where the keys are null-safe equal. Keys that
+    are not numbers on both sides are compared as text."""
+    value, fill = (_c(key), F.lit(0)) if numeric else (_c(key).cast("string"), F.lit(""))
+    return df.withColumns({f"{name}0": F.coalesce(value, fill), f"{name}1": _c(key).isNull()})
 
 
 def complete_domain(domain: DataFrame, agg: DataFrame, key: str, value: str, default=0) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Callable, Sequence
 
@@ -23,7 +22,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 # Splits text into alternating runs of word and non-word characters.
 _RUN_SPLIT = r"(?U)(?<=\W)(?=\w)|(?<=\w)(?=\W)"
 _WORD_START = r"(?U)^\w"
-_WORD_BOTH_ENDS = r"(?U)^\w(.*\w)?$"
 
 
 def enrich_distinct(df: DataFrame, key: str, out_col: str, *,
@@ -63,56 +61,40 @@ def rules_frame(spark, rules: Sequence[tuple[str, float]] = DEFAULT_PRICE_RULES)
     return spark.createDataFrame(rows, "priority int, keyword string, price double")
 
 
-def _rule_stats_local(rules: Sequence[tuple[str, float]]) -> tuple[int, int, int]:
-    """(count, most runs in a keyword, keywords not starting and ending with
-    a word character) of rules given as a list, computed on the driver."""
-    keys = [k.upper() for k, _ in rules]
-    runs = max((len(re.findall(r"\w+|\W+", k)) for k in keys), default=0)
-    bad = sum(1 for k in keys if not re.fullmatch(r"\w(.*\w)?", k, flags=re.S))
-    return len(keys), runs, bad
-
-
 def price_by_rule_table(df: DataFrame, model_col: str, rules, out_col: str = "Estimated Price",
                         clean: bool = True, default=NO_MATCH_PRICE) -> DataFrame:
     """Ordered whole-word keyword rules as an equi-join.
 
-    Same result as ``functions.price_by_rules`` for any number of rules:
-    each distinct model text is cut into runs of word characters; a keyword
-    that starts and ends with a word character matches as a whole word
-    exactly when it equals the text from the start of one run to the end of
-    a later one. Those spans (at most runs x longest keyword) are joined to
-    the rule table by equality; the lowest priority wins.
+    Same result as ``functions.price_by_rules`` for any number of rules and
+    any keywords. Each distinct model text is cut into alternating runs of
+    word and other characters. A whole-word match begins and ends at a word
+    boundary, that is at a border of two runs, or at an end of the text whose
+    run is a word. So a keyword matches exactly when it equals the text from
+    one such border to a later one. Those spans (at most runs x longest
+    keyword) are joined to the rules by equality; the lowest priority wins.
+    An empty keyword matches every text with a word in it.
 
     ``rules`` is a (priority, keyword, price) table, or a list of (keyword,
-    price) pairs in priority order (then its size and shape are known on
-    the driver and no job runs to check them).
+    price) pairs in priority order. No job runs here to look at them.
     """
-    if isinstance(rules, DataFrame):
-        r = rules.select(F.upper("keyword").alias("keyword"), "priority", F.col("price").cast("double").alias("price"))
-        stats = r.agg(F.count(F.lit(1)).alias("n"),
-                      F.max(F.size(F.split("keyword", _RUN_SPLIT))).alias("runs"),
-                      F.sum(F.when(~F.col("keyword").rlike(_WORD_BOTH_ENDS), 1).otherwise(0)).alias("bad")).first()
-        n, runs, bad = stats["n"], stats["runs"], stats["bad"]
-    else:
-        rules = list(rules)
-        n, runs, bad = _rule_stats_local(rules)
-        r = rules_frame(df.sparkSession, [(k.upper(), p) for k, p in rules])
-    if n == 0:
-        return df.withColumn(out_col, F.lit(float(default)))
-    if bad:
-        raise ValueError("rule keywords must start and end with a word character")
-    max_tokens = int(runs)  # word runs + separators of the longest keyword
+    if not isinstance(rules, DataFrame):
+        rules = rules_frame(df.sparkSession, list(rules))
+    r = rules.select(F.upper("keyword").alias("keyword"), "priority", F.col("price").cast("double").alias("price")
+                     ).where(F.col("keyword").isNotNull())
+    longest = r.agg(F.coalesce(F.max(F.size(F.split("keyword", _RUN_SPLIT))), F.lit(1)).alias("n")).scalar()
     text = F.upper(clean_model(F.col(f"`{model_col}`")) if clean else F.col(f"`{model_col}`"))
     texts = df.select(text.alias("_t")).distinct().where(F.col("_t").isNotNull())
-    tokens = texts.select("_t", F.split("_t", _RUN_SPLIT).alias("_tok"))
-    starts = tokens.select("_t", "_tok", F.posexplode("_tok").alias("_p", "_w")).where(F.col("_w").rlike(_WORD_START))
-    spans = starts.select(
-        "_t",
-        F.explode(F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(max_tokens), F.size("_tok") - F.col("_p")), F.lit(2)),
-            lambda n: F.array_join(F.slice("_tok", F.col("_p") + 1, n), ""))).alias("keyword"))
-    best = (spans.join(r, "keyword")
-            .groupBy("_t").agg(F.min_by("price", "priority").alias("_price")))
-    keyed = df.withColumn("_t", text)
-    out = keyed.join(best, "_t", "left").withColumn(out_col, F.coalesce(F.col("_price"), F.lit(float(default))))
+    runs = texts.select("_t", F.split("_t", _RUN_SPLIT).alias("_run"), longest.alias("_longest"))
+    # The part of the text between its first and last word boundary.
+    lead = F.col("_run")[0].rlike(_WORD_START).cast("int")
+    tail = F.element_at("_run", -1).rlike(_WORD_START).cast("int")
+    inner = runs.select("_t", "_longest", F.slice("_run", 2 - lead, F.greatest(
+        F.size("_run") - (1 - lead) - (1 - tail), F.lit(0))).alias("_run")).where(F.size("_run") > 0)
+    starts = inner.select("_t", "_run", "_longest", F.posexplode("_run").alias("_p", "_w"))
+    spans = starts.select("_t", F.explode(F.transform(
+        F.sequence(F.lit(0), F.least(F.col("_longest"), F.size("_run") - F.col("_p"))),
+        lambda n: F.array_join(F.slice("_run", F.col("_p") + 1, n), ""))).alias("keyword"))
+    best = spans.join(r, "keyword").groupBy("_t").agg(F.min_by("price", "priority").alias("_price"))
+    out = (df.withColumn("_t", text).join(best, "_t", "left")
+           .withColumn(out_col, F.coalesce(F.col("_price"), F.lit(float(default)))))
     return out.drop("_t", "_price")

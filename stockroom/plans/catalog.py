@@ -18,7 +18,7 @@ from . import sqlparts as S
 from .dashboard import (clean_table, county_table, export_explored, phone_bill_by_administration,
                         phone_bill_by_location, storage_by_category, summary_cards, workstation_value_by)
 from .inventory import inventory_summary, maintain_inventory, section_report, with_combined_section
-from .phones import merge_phones, price_phones, price_phones_distinct, prepare_plans
+from .phones import MERGED_COLUMNS, merge_phones, price_phones, price_phones_distinct, prepare_plans
 from ..functions.categories import combine_sections, map_values
 from ..functions.money import annualise, format_money, money_product_sum, money_sum, parse_money
 from ..functions.pricing import DEFAULT_PRICE_RULES, clean_model, first_number, price_by_rules
@@ -245,6 +245,13 @@ def _merged(spark, d) -> DataFrame:
     return merge_phones(B.phones(spark, d), B.plans(spark, d), admin_keyword=ADMIN)
 
 
+@B._per_application
+def _merged_prices(spark, d) -> DataFrame:
+    """Priced once per phone, before the plan lines multiply the rows."""
+    return merge_phones(price_phones(B.phones(spark, d)), B.plans(spark, d), admin_keyword=ADMIN,
+                        extra_cols=["Estimated Price"])
+
+
 @register("phone_merge", B.with_ctes("phones", "plans", extra=_PREPARED_PLANS + ",\n" + _MERGED_SQL)
           + _MERGED_OUT + " FROM merged")
 def q_phone_merge(spark, d):
@@ -255,7 +262,7 @@ def q_phone_merge(spark, d):
           + _MERGED_OUT + f""",
        {S.price_rules('"Equipment Model"', DEFAULT_PRICE_RULES)} AS estimated_price FROM merged""")
 def q_phone_prices(spark, d):
-    return snake(price_phones(_merged(spark, d)))
+    return snake(_merged_prices(spark, d))
 
 
 # Cleaned phone table (P4 over P1 + P2) for the dashboard queries.
@@ -269,7 +276,7 @@ phones_clean AS (
 
 @B._per_application
 def _phones_clean(spark, d) -> DataFrame:
-    return clean_table(price_phones(_merged(spark, d)))
+    return clean_table(_merged_prices(spark, d))
 
 
 _WS_CLEAN_SQL = f"""
@@ -866,10 +873,7 @@ def q_explore_phones(spark, d):
     return snake(filter_eq(ph, "Location", _PHONE_VIEW_LOCATION))
 
 
-MERGED_VIEW_COLUMNS = ["Number", "Username", "Equipment Model", "Device ID", "Location", "Administration", "Storage",
-                       "Monthly Access Charges", "Usage Charges", "Equipment Charges",
-                       "Surcharges and Other Charges and Credits", "Taxes Governmental Surcharges and Fees",
-                       "Third Party Charges (Includes Tax)", "Total Charges", "Estimated Price", "Annual Phone Bill"]
+MERGED_VIEW_COLUMNS = [*MERGED_COLUMNS, "Estimated Price", "Annual Phone Bill"]
 
 
 @register("inventory_summary_value", B.with_ctes("inventory") + f"""

@@ -37,19 +37,22 @@ def prepare_plans(plans: DataFrame, text_col: str = "Number / User Name", cost_c
 
 def merge_phones(inventory: DataFrame, plans: DataFrame, admin_keyword: str = ADMIN_KEYWORD,
                  inventory_number_col: str = "Mobile Number", null_safe: bool = True,
-                 extra_cols: Sequence[str] = ()) -> DataFrame:
+                 extra_cols: Sequence[str] = (), warn_null_pairs: int | None = None) -> DataFrame:
     """Prepared plans left-joined to the phone inventory on the number.
 
     The Administration flag is made before the join, so a phone without a
     plan has a null flag, not 'N'. Phones matching several plan lines repeat.
+    What depends on the phone alone (its price, P2) is best computed before,
+    once per phone, and carried through as one of ``extra_cols``.
+    ``warn_null_pairs`` counts the lines without a number on both sides first.
     """
     inv = inventory
     if inventory_number_col in inv.columns and "Number" not in inv.columns:
         inv = inv.withColumnRenamed(inventory_number_col, "Number")
     prepared = prepare_plans(plans, admin_keyword=admin_keyword)
     right = prepared.drop(*[c for c in prepared.columns if c in inv.columns and c != "Number"])
-    merged = left_join_nullsafe(inv, right, "Number", null_safe=null_safe)
-    return select_columns(merged, [*extra_cols, *MERGED_COLUMNS])
+    merged = left_join_nullsafe(inv, right, "Number", null_safe=null_safe, warn_null_pairs=warn_null_pairs)
+    return select_columns(merged, [*MERGED_COLUMNS, *extra_cols])
 
 
 def price_phones(df: DataFrame, model_col: str = "Equipment Model", rules=DEFAULT_PRICE_RULES,

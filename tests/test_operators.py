@@ -9,7 +9,7 @@ from stockroom.operators import (anonymise, append_rows, complete_domain, distin
                                  next_row_id, price_by_rule_table, remove_rows, rename, rollup_to, rules_frame,
                                  select_columns, share_of_total, sort_view, split_matches, summary_totals,
                                  table_page, validate_items, with_row_id)
-from stockroom.functions import map_or_self
+from stockroom.functions import clean_model, map_or_self, price_by_rules
 
 from conftest import rows
 
@@ -140,13 +140,20 @@ def test_rule_table_equals_rule_expression(spark):
     assert rows(a, "i", "p") == rows(b, "i", "p")
 
 
-def test_rule_table_rejects_keywords_with_edges(spark):
-    df = spark.createDataFrame([("x",)], "m string")
-    bad = spark.createDataFrame([(0, "S20+", 1.0)], "priority int, keyword string, price double")
-    with pytest.raises(ValueError):
-        price_by_rule_table(df, "m", bad)
-    with pytest.raises(ValueError):
-        price_by_rule_table(df, "m", [("S20+", 1.0)])
+def test_rule_table_takes_any_keyword(spark):
+    rules = [("S20+", 1.0), ("(12)", 2.0), ("+ X", 3.0), ("/", 4.0), ("S20", 5.0), ("", 6.0)]
+    texts = ["S20+", "S20+FE", "GALAXY S20+5G", "A(12)B", "(12)", "A+ X", "+ X", "a/b", "/", "s20", "--", "", None,
+             " S20 ", "ZZ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, m string")
+    a = price_by_rule_table(df, "m", rules_frame(spark, rules), "p")
+    b = df.withColumn("p", price_by_rules(clean_model(F.col("m")), rules).cast("double"))
+    assert rows(a) == rows(b)
+    assert rows(price_by_rule_table(df, "m", rules, "p")) == rows(b)
+
+
+def test_rule_table_without_rules(spark):
+    df = spark.createDataFrame([("S20",)], "m string")
+    assert rows(price_by_rule_table(df, "m", [], "p")) == [("S20", 0.0)]
 
 
 def test_rule_table_list_and_frame_agree(spark):
