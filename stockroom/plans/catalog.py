@@ -7,6 +7,7 @@ Output columns are snake_case and aliased identically on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import bindings as B
 from . import sqlparts as S
-from .dashboard import (clean_table, county_table, export_explored, phone_bill_by_administration,
+from .dashboard import (clean_table, county_table, explore, explore_workstations, export_explored, phone_bill_by_administration,
                         phone_bill_by_location, storage_by_category, summary_cards, workstation_value_by)
 from .inventory import inventory_summary, maintain_inventory, section_report, with_combined_section
 from .phones import MERGED_COLUMNS, merge_phones, price_phones, price_phones_distinct, prepare_plans
@@ -29,13 +30,13 @@ from ..operators.changes import (append_and_collapse, apply_buttons, apply_quant
                                  collapse_items, running_quantity, upsert_items)
 from ..operators.filters import drop_null, filter_eq, filter_in, filter_two_step, having_gt, validate_items
 from ..operators.joins import left_join_nullsafe, remove_rows, split_matches
-from ..operators.lookup import price_by_rule_table
+from ..operators.lookup import enrich_distinct, price_by_rule_table
 from ..operators.ordering import (anonymise, append_rows, first_per_key, rank_groups, sort_view, table_page,
                                   with_row_id)
 from ..session import default_parallelism, scratch_path
 from ..sources.layout import flatten_sections
 from ..sources.readers import read_export, read_feature_names, read_table
-from ..sources.sinks import read_snapshot, write_csv, write_snapshot
+from ..sources.sinks import export_view, read_snapshot, write_csv, write_snapshot
 from ..streaming.streams import (file_stream, run_available, stream_apply_events, stream_net_quantity,
                                  stream_summary)
 
@@ -917,29 +918,45 @@ def q_inventory_maintenance(spark, d):
 # Vendor exports with a preamble (A3) and named view exports
 # ---------------------------------------------------------------------------
 
-# Preamble of the test plan exports: five records above the header, one
-# blank line among them, so the header is non-blank record 6.
-_PREAMBLE = ["Wireless account statement,,", "Account,0000-0000,", "", "Period,monthly,", "Company,example,",
-             "Summary,lines follow,"]
-def write_plan_exports(spark, d, path: str) -> None:
-    """Write the plan lines as vendor-style CSV exports: one file per hash
-    bucket of the plan id (as many buckets as the session has partitions,
-    so files grow in number, not size), each with the preamble and header
-    on top."""
+# Preambles of the test exports: the records above the header, blank lines
+# among them, so the header is non-blank record 6 (plans) and 2 (phones).
+_PLAN_PREAMBLE = ["Wireless account statement,,", "Account,0000-0000,", "", "Period,monthly,", "Company,example,",
+                  "Summary,lines follow,"]
+_PHONE_PREAMBLE = ["", "Phone inventory,,", ""]
+
+
+def write_exports(df: DataFrame, key: str, cols: list[str], preamble: list[str], path: str) -> None:
+    """Write a table as vendor-style CSV exports: one file per hash bucket of
+    ``key`` (as many buckets as the session has partitions, so files grow in
+    number, not size), each with the preamble and header on top. Files of odd
+    buckets have their columns in the reverse order."""
+    spark = df.sparkSession
     files = default_parallelism(spark)
-    cols = ["plan_id", "Number / User Name", "Cost Center", *B.PLAN_CHARGE_COLUMNS, "Total Charges"]
-    plans = B.plans(spark, d).select(*[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
-    header = ",".join(f'"{c}"' if "," in c else c for c in cols)
-    head = spark.createDataFrame([(i, line) for i, line in enumerate(_PREAMBLE + [header])], "_i int, _line string")
-    top = head.select(F.explode(F.sequence(F.lit(0), F.lit(files - 1))).alias("_b"),
-                      F.lit(0).alias("_kind"), "_i", "_line")
-    data = plans.select(F.pmod(F.xxhash64("plan_id"), F.lit(files)).cast("int").alias("_b"),
-                        F.lit(1).alias("_kind"), F.lit(0).alias("_i"),
-                        F.to_csv(F.struct(*[F.col(f"`{c}`") for c in cols]), {"escape": '"'}).alias("_line"))
+
+    def line(names):
+        return F.to_csv(F.struct(*[F.col(f"`{c}`").cast("string") for c in names]), {"escape": '"'})
+
+    def header(names):
+        return ",".join(f'"{c}"' if "," in c else c for c in names)
+
+    back = cols[::-1]
+    heads = [(odd, i, text) for odd, names in enumerate((cols, back))
+             for i, text in enumerate([*preamble, header(names)])]
+    top = (spark.createDataFrame(heads, "_odd int, _i int, _line string")
+           .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(files - 1))))
+           .where(F.col("_b") % 2 == F.col("_odd")).select("_b", F.lit(0).alias("_kind"), "_i", "_line"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
+    data = df.select(bucket.alias("_b"), F.lit(1).alias("_kind"), F.lit(0).alias("_i"),
+                     F.when(bucket % 2 == 0, line(cols)).otherwise(line(back)).alias("_line"))
     (top.unionByName(data).repartition(files, "_b").sortWithinPartitions("_b", "_kind", "_i")
      .select("_b", "_line").write.partitionBy("_b").text(path))
 
 
+def write_plan_exports(spark, d, path: str) -> None:
+    cols = ["plan_id", "Number / User Name", "Cost Center", *B.PLAN_CHARGE_COLUMNS, "Total Charges"]
+    write_exports(B.plans(spark, d), "plan_id", cols, _PLAN_PREAMBLE, path)
+
+
 @register("read_export", B.with_ctes("plans") + """
 SELECT plan_id, "Number / User Name" AS number_user_name, "Cost Center" AS cost_center,
        CASE WHEN "Total Charges" IN ('', 'N/A') THEN NULL ELSE "Total Charges" END AS total_charges
@@ -953,6 +970,23 @@ def q_read_export(spark, d):
     return snake(back.select("plan_id", "Number / User Name", "Cost Center", "Total Charges"))
 
 
+@register("phone_merge_exports", B.with_ctes("phones", "plans", extra=_PREPARED_PLANS + ",\n" + _MERGED_SQL)
+          + _MERGED_OUT.replace('"Total Charges" AS', """CASE WHEN "Total Charges" NOT IN ('', 'N/A')
+          THEN "Total Charges" END AS""") + " FROM merged")
+def q_phone_merge_exports(spark, d):
+    """P1 from the raw exports to the CSV: headers in non-blank records 2 and
+    6, columns in either order (A3), rename (B3), merge (J1), write (A6)."""
+    root = scratch_path(spark, "phone-exports")
+    phones = B.phones(spark, d).withColumnRenamed("Number", "Mobile Number")
+    write_exports(phones, "c_custkey", [c for c in phones.columns if c != "c_custkey"], _PHONE_PREAMBLE,
+                  f"{root}/phones")
+    write_plan_exports(spark, d, f"{root}/plans")
+    merged = merge_phones(read_export(spark, f"{root}/phones/_b=*/*.txt", header_record=2),
+                          read_export(spark, f"{root}/plans/_b=*/*.txt", header_record=6), admin_keyword=ADMIN)
+    write_csv(merged, f"{root}/merged")
+    return snake(read_table(spark, f"{root}/merged"))
+
+
 @register("export_phone_view", ORACLES["explore_phones"])
 def q_export_phone_view(spark, d):
     """A8 + A1: the explored phone view written under its derived name and
@@ -1004,3 +1038,95 @@ def q_drop_null(spark, d):
 def q_apply_buttons(spark, d):
     """I3-I5 straight from the clicked button ids (C15 inside the operator)."""
     return snake(apply_buttons(B.inventory(spark, d), B.buttons(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# Report tables (P9), lookups by expression and by table (J3), exports
+# ---------------------------------------------------------------------------
+
+@register("section_totals", B.with_ctes("inventory") + """
+SELECT "Section" AS section, CAST(coalesce(sum("Quantity"), 0) AS BIGINT) AS total_quantity
+FROM inventory WHERE "Quantity" IS NOT NULL GROUP BY "Section" """)
+def q_section_totals(spark, d):
+    """P9 ``by_section``: quantity per section, largest first."""
+    return snake(section_report(B.inventory(spark, d), groups=GROUPS)["by_section"])
+
+
+@register("section_drill_down", B.with_ctes("inventory") + """
+SELECT "Item" AS item, "Quantity" AS quantity FROM inventory
+WHERE "Quantity" IS NOT NULL AND "Section" = 'LARGE'""")
+def q_section_drill_down(spark, d):
+    """P9 drill-down: one section's items, largest quantity first."""
+    return snake(section_report(B.inventory(spark, d), drill_section="LARGE",
+                                groups=GROUPS)["drill_down"])
+
+
+@register("price_distinct_expr", ORACLES["price_distinct"])
+def q_price_distinct_expr(spark, d):
+    """J3 with a column expression evaluated once per distinct model."""
+    ph = enrich_distinct(B.phones(spark, d), "Equipment Model", "Estimated Price", expr=first_number)
+    return ph.select("c_custkey", F.col("`Equipment Model`").alias("equipment_model"),
+                     F.col("`Estimated Price`").alias("estimated_price"))
+
+
+@register("price_distinct_table", B.with_ctes("inventory") + """
+SELECT i."RowID" AS rowid, i."Section" AS section, coalesce(p.price, -1) AS section_price
+FROM inventory i LEFT JOIN (SELECT p_type AS k, max(p_retailprice) AS price FROM part WHERE p_size < 50 GROUP BY 1) p
+  ON i."Section" IS NOT DISTINCT FROM p.k""")
+def q_price_distinct_table(spark, d):
+    """J3 with an existing key -> value table: the highest price of a section."""
+    prices = (B.table(spark, d, "part").where("p_size < 50").groupBy(F.col("p_type").alias("Section"))
+              .agg(F.max("p_retailprice").alias("price")))
+    inv = enrich_distinct(B.inventory(spark, d), "Section", "section_price", table=prices, table_value="price",
+                          default=-1.0)
+    return inv.select(F.col("RowID").alias("rowid"), F.col("Section").alias("section"), "section_price")
+
+
+def _workstation_rows(df: DataFrame) -> DataFrame:
+    return df.select("l_orderkey", "l_linenumber", F.col("Device").alias("device"),
+                     F.col("Warehouse").alias("warehouse"), F.col("Department").alias("department"),
+                     F.col("Estimated Price").alias("estimated_price"))
+
+
+@register("export_workstation_view", B.with_ctes("workstations", extra=_WS_CLEAN_SQL) + """
+SELECT l_orderkey, l_linenumber, "Device" AS device, "Warehouse" AS warehouse, "Department" AS department,
+       "Estimated Price" AS estimated_price
+FROM ws_clean WHERE "Department" = 'Dept F'""")
+def q_export_workstation_view(spark, d):
+    """A8 for workstations: one department (B9) written under its derived
+    name, whose label holds a blank (C14), and read back."""
+    view = _workstation_rows(explore_workstations(_ws_clean(spark, d), "Department", "Dept F"))
+    path = export_explored(view, scratch_path(spark, "views"), "workstation", "Dept F", category="Department")
+    if not path.endswith("/department_dept_f_data.csv"):
+        raise RuntimeError(f"unexpected export name {path}")
+    return read_table(spark, path, types={"l_orderkey": "bigint", "l_linenumber": "int",
+                                          "estimated_price": "double"})
+
+
+@register("export_server_view", B.with_ctes("inventory") + """
+SELECT "Item" AS item, "Quantity" AS quantity, nullif("Comments", '') AS comments, "Section" AS section,
+       "Estimated Price" AS estimated_price, "RowID" AS rowid FROM inventory WHERE "Section" = 'LARGE'""")
+def q_export_server_view(spark, d):
+    """A8 for servers: one label, whose case is kept (C14)."""
+    path = export_explored(snake(explore(B.inventory(spark, d), "Section", "LARGE")), scratch_path(spark, "views"),
+                           "server", "LARGE")
+    if not path.endswith("/server_data_LARGE.csv"):
+        raise RuntimeError(f"unexpected export name {path}")
+    return _read_inventory(spark, path)
+
+
+def _read_inventory(spark, path: str) -> DataFrame:
+    """An exported inventory; the pandas style reads '' back as missing."""
+    return read_table(spark, path, types={"quantity": "bigint", "estimated_price": "double", "rowid": "bigint"})
+
+
+@register("export_inventory_view", B.with_ctes("inventory") + """
+SELECT "Item" AS item, "Quantity" AS quantity, nullif("Comments", '') AS comments, "Section" AS section,
+       "Estimated Price" AS estimated_price, "RowID" AS rowid FROM inventory""")
+def q_export_inventory_view(spark, d):
+    """A8 for the whole inventory under its dated name (C17)."""
+    path = export_view(snake(B.inventory(spark, d)), scratch_path(spark, "views"), "inventory",
+                       today=dt.date(2024, 5, 1))
+    if not path.endswith("/inventory-2024-05-01.csv"):
+        raise RuntimeError(f"unexpected export name {path}")
+    return _read_inventory(spark, path)

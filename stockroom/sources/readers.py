@@ -6,10 +6,11 @@ import csv
 import logging
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import scratch_path
 from .sinks import _fs, snapshot_versions
 
 log = logging.getLogger("stockroom")
@@ -20,6 +21,8 @@ PANDAS_NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN"
 # Text that readr::read_csv reads as missing by default.
 READR_NA_TOKENS = ("", "NA")
 
+_BLANK_LINE = r"^\s*$"
+
 
 def _string_schema(names: Sequence[str]) -> StructType:
     return StructType([StructField(n, StringType(), True) for n in names])
@@ -61,72 +64,68 @@ def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None =
     return _cast(df, types)
 
 
-def _input_files(spark: SparkSession, path: str) -> list[str]:
-    """Files a text read of ``path`` (file, folder or glob) would see."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = []
-    for st in fs.globStatus(p) or []:
-        children = fs.listStatus(st.getPath()) if st.isDirectory() else [st]
-        out += [c.getPath().toString() for c in children
-                if c.isFile() and not c.getPath().getName().startswith(("_", "."))]
-    return sorted(out)
-
-
-def _header_line(spark: SparkSession, file_path: str, header_record: int) -> tuple[int, str]:
-    """(line index, text) of the ``header_record``-th non-blank line of a
-    file, reading only the lines up to it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(file_path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
-    try:
-        index, seen = -1, 0
-        while True:
-            line = reader.readLine()
-            if line is None:
-                raise ValueError(f"{file_path} has fewer than {header_record} non-blank records")
-            index += 1
-            seen += bool(line.strip())
-            if seen == header_record:
-                return index, line
-    finally:
-        reader.close()
+def _export_headers(raw: DataFrame, header_record: int) -> DataFrame:
+    """Per file: its ``header_record``-th non-blank line (``_header``) and the
+    place of that line (``_hblock``, ``_hm``). The rank is limited before the
+    shuffle, so each scan task sends at most that many lines per file."""
+    first = Window.partitionBy("_file").orderBy("_block", "_m")
+    return (raw.where(~F.col("_line").rlike(_BLANK_LINE))
+            .withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= header_record)
+            .where(F.col("_rank") == header_record)
+            .select("_file", F.col("_line").alias("_header"), F.col("_block").alias("_hblock"),
+                    F.col("_m").alias("_hm")))
+
+
+def _header_names(line: str) -> list[str]:
+    names = [h if h else f"_c{i}" for i, h in enumerate(next(csv.reader([line])))]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"columns named twice in an export header: {twice}")
+    return names
 
 
 def read_export(spark: SparkSession, path: str, header_record: int,
                 types: Mapping[str, str] | None = None) -> DataFrame:
-    """CSV export whose real header is non-blank record ``header_record``
+    """CSV exports whose real header is non-blank record ``header_record``
     (1-based); the records before it are a preamble and are dropped (A3).
 
-    The driver reads each file only up to its header line (as Spark's own
-    CSV header handling does); executors drop the lines at or above it in
-    each file's first split, by position in the scan, and parse the rest
-    with ``from_csv``. Blank lines are skipped; quoted line breaks are not
-    supported. The preamble must lie within the file's first split (it is a
-    few lines; a split is ``spark.sql.files.maxPartitionBytes`` of text).
+    Each file is read by its own header, wherever its preamble ends: the
+    columns of all files are put together by name, and a column that a file
+    lacks is null there. One pass over the text finds the headers, a second
+    one parses the lines below them with ``from_csv``. The driver sees one row
+    per *different* header only. Blank lines are skipped; quoted line breaks
+    are not supported. A file without that many records is an error.
     """
-    files = _input_files(spark, path)
-    if not files:
-        raise FileNotFoundError(path)
-    cuts = [(f, *_header_line(spark, f, header_record)) for f in files]
-    header = next(csv.reader([cuts[0][2]]))
-    names = [h if h else f"_c{i}" for i, h in enumerate(header)]
-    ddl = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
-
+    # Both passes are the same scan of one file listing, cut into the same
+    # splits, so a line has the same place (_block, _m) in both.
     raw = spark.read.text(path).select(
         F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_m"))
-    # One row per file: the scan id of the file's header line.
-    cut = spark.createDataFrame([(f, i) for f, i, _ in cuts], "_file string, _h long")
-    bounds = (raw.where(F.col("_block") == 0).groupBy("_part", "_file").agg(F.min("_m").alias("_m0"))
-              .join(cut, "_file").select("_part", "_file", (F.col("_m0") + F.col("_h")).alias("_last")))
-    body = (raw.join(bounds, ["_part", "_file"], "left")
-            .where((F.col("_block") > 0) | F.col("_last").isNull() | (F.col("_m") > F.col("_last")))
-            .where(~F.col("_line").rlike(r"^\s*$")))
-    df = body.select(F.from_csv(F.col("_line"), ddl, {"escape": '"'}).alias("_r")).select("_r.*")
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"))
+    heads_path = scratch_path(spark, "export-headers")
+    heads = _export_headers(raw, header_record)
+    heads.write.parquet(heads_path)
+    # Written, so that the planner knows its size: one row per file.
+    heads = spark.read.schema(heads.schema).parquet(heads_path)
+    found, expected = heads.count(), len(raw.inputFiles())
+    if found < expected:
+        raise ValueError(f"{expected - found} of {expected} files have fewer than {header_record} non-blank records")
+
+    layouts = [r[0] for r in heads.groupBy("_header").agg(F.min("_file").alias("f")).orderBy("f")
+               .select("_header").collect()]
+    by_line = {line: _header_names(line) for line in layouts}
+    names = list(dict.fromkeys(n for line in layouts for n in by_line[line]))
+    width = max(len(h) for h in by_line.values())
+    # Where each output column stands in the files of a layout (1-based, 0: nowhere).
+    places = spark.createDataFrame([(line, [h.index(n) + 1 if n in h else 0 for n in names])
+                                    for line, h in by_line.items()], "_header string, _at array<int>")
+    ddl = ", ".join(f"_f{i} STRING" for i in range(width))
+    body = (raw.where(~F.col("_line").rlike(_BLANK_LINE)).join(heads.join(places, "_header"), "_file")
+            .where((F.col("_block") > F.col("_hblock"))
+                   | ((F.col("_block") == F.col("_hblock")) & (F.col("_m") > F.col("_hm")))))
+    parsed = body.select("_at", F.from_csv(F.col("_line"), ddl, {"escape": '"'}).alias("_r"))
+    fields = parsed.select("_at", F.array(*[F.col(f"_r._f{i}") for i in range(width)]).alias("_v"))
+    df = fields.select(*[F.when(F.col("_at")[i] > 0, F.element_at("_v", F.greatest(F.col("_at")[i], F.lit(1)))).alias(n)
+                         for i, n in enumerate(names)])
     return _cast(_null_tokens(df, PANDAS_NA_TOKENS), types)
 
 

@@ -55,6 +55,33 @@ def test_read_export_header_record(spark, tmp_dir):
                         ("803-555-0101  B. User", "Food", "$10.00")]
 
 
+def test_read_export_each_file_by_its_own_header(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "a.csv"), "Report,\nNumber,Charge\n1,$5.00\n\n2,N/A\n")
+    _write(os.path.join(tmp_dir, "b.csv"), "\n\nReport,\nCharge,Number,Note\n$7.00,3,\"x, y\"\n")
+    df = read_export(spark, tmp_dir, header_record=2, types={"Number": "int"})
+    assert df.columns == ["Number", "Charge", "Note"]
+    assert rows(df) == [(1, "$5.00", None), (2, None, None), (3, "$7.00", "x, y")]
+
+
+def test_read_export_preamble_longer_than_a_split(spark, tmp_dir):
+    body = "".join(f"{i},{i * i}\n" for i in range(200))
+    _write(os.path.join(tmp_dir, "long.csv"), "".join(f"banner {i},\n" for i in range(40)) + "n,square\n" + body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    try:
+        df = read_export(spark, tmp_dir, header_record=41, types={"n": "int", "square": "int"})
+        assert sorted(map(tuple, df.collect())) == [(i, i * i) for i in range(200)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_read_export_short_file_is_an_error(spark, tmp_dir):
+    _write(os.path.join(tmp_dir, "a.csv"), "Report,\nNumber,Charge\n1,2\n")
+    _write(os.path.join(tmp_dir, "b.csv"), "Report,\n")
+    with pytest.raises(ValueError, match="1 of 2 files"):
+        read_export(spark, tmp_dir, header_record=2)
+
+
 def test_write_csv_round_trip_and_null_styles(spark, tmp_dir):
     df = spark.createDataFrame([("a", None, "x,y"), ("b", 2, "")], "k string, v long, t string")
     out = os.path.join(tmp_dir, "out")
