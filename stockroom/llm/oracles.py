@@ -6,6 +6,7 @@ byte windows) are tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
+from stockroom.llm.mixing import BUDGET_PERCENT, DOMAINS, LEVELS, MAX_EPOCHS, SEED, WEIGHTS
 from stockroom.llm.quality_rules import KEEP_BITS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, RATES, SPREADS, WINDOW
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -57,6 +58,52 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and not coalesce(above, false) kept from r left join above using (rid)
 """
 
+# CRC-32 of an ASCII text s, bit by bit (the reflected polynomial is a fixed value).
+_STEP = "xor(a, b & 255)"
+_CRC32 = f"""xor(list_reduce([4294967295::ubigint] || flatten(list_transform(range(length(s)::bigint),
+  lambda i: [ascii(s[i + 1]), 0, 0, 0, 0, 0, 0, 0]))::ubigint[],
+  lambda a, b: case when {_STEP} & 1 = 1 then xor({_STEP} >> 1, 3988292384::ubigint) else {_STEP} >> 1 end), 4294967295::ubigint)"""
+
+
+def _deal(name: str, above: str | None, depth: int) -> str:
+    """One tree level of the budget: a child is full if filling it, and all that
+    need less per weight, costs no more than the budget at that level."""
+    parent, level = LEVELS[:depth], LEVELS[depth]
+    keys = ", ".join([*parent, level])
+    by = ", ".join(parent) or "1"
+    weight = " ".join(f"when {level} = '{node}' then {w}" for (lv, node), w in sorted(WEIGHTS.items()) if lv == level)
+    match = " and ".join(f"c.{k} is not distinct from u.{k}" for k in parent)
+    source = f"join {above} u on {match}" if above else "cross join (select budget from total) u"
+    return f"""
+{name}_c as (select {keys}, sum(tokens) * {MAX_EPOCHS} capacity, {f"case {weight} else 1 end" if weight else "1"} w from leaf group by all),
+{name}_u as (select c.*, u.budget above from {name}_c c {source}),
+{name}_o as (select *, coalesce(sum(capacity) over (part order by capacity / w, {level} nulls first
+    rows between unbounded preceding and 1 preceding), 0) used,
+  sum(w) over (part order by capacity / w, {level} nulls first rows between current row and unbounded following) open
+  from {name}_u window part as (partition by {by})),
+{name}_f as (select *, capacity * open + used * w <= above * w filled from {name}_o),
+{name}_r as (select *, above - coalesce(sum(capacity) filter (filled) over (partition by {by}), 0) rest,
+  sum(w) filter (not filled) over (partition by {by}) open_w from {name}_f),
+{name} as (select {keys}, case when filled then capacity else least(rest * w // open_w, capacity) end budget from {name}_r)"""
+
+
+OP6 = f"""
+with d as (select doc_id, 'domain' || ({_CRC32} % {DOMAINS})::varchar as domain, lang, source,
+  greatest(len(list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda x: x <> '')), 1)::bigint tokens,
+  coalesce(doc_id::varchar, '') || '|' || md5(t) identity
+  from (select *, coalesce(text, '') t, coalesce(source, '') s from documents)),
+leaf as (select domain, lang, source, sum(tokens) tokens from d group by all),
+total as (select sum(tokens) * {BUDGET_PERCENT} // 100 budget from leaf),
+{_deal('b0', None, 0)},{_deal('b1', 'b0', 1)},{_deal('b2', 'b1', 2)},
+plan as (select l.*, b.budget // l.tokens whole, b.budget % l.tokens rest from leaf l join b2 b
+  on l.domain = b.domain and l.lang is not distinct from b.lang and l.source is not distinct from b.source),
+placed as (select d.*, whole, rest, ('0x' || substr(md5('{SEED}|' || whole::varchar || '|' || identity), 1, 15))::bigint place
+  from d join plan p on d.domain = p.domain and d.lang is not distinct from p.lang and d.source is not distinct from p.source),
+upto as (select *, sum(tokens) over (partition by domain, lang, source order by place) upto from placed)
+select doc_id, domain, lang, source, tokens, (whole + case when upto <= rest then 1 else 0 end)::int copies
+from upto where whole > 0 or upto <= rest
+"""
+
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _GROUPS = " || ".join(
     f"substr('{_DIGITS}', ((v[{i}] >> {s}) & 31)::int + 1, 1)" for i in range(1, 9) for s in (15, 10, 5, 0))
@@ -83,4 +130,4 @@ select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_
 from root left join deg using (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5, "op7_warc_archive": OP7, "op9_embedding_links": OP9}
+ORACLES: dict[str, str] = {"op5_quality_rules": OP5, "op6_mix_sources": OP6, "op7_warc_archive": OP7, "op9_embedding_links": OP9}
