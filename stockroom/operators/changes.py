@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,8 +129,7 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
                .withColumn(qty, F.when(F.col("_found"), F.col("_total")).otherwise(_c(qty))))
 
     # _arr is the first arrival of each key: distinct per key, so no ties.
-    new = with_row_id(changed.where(F.col("_found").isNull()), ["_arr"], name="_new_no", start=0, unique=True,
-                      checkpoint=True)
+    new = with_row_id(changed.where(F.col("_found").isNull()), ["_arr"], name="_new_no", start=0, unique=True)
     appended = new.select(
         *[F.col("_inc_first")[c].alias(c) for c in inc_cols],
         F.when(F.col("_in") > 0, F.lit(None)).otherwise(F.col("_iq")).alias(qty),
@@ -193,9 +191,10 @@ def running_quantity(events: DataFrame, id_col: str = "row_id", delta_col: str =
     preceding)``, computed as a local scan per range chunk plus the carried
     offset of the id's earlier chunks.
     """
-    # Persisted so rows and chunk offsets come from one range exchange (its
+    # Written once, so rows and chunk offsets come from one range exchange (its
     # sampled bounds would differ between two exchanges).
-    local = _local_scan(events, id_col, delta_col, order_cols, num_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(events.sparkSession)
+    local = _local_scan(events, id_col, delta_col, order_cols, num_partitions).checkpoint()
     offsets = _chunk_summaries(local, id_col, delta_col).select(_c(id_col), "_chunk", "_off")
     out = local.join(offsets, [id_col, "_chunk"]).withColumn(name, F.col("_off") + F.col("_local"))
     return out.drop("_chunk", "_local", "_off")

@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
@@ -41,17 +40,15 @@ def with_chunks(df: DataFrame, keys: Sequence, order_cols: Sequence, name: str =
 
 
 def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start: int = 1,
-                num_partitions: int | None = None, persist: bool = True, checkpoint: bool = False,
-                unique: bool = False) -> DataFrame:
+                num_partitions: int | None = None, unique: bool = False) -> DataFrame:
     """Dense global index in ``order_cols`` order, starting at ``start``.
 
     Two passes and no single-task step: range-partition and sort, count rows
     per partition (one row per partition), turn the counts into offsets, and
     add each row's position in its partition. Both passes must see the same
-    partitions: the sorted input is persisted (a lost block is recomputed
-    from the same range exchange, and remaining columns break ties, so it
-    gets the same ids), or with ``checkpoint`` written once to the shared
-    ``spark.checkpoint.dir``, which also cuts the lineage. ``unique=True``
+    partitions: the sorted input is written once to the shared
+    ``spark.checkpoint.dir``, which also cuts the lineage and leaves nothing
+    cached on the executors. Remaining columns break ties. ``unique=True``
     states that ``order_cols`` never tie, and skips the tie-break columns.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
@@ -64,11 +61,8 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
               .sortWithinPartitions(*full)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
-    if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        ranged = ranged.checkpoint(eager=True)
-    elif persist:
-        ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint()
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # At most one row per partition: a bounded table, safe to order globally
     # and to broadcast.

@@ -1130,3 +1130,15 @@ def q_export_inventory_view(spark, d):
     if not path.endswith("/inventory-2024-05-01.csv"):
         raise RuntimeError(f"unexpected export name {path}")
     return _read_inventory(spark, path)
+
+
+@register("source_position", B.with_ctes("inventory") + f"""
+SELECT {_inv_cols_sql()}, row_number() OVER (ORDER BY "RowID") AS position FROM
+(SELECT * REPLACE (nullif("Comments", '') AS "Comments") FROM inventory)""")
+def q_source_position(spark, d):
+    """W1 by the place in the source: the inventory written as CSV files in
+    the order of its ids, read back with each row's position."""
+    path = scratch_path(spark, "positions-source")
+    write_csv(snake(B.inventory(spark, d)).orderBy("rowid"), path)
+    return read_table(spark, path, types={"quantity": "bigint", "estimated_price": "double", "rowid": "bigint"},
+                      position="position")

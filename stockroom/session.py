@@ -6,7 +6,7 @@ import logging
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 log = logging.getLogger("stockroom")
 
@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Checkpoint files go when no DataFrame refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -65,6 +67,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/stockroom/{label}-{uuid.uuid4().hex}"
 
 
+def write_small(df: DataFrame, label: str) -> DataFrame:
+    """Write a table of bounded size (one row per file or split) into the
+    scratch folder and read it back, so that the planner knows its size."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """The session's shuffle partition count (the cluster's choice), falling
     back to its default parallelism when that setting is not a number."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import with_chunks
+from ..session import ensure_checkpoint_dir
 
 
 def flatten_sections(df: DataFrame, order_col: str, item_col: str = "Item", qty_col: str = "Quantity",
@@ -26,10 +26,11 @@ def flatten_sections(df: DataFrame, order_col: str, item_col: str = "Item", qty_
     divider = F.col(f"`{qty_col}`").isNull()
     chunks = with_chunks(df, group_cols, [order_col], num_partitions=num_partitions)
     upto = Window.partitionBy(*g, F.col("_chunk")).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # Persisted so the fill and the carry read one range exchange: range
+    # Written once, so the fill and the carry read one range exchange: range
     # bounds are sampled, and a second exchange could cut other chunks.
+    ensure_checkpoint_dir(df.sparkSession)
     local = (chunks.withColumn("_sec", F.last(F.when(divider, item), ignorenulls=True).over(upto))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+             .checkpoint())
     last_div = local.groupBy(*g, F.col("_chunk")).agg(
         F.max(F.when(divider, F.struct(order.alias("o"), item.alias("i")))).alias("_d"))
     before = Window.partitionBy(*g).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

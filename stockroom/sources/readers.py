@@ -8,9 +8,9 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..session import scratch_path
+from ..session import write_small
 from .sinks import _fs, snapshot_versions
 
 log = logging.getLogger("stockroom")
@@ -28,12 +28,29 @@ def _string_schema(names: Sequence[str]) -> StructType:
     return StructType([StructField(n, StringType(), True) for n in names])
 
 
-def _null_tokens(df: DataFrame, tokens: Iterable[str]) -> DataFrame:
+def _with_position(scan: DataFrame, name: str, start: int) -> DataFrame:
+    """A file scan with the dense place of each row in its source. Rows are
+    counted per split, the counts (one row per split) become offsets, and each
+    row adds its place in its split: the rows themselves are not shuffled or
+    sorted. Both passes are the same scan, cut into the same splits."""
+    placed = scan.select("*", F.col("_metadata.file_path").alias("_file"),
+                         F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_m"))
+    splits = placed.groupBy("_file", "_block").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = write_small(splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0))
+                                                            - F.col("_m0") + start).alias("_off")), "positions")
+    return (placed.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_off") + F.col("_m"))
+            .select(*[f"`{c}`" for c in scan.columns], f"`{name}`"))
+
+
+def _null_tokens(df: DataFrame, tokens: Iterable[str], columns: Sequence[str] | None = None) -> DataFrame:
     tokens = [t for t in tokens if t != ""]
     if not tokens:
         return df
-    return df.select(*[F.when(F.col(f"`{c}`").isin(tokens), F.lit(None)).otherwise(F.col(f"`{c}`")).alias(c)
-                       for c in df.columns])
+    columns = df.columns if columns is None else columns
+    return df.withColumns({c: F.when(F.col(f"`{c}`").isin(tokens), F.lit(None)).otherwise(F.col(f"`{c}`"))
+                           for c in columns})
 
 
 def _cast(df: DataFrame, types: Mapping[str, str] | None) -> DataFrame:
@@ -44,7 +61,8 @@ def _cast(df: DataFrame, types: Mapping[str, str] | None) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
-               style: str = "pandas", string_cols: Sequence[str] = (), multiline: bool = False) -> DataFrame:
+               style: str = "pandas", string_cols: Sequence[str] = (), multiline: bool = False,
+               position: str | None = None, start: int = 1) -> DataFrame:
     """CSV with a header row (A1, A2).
 
     Every column is read as text (no inference pass over the data), missing
@@ -53,13 +71,18 @@ def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None =
     ``style='readr'`` also trims fields and reads only ''/NA as missing.
     ``multiline=True`` accepts line breaks inside quoted fields; each file
     is then read by one task, so keep it for exports that need it.
+    ``position`` names a column for the place of each row in the source (W1):
+    files in order of their paths, rows in file order, from ``start`` on.
     """
     readr = style == "readr"
     reader = (spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
               .option("ignoreLeadingWhiteSpace", readr).option("ignoreTrailingWhiteSpace", readr)
               .option("multiLine", multiline))
     df = reader.csv(path)
-    df = _null_tokens(df, READR_NA_TOKENS if readr else PANDAS_NA_TOKENS)
+    columns = df.columns
+    if position:
+        df = _with_position(df, position, start)
+    df = _null_tokens(df, READR_NA_TOKENS if readr else PANDAS_NA_TOKENS, columns)
     types = {k: v for k, v in (types or {}).items() if k not in set(string_cols)}
     return _cast(df, types)
 
@@ -101,11 +124,7 @@ def read_export(spark: SparkSession, path: str, header_record: int,
     raw = spark.read.text(path).select(
         F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"))
-    heads_path = scratch_path(spark, "export-headers")
-    heads = _export_headers(raw, header_record)
-    heads.write.parquet(heads_path)
-    # Written, so that the planner knows its size: one row per file.
-    heads = spark.read.schema(heads.schema).parquet(heads_path)
+    heads = write_small(_export_headers(raw, header_record), "export-headers")
     found, expected = heads.count(), len(raw.inputFiles())
     if found < expected:
         raise ValueError(f"{expected - found} of {expected} files have fewer than {header_record} non-blank records")
@@ -134,17 +153,21 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def load_table(spark: SparkSession, root: str, name: str, schema: StructType) -> DataFrame:
+def load_table(spark: SparkSession, root: str, name: str, schema: StructType, position: str | None = None,
+               start: int = 1) -> DataFrame:
     """Named table (Parquet) with the columns of ``schema``: the newest
     committed version of a snapshot table, else the folder itself. Only a
-    missing path is an empty table plus a warning (A4)."""
+    missing path is an empty table plus a warning (A4). ``position`` as in
+    ``read_table``."""
     path = f"{root.rstrip('/')}/{name}"
     fs, base = _fs(spark, path)
     if not fs.exists(base):
         log.warning("table %s not loaded: no such path", path)
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], StructType([*schema.fields, StructField(position, LongType())]) if position else schema)
     versions = snapshot_versions(spark, root, name)
-    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}" if versions else path).select(schema.fieldNames())
+    df = spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}" if versions else path)
+    names = schema.fieldNames()
+    return _with_position(df, position, start).select(*names, position) if position else df.select(names)
 
 
 # The part of a GeoJSON FeatureCollection that is read (no inference pass).

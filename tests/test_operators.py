@@ -177,7 +177,7 @@ def test_with_row_id_dense_for_any_partitioning(spark, parts, unique):
 
 def test_with_row_id_checkpointed(spark):
     df = spark.range(0, 100, 1, numPartitions=3).select((F.col("id") * 37 % 100).alias("k"))
-    out = with_row_id(df, ["k"], name="rid", start=1, num_partitions=4, checkpoint=True)
+    out = with_row_id(df, ["k"], name="rid", start=1, num_partitions=4)
     assert sorted((r["k"], r["rid"]) for r in out.collect()) == [(k, k + 1) for k in range(100)]
 
 

@@ -75,6 +75,25 @@ def test_read_export_preamble_longer_than_a_split(spark, tmp_dir):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_positions_are_the_line_order_over_files_and_splits(spark, tmp_dir):
+    for f in range(3):
+        _write(os.path.join(tmp_dir, f"p{f}.csv"), "f,n\n" + "".join(f"{f},{i}\n" for i in range(100)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    try:
+        df = read_table(spark, tmp_dir, types={"f": "int", "n": "int"}, position="RowID")
+        assert df.rdd.getNumPartitions() > 3
+        assert sorted((r.RowID, r.f, r.n) for r in df.collect()) == [
+            (1 + 100 * f + n, f, n) for f in range(3) for n in range(100)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    table = spark.createDataFrame([(i,) for i in range(50)], "n int").coalesce(1)
+    write_snapshot(table, tmp_dir, "t")
+    back = load_table(spark, tmp_dir, "t", table.schema, position="pos", start=0)
+    assert all(r.n == r.pos for r in back.collect()) and back.count() == 50
+    assert load_table(spark, tmp_dir, "none", table.schema, position="pos").columns == ["n", "pos"]
+
+
 def test_read_export_short_file_is_an_error(spark, tmp_dir):
     _write(os.path.join(tmp_dir, "a.csv"), "Report,\nNumber,Charge\n1,2\n")
     _write(os.path.join(tmp_dir, "b.csv"), "Report,\n")
