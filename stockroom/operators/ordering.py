@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from ..functions._util import as_col
-from ..session import default_parallelism, ensure_checkpoint_dir
+from ..session import default_parallelism, write_once
 
 # Fixed value: the pseudonym prefix of anonymised names.
 PSEUDONYM_PREFIX = "User "
@@ -46,9 +46,9 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
     Two passes and no single-task step: range-partition and sort, count rows
     per partition (one row per partition), turn the counts into offsets, and
     add each row's position in its partition. Both passes must see the same
-    partitions: the sorted input is written once to the shared
+    partitions: the sorted input is written once under the shared
     ``spark.checkpoint.dir``, which also cuts the lineage and leaves nothing
-    cached on the executors. Remaining columns break ties. ``unique=True``
+    cached on the executors; the count reads one column of it. Remaining columns break ties. ``unique=True``
     states that ``order_cols`` never tie, and skips the tie-break columns.
     """
     n = num_partitions or default_parallelism(df.sparkSession)
@@ -61,8 +61,7 @@ def with_row_id(df: DataFrame, order_cols: Sequence, name: str = "RowID", start:
               .sortWithinPartitions(*full)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
-    ensure_checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint()
+    ranged = write_once(ranged, "row-ids")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # At most one row per partition: a bounded table, safe to order globally
     # and to broadcast.

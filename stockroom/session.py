@@ -67,9 +67,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root}/stockroom/{label}-{uuid.uuid4().hex}"
 
 
-def write_small(df: DataFrame, label: str) -> DataFrame:
-    """Write a table of bounded size (one row per file or split) into the
-    scratch folder and read it back, so that the planner knows its size."""
+def write_once(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` into the shared scratch folder and read it back: it is
+    computed once, later passes read only the columns they need, and the
+    planner knows its size."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

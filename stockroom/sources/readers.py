@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..session import write_small
+from ..session import write_once
 from .sinks import _fs, snapshot_versions
 
 log = logging.getLogger("stockroom")
@@ -38,7 +38,7 @@ def _with_position(scan: DataFrame, name: str, start: int) -> DataFrame:
                          F.monotonically_increasing_id().alias("_m"))
     splits = placed.groupBy("_file", "_block").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = write_small(splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0))
+    offsets = write_once(splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0))
                                                             - F.col("_m0") + start).alias("_off")), "positions")
     return (placed.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_off") + F.col("_m"))
             .select(*[f"`{c}`" for c in scan.columns], f"`{name}`"))
@@ -124,7 +124,7 @@ def read_export(spark: SparkSession, path: str, header_record: int,
     raw = spark.read.text(path).select(
         F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"))
-    heads = write_small(_export_headers(raw, header_record), "export-headers")
+    heads = write_once(_export_headers(raw, header_record), "export-headers")
     found, expected = heads.count(), len(raw.inputFiles())
     if found < expected:
         raise ValueError(f"{expected - found} of {expected} files have fewer than {header_record} non-blank records")

@@ -52,3 +52,22 @@ def test_row_id_hot_key_order(spark):
     got = sorted((r["rid"], r["row_id"], r["event_id"]) for r in out.collect())
     assert [g[0] for g in got] == list(range(3000))
     assert [g[1:] for g in got] == sorted(g[1:] for g in got)
+
+
+def test_upsert_with_a_hot_key(spark):
+    """A third of all rows in one key on both sides; totals are kept."""
+    from stockroom.operators import upsert_items
+    n = 3000
+    ex = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(" HOT ")).otherwise(F.concat(F.lit("i"), F.col("id"))).alias("Item"),
+        F.lit(1).cast("bigint").alias("Quantity"), F.lit(None).cast("string").alias("Comments"),
+        F.lit("S").alias("Section"), F.lit(1.0).alias("Estimated Price"), (F.col("id") + 1).alias("RowID"))
+    inc = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("n"), F.col("id"))).alias("Item"),
+        F.lit(1).cast("bigint").alias("Quantity"), F.lit("").alias("Comments"), F.lit("S").alias("Section"),
+        F.lit(1.0).alias("Estimated Price"), F.col("id").alias("seq"))
+    out = upsert_items(ex, inc)
+    hot = out.where("trim(lower(Item)) = 'hot'").collect()
+    assert [(r["Item"], r["Quantity"], r["RowID"]) for r in hot] == [(" HOT ", 2000, 1)]
+    assert out.count() == 1 + 2000 + 2000 and out.agg(F.sum("Quantity")).first()[0] == 2 * n
+    assert out.select("RowID").distinct().count() == out.count()
