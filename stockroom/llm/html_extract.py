@@ -5,7 +5,7 @@ attributes), counted per host in Spark, and subtrees that recur across many
 pages of their host are deleted before the text is joined. What the page
 itself marks decides the rest: text inside its article (or main) element is
 the content, in which recurring passages stay; elements whose tag, role,
-class or id names boilerplate are deleted everywhere.
+class or id names boilerplate are deleted, but for content elements in them.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ BLOCK = frozenset("""address article aside blockquote body br caption center dd
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre
 section summary table tbody td tfoot th thead title tr ul""".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form head menu dialog button input label fieldset".split())
+# Elements beside the content by definition: a content root in one counts only
+# if the page has no other.
+BESIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # An opening tag closes an open element of these kinds (optional end tags).
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -56,11 +59,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("tag", "parts", "boiler", "root", "hash", "emit")
+    __slots__ = ("tag", "parts", "boiler", "root", "has", "hash")
 
     def __init__(self, tag: str, boiler: bool, root: bool):
         self.tag, self.boiler, self.root = tag, boiler, root
         self.parts: list = []  # text (str) and children (_Element), in order
+        self.has = False  # is or holds a content root
         self.hash = 0
 
 
@@ -126,7 +130,7 @@ def parse(source: str | None) -> _Element:
                     break
         boiler, root = _marks(tag, m[3], roots > 0)
         element = _Element(tag, boiler, root)
-        if len(stack) <= MAX_DEPTH or ((boiler or (root and not roots)) and not any(e.boiler for e in stack)):
+        if len(stack) <= MAX_DEPTH or (root and not roots) or (boiler and not any(e.boiler for e in stack)):
             stack[-1].parts.append(element)
         else:  # its text stays, as its parent's
             element.root, root = False, False
@@ -135,12 +139,40 @@ def parse(source: str | None) -> _Element:
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
             roots += root
+    _settle(top)
     return top
 
 
+def _settle(top: _Element) -> None:
+    """Decide which content roots count, and mark the elements around them."""
+    roots: tuple[list[_Element], list[_Element]] = [], []
+
+    def find(e: _Element, beside: bool) -> None:
+        beside = beside or e.tag in BESIDE_TAGS
+        if e.root:
+            roots[beside].append(e)
+        for part in e.parts:
+            if not isinstance(part, str):
+                find(part, beside)
+
+    def mark(e: _Element) -> bool:
+        below = [mark(p) for p in e.parts if not isinstance(p, str)]
+        e.has = e.root or any(below)
+        return e.has
+
+    find(top, False)
+    if roots[0]:
+        for e in roots[1]:
+            e.root = False
+    if roots[0] or roots[1]:
+        mark(top)
+    find = mark = None  # functions that name themselves are cycles: free them now
+
+
 def subtree_hashes(top: _Element) -> list[int]:
     """Hash of every block subtree outside the content, bottom-up; each
-    element keeps its hash. Elements without text have none."""
+    element keeps its hash. Elements without text have none, nor have those
+    that hold content: they are never deleted."""
     found: list[int] = []
 
     def walk(e: _Element) -> bytes:
@@ -160,7 +192,7 @@ def subtree_hashes(top: _Element) -> list[int]:
         if empty:
             return b""
         out = digest.digest()
-        if e.tag in BLOCK and e.tag not in ("html", "body"):
+        if e.tag in BLOCK and e.tag not in ("html", "body") and not e.has:
             e.hash = int.from_bytes(out, "big", signed=True)
             found.append(e.hash)
         return out
@@ -172,11 +204,11 @@ def subtree_hashes(top: _Element) -> list[int]:
 
 def blocks(top: _Element) -> list[tuple[str, list[int]]]:
     """Text blocks in page order as (text, hashes of the subtrees around it
-    that a template may delete). If the page marks content, only that;
-    boilerplate-marked elements are left out."""
+    that a template may delete). If the page marks content, only that, whatever
+    stands around it; boilerplate-marked elements are left out."""
     out: list[tuple[str, list[int]]] = []
     buffer: list[str] = []
-    marked = _has_root(top)
+    marked = top.has
 
     def flush(path: list[int]) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
@@ -187,8 +219,12 @@ def blocks(top: _Element) -> list[tuple[str, list[int]]]:
     def walk(e: _Element, inside: bool, path: list[int]) -> None:
         if e.boiler:
             flush(path)
-            return
-        inside = inside or e.root
+            if not e.has:
+                return
+            inside = False
+        elif e.root:
+            flush(path)
+            inside, path = True, []
         block = e.tag in BLOCK
         here = path
         if block:
@@ -209,12 +245,6 @@ def blocks(top: _Element) -> list[tuple[str, list[int]]]:
     return out
 
 
-def _has_root(e: _Element) -> bool:
-    if e.boiler:
-        return False
-    return e.root or any(_has_root(p) for p in e.parts if not isinstance(p, str))
-
-
 def host_of(url):
     """Host of a url column in lower case (null or none: empty)."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))

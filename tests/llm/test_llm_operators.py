@@ -269,6 +269,26 @@ def test_recurring_passages_of_articles_stay(spark):
     assert {r.text for r in got} == {f"Same words {i}" for i in range(6)}
 
 
+def _page_texts(spark, pages):
+    """page_id -> text of (page_id, url, html) rows."""
+    got = html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages)
+    return {r.page_id: r.text for r in got}
+
+
+def test_content_inside_wrappers_is_kept(spark):
+    around = ["<div id=page><nav>Same menu</nav>%s</div>", "<form><div>Same menu</div>%s</form>",
+              "<div class='has-sidebar'><p>Same menu</p>%s<aside>x</aside></div>", "<div><div class='menu-open'>%s</div>Same menu</div>",
+              "<main><div class='with-sidebar'>%s<div>Same menu</div></div></main>", "<footer>Same menu %s</footer>"]
+    roots = ["<article><h1>T{0}</h1><p>Story {0}</p></article>", "<main><h1>T{0}</h1><p>Story {0}</p></main>"]
+    pages = [(100 * w + 10 * k + i, f"http://h{w}{k}.example/{i}", "<body>" + outer % root.format(i) + "</body>")
+             for w, outer in enumerate(around) for k, root in enumerate(roots) for i in range(5)]
+    assert _page_texts(spark, pages) == {p: f"T{p % 10} Story {p % 10}" for p, _, _ in pages}
+    # Roots in an element beside the content do not count if there is another.
+    beside = "<article>Story<aside><article>Teaser</article></aside></article><nav><article>Teaser</article></nav>"
+    assert html_extract.blocks(html_extract.parse(beside)) == [("Story", [])]
+
+
 # ---- archive
 
 def test_archive_round_trip(spark):
