@@ -2,10 +2,12 @@
 
 Element subtrees of every page are hashed bottom-up (tag and text, without
 attributes), counted per host in Spark, and subtrees that recur across many
-pages of their host are deleted before the text is joined. What the page
-itself marks decides the rest: text inside its article (or main) element is
-the content, in which recurring passages stay; elements whose tag, role,
-class or id names boilerplate are deleted, but for content elements in them.
+pages of their host are deleted before the text is joined, inside the content
+as well; pages with equal text are one page. Inside an article element a
+subtree must recur on more pages than elsewhere. What the page itself marks
+decides the rest: text inside its article (or main) element is the content;
+elements whose tag, role, class or id names boilerplate are deleted, but for
+content elements in them.
 """
 
 from __future__ import annotations
@@ -22,10 +24,13 @@ from pyspark.sql import functions as F
 
 from stockroom.llm.common import map_batches, materialize
 
-# A subtree is template if it stands on so many pages of its host, and on
-# such a share of them.
+# A subtree is template if it stands on so many distinct pages of its host,
+# and on such a share of them.
 MIN_PAGES = 3
-MIN_SHARE = 0.01
+MIN_SHARE = 0.3
+# The same inside an article element, whose author may repeat a passage.
+ARTICLE_PAGES = 10
+ARTICLE_SHARE = 0.5
 
 # Elements nested deeper are flattened into their parent.
 MAX_DEPTH = 150
@@ -58,20 +63,24 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\
 _SPACE = re.compile(r"\s+")
 
 
+# Kinds of content roots.
+MAIN, ARTICLE = 1, 2
+
+
 class _Element:
     __slots__ = ("tag", "parts", "boiler", "root", "has", "hash")
 
-    def __init__(self, tag: str, boiler: bool, root: bool):
+    def __init__(self, tag: str, boiler: bool, root: int):
         self.tag, self.boiler, self.root = tag, boiler, root
         self.parts: list = []  # text (str) and children (_Element), in order
         self.has = False  # is or holds a content root
         self.hash = 0
 
 
-def _marks(tag: str, attrs: str, inside_root: bool) -> tuple[bool, bool]:
-    """(boilerplate, content root) as the element itself says."""
+def _marks(tag: str, attrs: str, inside_root: bool) -> tuple[bool, int]:
+    """(boilerplate, kind of content root or 0) as the element itself says."""
     boiler = tag in BOILERPLATE_TAGS or (tag == "header" and not inside_root)
-    root = tag in ("article", "main")
+    root = {"article": ARTICLE, "main": MAIN}.get(tag, 0)
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -79,17 +88,17 @@ def _marks(tag: str, attrs: str, inside_root: bool) -> tuple[bool, bool]:
                 boiler = boiler or (not root and tag not in ("html", "body") and bool(BOILERPLATE_WORD.search(value)))
             elif name == "role":
                 boiler = boiler or value.lower() in BOILERPLATE_ROLES
-                root = root or value.lower() in ("main", "article")
+                root = root or {"article": ARTICLE, "main": MAIN}.get(value.lower(), 0)
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
                 boiler = True
             elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 boiler = True
-    return boiler, root and not boiler
+    return boiler, 0 if boiler else root
 
 
 def parse(source: str | None) -> _Element:
     """Element tree of a page; broken markup never fails."""
-    top = _Element("html", False, False)
+    top = _Element("html", False, 0)
     stack, pos, roots = [top], 0, 0
     source = source or ""
     n = len(source)
@@ -110,7 +119,7 @@ def parse(source: str | None) -> _Element:
         if m[1]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    roots -= sum(e.root for e in stack[depth:])
+                    roots -= sum(e.root > 0 for e in stack[depth:])
                     del stack[depth:]
                     break
                 if stack[depth].tag in ("article", "main", "body") and tag not in ("html", "body"):
@@ -133,12 +142,12 @@ def parse(source: str | None) -> _Element:
         if len(stack) <= MAX_DEPTH or (root and not roots) or (boiler and not any(e.boiler for e in stack)):
             stack[-1].parts.append(element)
         else:  # its text stays, as its parent's
-            element.root, root = False, False
+            element.root = root = 0
             element.parts = stack[-1].parts
             element.parts.append(" ")
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(element)
-            roots += root
+            roots += root > 0
     _settle(top)
     return top
 
@@ -157,25 +166,29 @@ def _settle(top: _Element) -> None:
 
     def mark(e: _Element) -> bool:
         below = [mark(p) for p in e.parts if not isinstance(p, str)]
-        e.has = e.root or any(below)
+        e.has = e.root > 0 or any(below)
         return e.has
 
     find(top, False)
     if roots[0]:
         for e in roots[1]:
-            e.root = False
+            e.root = 0
     if roots[0] or roots[1]:
         mark(top)
     find = mark = None  # functions that name themselves are cycles: free them now
 
 
 def subtree_hashes(top: _Element) -> list[int]:
-    """Hash of every block subtree outside the content, bottom-up; each
-    element keeps its hash. Elements without text have none, nor have those
-    that hold content: they are never deleted."""
+    """Hash of every block subtree that is not left out anyway, bottom-up;
+    each element keeps its hash, which is odd inside an article. Elements
+    without text have none, nor have those that hold content: they are never
+    deleted."""
     found: list[int] = []
 
-    def walk(e: _Element) -> bytes:
+    def walk(e: _Element, article: bool) -> bytes:
+        if e.boiler and not e.has:
+            return b""
+        article = article or e.root == ARTICLE
         digest = blake2b(e.tag.encode("utf-8", "replace"), digest_size=8)
         empty = True
         for part in e.parts:
@@ -184,8 +197,8 @@ def subtree_hashes(top: _Element) -> list[int]:
                 if text:
                     empty = False
                     digest.update(b"\0" + text.encode("utf-8", "replace"))
-            elif not part.root:
-                sub = walk(part)
+            else:
+                sub = walk(part, article)
                 if sub:
                     empty = False
                     digest.update(b"\1" + sub)
@@ -193,11 +206,11 @@ def subtree_hashes(top: _Element) -> list[int]:
             return b""
         out = digest.digest()
         if e.tag in BLOCK and e.tag not in ("html", "body") and not e.has:
-            e.hash = int.from_bytes(out, "big", signed=True)
+            e.hash = int.from_bytes(out, "big", signed=True) & ~1 | article
             found.append(e.hash)
         return out
 
-    walk(top)
+    walk(top, False)
     walk = None  # a function that names itself is a cycle: free it now
     return found
 
@@ -229,7 +242,7 @@ def blocks(top: _Element) -> list[tuple[str, list[int]]]:
         here = path
         if block:
             flush(path)
-            here = path + [e.hash] if e.hash and not inside else path
+            here = path + [e.hash] if e.hash else path
         for part in e.parts:
             if isinstance(part, str):
                 if inside or not marked:
@@ -245,66 +258,86 @@ def blocks(top: _Element) -> list[tuple[str, list[int]]]:
     return out
 
 
+def content_key(found: list[tuple[str, list[int]]]) -> int | None:
+    """Digest of a page's text before templates go (no text: none)."""
+    if not found:
+        return None
+    text = "\n".join(text for text, _ in found)
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def host_of(url):
     """Host of a url column in lower case (null or none: empty)."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """(host, page, subtree): the distinct subtree hashes of each page. The
-    page key is a digest of the row, so repeated rows are one page."""
+    """(host, content, subtree): the distinct subtree hashes of each page with
+    text, and a null for the page itself. Pages of one host with equal text
+    have the same content key."""
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         hosts, keys, hashes = [], [], []
-        for host, key, source in zip(*(c.to_pylist() for c in batch.columns)):
-            for h in set(subtree_hashes(parse(source))):
-                hosts.append(host), keys.append(key), hashes.append(h)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()),
-                                          pa.array(hashes, pa.int64())], ["host", "page", "subtree"])
-
-    return map_batches(pages.select("host", "page", "html"), run, "host string, page string, subtree long")
-
-
-def templates(subtrees: DataFrame, hosts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, subtree) standing on at least ``min_pages`` pages and
-    ``min_share`` of the pages of the host."""
-    seen = subtrees.groupBy("host", "subtree").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
-    return seen.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree")
+        for host, source in zip(*(c.to_pylist() for c in batch.columns)):
+            top = parse(source)
+            subtrees = {None, *subtree_hashes(top)}
+            key = content_key(blocks(top))
+            if key is not None:
+                hosts += [host] * len(subtrees)
+                keys += [key] * len(subtrees)
+                hashes += subtrees
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()),
+                                          pa.array(hashes, pa.int64())], ["host", "content", "subtree"])
+
+    return map_batches(pages.select("host", "html"), run, "host string, content long, subtree long")
+
+
+def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, subtree) standing on at least ``min_pages`` distinct pages and
+    ``min_share`` of the distinct pages of the host; inside articles on at
+    least ARTICLE_PAGES and ARTICLE_SHARE, if those are more."""
+    article = F.col("subtree").bitwiseAND(F.lit(1)) == 1
+    pages = F.when(article, F.lit(max(min_pages, ARTICLE_PAGES))).otherwise(F.lit(min_pages))
+    share = F.when(article, F.lit(max(min_share, ARTICLE_SHARE))).otherwise(F.lit(min_share))
+    hosts = materialize(subtrees.where("subtree is null").groupBy("host").agg(F.count_distinct("content").alias("pages")), "html-hosts")
+    seen = (subtrees.where("subtree is not null").groupBy("host", "subtree").agg(F.count_distinct("content").alias("n"))
+            .where(F.col("n") >= pages))
+    return seen.join(hosts, "host").where(F.col("n") >= share * F.col("pages")).select("host", "subtree")
 
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(page_id, url, text, n_chars) per row of ``pages``.
 
     Null html is an empty page with empty text; pages without a host share
-    the host ''; repeated rows count as one page and get equal rows; extra
+    the host ''; pages of a host with equal text count as one page; extra
     columns are ignored; empty input gives no rows. No text is cut.
     """
     from pyspark.sql import types as T
 
-    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.md5(F.concat_ws(
-        "\0", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")),
-        F.coalesce("html", F.lit("")))).alias("page"))
+    keyed = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     subtrees = materialize(page_subtrees(keyed), "html-subtrees")
-    hosts = materialize(keyed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")), "html-hosts")
-    template = materialize(templates(subtrees, hosts, min_pages, min_share), "html-templates")
-    doomed = materialize(subtrees.join(template, ["host", "subtree"]).select("page", "subtree"), "html-doomed")
-    doomed = doomed.groupBy("page").agg(F.collect_set("subtree").alias("doomed"))
+    template = materialize(templates(subtrees, min_pages, min_share), "html-templates")
+    doomed = materialize(subtrees.join(template, ["host", "subtree"]).select("host", "content", "subtree"), "html-doomed")
+    doomed = doomed.groupBy("host", "content").agg(F.collect_set("subtree").alias("doomed"))
 
     # Blocks travel compressed; deleting needs no second parse.
     def pack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        packed = []
+        keys, packed = [], []
         for source in batch.column(3).to_pylist():
             top = parse(source)
             subtree_hashes(top)
             found = blocks(top)
+            keys.append(content_key(found))
             packed.append(squeeze.compress("\n".join(
                 f"{','.join(map(str, path))}\t{text}" for text, path in found).encode("utf-8", "replace")))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], ["page_id", "url", "page", "packed"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(keys, pa.int64()), pa.array(packed, pa.binary())],
+                                         ["page_id", "url", "host", "content", "packed"])
 
     id_type, url_type = pages.schema["page_id"].dataType, pages.schema["url"].dataType
     packed_schema = T.StructType([T.StructField("page_id", id_type), T.StructField("url", url_type),
-                                  T.StructField("page", T.StringType()), T.StructField("packed", T.BinaryType())])
-    packed = map_batches(keyed.select("page_id", "url", "page", "html"), pack, packed_schema)
+                                  T.StructField("host", T.StringType()), T.StructField("content", T.LongType()),
+                                  T.StructField("packed", T.BinaryType())])
+    packed = map_batches(keyed.select("page_id", "url", "host", "html"), pack, packed_schema)
 
     def unpack(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         loose = zstandard.ZstdDecompressor()
@@ -321,7 +354,7 @@ def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float
                                           pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # Few, sorted hashes per page; the packed blocks are the wide side.
-    joined = packed.join(doomed, "page", "left").select("page_id", "url", "packed", "doomed")
+    joined = packed.join(doomed, ["host", "content"], "left").select("page_id", "url", "packed", "doomed")
     return map_batches(joined, unpack, T.StructType([
         T.StructField("page_id", id_type), T.StructField("url", url_type),
         T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

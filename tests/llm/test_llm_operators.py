@@ -289,6 +289,29 @@ def test_content_inside_wrappers_is_kept(spark):
     assert html_extract.blocks(html_extract.parse(beside)) == [("Story", [])]
 
 
+def test_recurring_blocks_of_marked_pages_go(spark):
+    bar, letter = "<div>Share this</div>", "<section><h4>News</h4><p>Sign up</p></section>"
+    main = [(i, f"http://m.example/{i}", f"<main>{bar}<p>Story {i}</p>{letter}</main>") for i in range(5)]
+    article = [(100 + i, f"http://a.example/{i}", f"<article>{bar}<p>Story {i}</p></article>") for i in range(12)]
+    mixed = [(200 + i, f"http://x.example/{i}", f"<main>{bar}<article><p>Story {i}</p></article></main>") for i in range(5)]
+    rows = main + article + mixed
+    assert _page_texts(spark, rows) == {p: f"Story {p % 100}" for p, _, _ in rows}
+
+
+def test_template_counts_distinct_contents(spark):
+    page = "<div>Menu here</div><div><p>%s</p></div>"
+    # Three copies under other urls are one page; a passage on 3 of 20 pages is no template.
+    rows = [(i, f"http://c.example/?v={i}", page % "Copied article") for i in range(3)]
+    rows += [(i, f"http://c.example/{i}", page % f"Own {i}") for i in range(3, 7)]
+    quote = [(100 + i, f"http://q.example/{i}", page % f"Own {i}" + ("<p>Quoted</p>" if i < 3 else "")) for i in range(20)]
+    got = _page_texts(spark, rows + quote)
+    assert got == {**{i: "Copied article" for i in range(3)}, **{i: f"Own {i}" for i in range(3, 7)},
+                   **{100 + i: f"Own {i}" + (" Quoted" if i < 3 else "") for i in range(20)}}
+    # A block on every page of its host goes, whether menu or paragraph.
+    every = [(i, f"http://e.example/{i}", f"<div>Menu</div><div><p>Own {i}</p><p>More</p></div>") for i in range(4)]
+    assert _page_texts(spark, every) == {i: f"Own {i}" for i in range(4)}
+
+
 # ---- archive
 
 def test_archive_round_trip(spark):
