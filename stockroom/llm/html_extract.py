@@ -46,6 +46,9 @@ BOILERPLATE_TAGS = frozenset("nav footer aside form head menu dialog button inpu
 # if the page has no other.
 BESIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# Of the raw elements, those whose content is markup: without an end tag they
+# end at once.
+RAW_MARKUP = frozenset("svg math object canvas template noscript select".split())
 # An opening tag closes an open element of these kinds (optional end tags).
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}}
@@ -58,8 +61,9 @@ BOILERPLATE_WORD = re.compile(
     r"cookie|cookies|consent|notice|gdpr|popup|modal|newsletter|subscribe|subscription|share|sharing|social|"
     r"comment|comments|disqus|reply|replies|respond|related|recommended|widget|toolbar|pagination|pager|skip-link)(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|"
-                    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+                    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>", re.S)
+# One attribute: its name, and its value with or without quotes.
+_ATTR = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
@@ -81,18 +85,17 @@ def _marks(tag: str, attrs: str, inside_root: bool) -> tuple[bool, int]:
     """(boilerplate, kind of content root or 0) as the element itself says."""
     boiler = tag in BOILERPLATE_TAGS or (tag == "header" and not inside_root)
     root = {"article": ARTICLE, "main": MAIN}.get(tag, 0)
-    if attrs and "=" in attrs or "hidden" in attrs:
+    if attrs:
+        given: dict[str, str] = {}
         for m in _ATTR.finditer(attrs):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id"):
-                boiler = boiler or (not root and tag not in ("html", "body") and bool(BOILERPLATE_WORD.search(value)))
-            elif name == "role":
-                boiler = boiler or value.lower() in BOILERPLATE_ROLES
-                root = root or {"article": ARTICLE, "main": MAIN}.get(value.lower(), 0)
-            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                boiler = True
-            elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                boiler = True
+            given.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        role = given.get("role", "").strip().lower()
+        root = root or {"article": ARTICLE, "main": MAIN}.get(role, 0)
+        boiler = boiler and not root or role in BOILERPLATE_ROLES
+        for name in ("class", "id"):
+            boiler = boiler or (not root and tag not in ("html", "body") and bool(BOILERPLATE_WORD.search(given.get(name, ""))))
+        boiler = (boiler or "hidden" in given or given.get("aria-hidden", "").lower() == "true"
+                  or bool(re.search(r"display\s*:\s*none", given.get("style", ""), re.I)))
     return boiler, 0 if boiler else root
 
 
@@ -126,8 +129,14 @@ def parse(source: str | None) -> _Element:
                     break
             continue
         if tag in RAW:
+            closed = m[3].endswith("/")
+            if closed and tag in RAW_MARKUP:
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
-            pos = end.end() if end else n
+            if end:
+                pos = end.end()
+            elif not closed and tag not in RAW_MARKUP:
+                pos = n
             continue
         if tag in P_ENDS or tag in CLOSED_BY:
             closes = CLOSED_BY.get(tag, ()) if tag not in P_ENDS else ("p",)

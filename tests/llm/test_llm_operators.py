@@ -312,6 +312,22 @@ def test_template_counts_distinct_contents(spark):
     assert _page_texts(spark, every) == {i: f"Own {i}" for i in range(4)}
 
 
+@pytest.mark.parametrize("markup", [
+    '<a href="/hidden-costs">Text</a>', '<p title="a hidden place">Text</p>', '<p data-id="comments">Text</p>',
+    '<a href="/x?id=share">Text</a>', "<a href=/x?class=menu>Text</a>", "<p data-role=navigation title='role=search'>Text",
+    "<p title=it's>Text</p>", '<svg viewBox="0 0 1 1"/>Text', "<p>Te<svg/>xt</p><svg><path/></svg>", "<math/>Text<math></math>",
+    "<svg><path>Text", '<iframe src="x"/>Text', "<div role=main class=has-sidebar>Text</div>"])
+def test_markup_that_names_no_boilerplate_is_kept(markup):
+    assert [text for text, _ in html_extract.blocks(html_extract.parse(markup))] == ["Text"]
+
+
+@pytest.mark.parametrize("markup", [
+    "<p hidden>x</p>", '<p HIDDEN="">x</p>', "<p class='a nav'>x</p>", "<p id=comments>x</p>", '<p title="a" role="search">x</p>',
+    "<p style='color:red; display: none'>x</p>", "<p title='>' aria-hidden=true>x</p>", "<svg><title>x</title></svg>", "<script>x"])
+def test_marked_boilerplate_goes(markup):
+    assert html_extract.blocks(html_extract.parse(markup + "<p></p>")) == []
+
+
 # ---- archive
 
 def test_archive_round_trip(spark):
