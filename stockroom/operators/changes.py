@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import DEFAULT_SECTION_GROUPS, combine_sections
 from ..functions.text import parse_event, squish, trim_ws
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, write_once
 from .aggregate import next_row_id
 from .filters import validate_items
 from .joins import _with_match_keys
@@ -101,10 +101,15 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
     dropped; with no existing match the first incoming row is appended with
     the incoming sum and a new id (max + 1 upwards, in arrival order).
     Untouched rows stay as they are. A null quantity makes its key's sum null.
-    ``order_col`` is the row's id: present and different in every existing row.
+    ``order_col`` is the row's id; rows without one come last, and rows that
+    share one follow their place in the table.
     """
     accepted, _ = prepare_incoming(existing, incoming, price_col, section_col, groups, keys)
-    ex, names = _with_match_keys(existing, keys, collapse_inner)
+    # Ids may be null or repeated: the kept row is found by a number of its own,
+    # written once, so that both uses see the same; no row is moved for it.
+    placed = write_once(existing.withColumn("_row_no", F.monotonically_increasing_id()), "upsert-rows")
+    first = F.struct(_c(order_col).isNull().alias("none"), _c(order_col).alias("id"), F.col("_row_no").alias("no"))
+    ex, names = _with_match_keys(placed, keys, collapse_inner)
     inc, _ = _with_match_keys(accepted, keys, collapse_inner)
 
     # Both sides are reduced to one row per key, with map-side partials, before
@@ -115,7 +120,7 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
         F.min_by(F.struct(*[_c(c) for c in inc_cols]), _c(arrival_col)).alias("_inc_first"),
         F.min(_c(arrival_col)).alias("_arr"), is_.alias("_iq"), in_.alias("_in"))
     es, en = _sum_strict(qty)
-    ex_agg = ex.groupBy(*names).agg(F.min(_c(order_col)).alias("_keep"), es.alias("_eq"), en.alias("_en"),
+    ex_agg = ex.groupBy(*names).agg(F.min(first)["no"].alias("_keep"), es.alias("_eq"), en.alias("_en"),
                                     F.lit(True).alias("_found"))
     ensure_checkpoint_dir(existing.sparkSession)
     changed = inc_agg.join(ex_agg, names, "left").checkpoint()
@@ -125,7 +130,7 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
         F.coalesce(F.col("_eq"), F.lit(0)) + F.coalesce(F.col("_iq"), F.lit(0)))
     sums = changed.where(F.col("_found")).select(*names, "_keep", "_found", total.alias("_total"))
     present = (ex.join(sums, names, "left")
-               .where(F.col("_found").isNull() | (_c(order_col) == F.col("_keep")))
+               .where(F.col("_found").isNull() | (F.col("_row_no") == F.col("_keep")))
                .withColumn(qty, F.when(F.col("_found"), F.col("_total")).otherwise(_c(qty))))
 
     # _arr is the first arrival of each key: distinct per key, so no ties.

@@ -61,6 +61,18 @@ def test_upsert_fixtures(spark):
     ]
 
 
+def test_upsert_after_append_without_ids(spark):
+    from stockroom.operators import append_rows
+    stock = spark.createDataFrame([("cable", 1, None, "S", None, 7), ("cable", 2, None, "S", None, 7),
+                                   ("dock", 1, None, "S", None, 8)], INV)
+    loose = spark.createDataFrame([("hub", 3), ("hub", 4), ("Dock", 5), ("fan", 6)], "Item string, Quantity long")
+    incoming = spark.createDataFrame([("hub", 10, None, "S", None, 1), ("cable", 10, None, "S", None, 2),
+                                      ("dock", 10, None, "S", None, 3), ("new", 1, None, "S", None, 4)], INC)
+    out = upsert_items(append_rows(stock, loose), incoming)
+    assert rows(out, "Item", "Quantity", "RowID") == [("cable", 13, 7), ("dock", 16, 8), ("fan", 6, None), ("hub", 17, None),
+                                                      ("new", 1, 9)]
+
+
 def test_upsert_null_quantity_makes_sum_null(spark):
     existing = spark.createDataFrame([("a", None, None, "S", None, 1)], INV)
     incoming = spark.createDataFrame([("a", 2, None, "S", None, 1)], INC)
