@@ -23,11 +23,12 @@ MAX_REPEAT_PERCENT = 30
 # A group's sketch needs so many documents; below, the wider one counts.
 MIN_GROUP = 50
 # Fence: the median plus so many spreads between the median and the 75th percentile.
-SPREADS = 8
+SPREADS = 16
 KEEP_BITS = 6
 # Rates that are judged, in parts per thousand, with the floor below which
-# no fence may fall: (column, floor).
-RATES = {"symbol_rate": 50, "dup_line_rate": 400, "repeat_rate": 300, "upper_rate": 300, "word_length": 12000}
+# no fence may fall: a guard for groups without spread. Repeats above the base
+# rule are gone before, so that their floor lies below it.
+RATES = {"symbol_rate": 50, "dup_line_rate": 400, "repeat_rate": 290, "upper_rate": 20, "word_length": 6000}
 
 
 def _let(value: Column, body) -> Column:

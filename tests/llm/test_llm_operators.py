@@ -75,6 +75,21 @@ def test_quality_table_and_filter_agree(spark, docs):
     assert quality_rules.quality_filter(_empty(spark)).count() == 0
 
 
+def test_the_sketch_of_the_group_sets_the_cutoff(spark):
+    rng = random.Random(4)
+
+    def text(capitals):
+        letters = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40)]
+        return " ".join(w.capitalize() if i < capitals else w for i, w in enumerate(letters))
+
+    odd = text(24)  # 120 capitals per thousand letters
+    rows = [(i, text(2 + i % 3), "en", "even", 0) for i in range(60)] + [(100 + i, text(6 + 2 * (i % 6)), "en", "mixed", 0) for i in range(60)]
+    rows += [(98, odd, "en", "even", 0), (198, odd, "en", "mixed", 0)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_table(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {d: d != 98 for d, *_ in rows}
+    assert quality_rules.RATES["repeat_rate"] < 10 * quality_rules.MAX_REPEAT_PERCENT
+
+
 def test_bucket_floor_is_a_lower_edge_within_a_32nd(spark):
     rows = spark.range(0, 20000).withColumn("e", quality_rules.bucket_floor(F.col("id"))).collect()
     assert all(r.e <= r.id and (r.id - r.e) * 32 <= r.id for r in rows)
