@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from stockroom.llm.mixing import BUDGET_PERCENT, DOMAINS, LEVELS, MAX_EPOCHS, SEED, WEIGHTS
 from stockroom.llm.quality_rules import KEEP_BITS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, RATES, SPREADS, WINDOW
+from stockroom.llm.ranked_search import TOP
+from stockroom.llm.winnowing import WINDOW as GRAM_WINDOW
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -130,4 +132,36 @@ select vec_id, coalesce(n, 0)::bigint n_links, component_id, vec_id = component_
 from root left join deg using (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5, "op6_mix_sources": OP6, "op7_warc_archive": OP7, "op9_embedding_links": OP9}
+# Lower-cased words of ASCII letters, digits and characters beyond ASCII.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP12 = f"""
+with i as (select coalesce(item_id::varchar, '') item, {_FOLDED} w from benchmark),
+win as (select distinct item, n, array_to_string(w[k:k + n - 1], ' ') s from
+  (select item, w, least(len(w), {GRAM_WINDOW}) n, unnest(range(1, greatest(len(w) - {GRAM_WINDOW - 1}, 1) + 1)) k from i where len(w) > 0)),
+d as (select row_number() over () rid, doc_id, {_FOLDED} w from documents),
+spots as (select rid, k, n, array_to_string(w[k:k + n - 1], ' ') s from
+  (select rid, w, n, unnest(range(1, len(w) - n + 2)) k from d, (select distinct n from win) where len(w) >= n)),
+hits as (select rid, k, n, item from spots join win using (n, s)),
+covered as (select rid, count(distinct j) n_hit from (select rid, unnest(range(k, k + n)) j from (select distinct rid, k, n from hits)) group by rid),
+named as (select rid, count(*) n_items, string_agg(item, ',' order by item) ids from (select distinct rid, item from hits) group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join covered using (rid) left join named using (rid)
+"""
+
+OP13 = f"""
+with d as (select row_number() over () rid, doc_id, {_FOLDED} w from documents),
+tf as (select rid, doc_id, term, count(*) tf from (select rid, doc_id, unnest(w) term from d) group by all),
+g as (select count(*)::bigint n_docs, sum(len(w))::bigint n_terms from d where len(w) > 0),
+m as (select rid, 100 - 90 + (90 * len(w)::bigint * n_docs) // n_terms m from d, g where len(w) > 0),
+wt as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint wt from tf, g group by term, n_docs),
+q as (select distinct item_id, unnest({_FOLDED}) term from benchmark),
+s as (select item_id, rid, doc_id, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from q join wt using (term) join tf using (term) join m using (rid) group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int rank, doc_id, score from s where score > 0
+qualify rank <= {TOP}
+"""
+
+ORACLES: dict[str, str] = {"op12_winnowing": OP12, "op13_ranked_search": OP13, "op5_quality_rules": OP5, "op6_mix_sources": OP6, "op7_warc_archive": OP7, "op9_embedding_links": OP9}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockroom.llm import (embedding, html_extract, mixing, packing, quality_rules, quality_svm, simhash, suffix_dedup,
-                           toxicity, warc)
+from stockroom.llm import (embedding, html_extract, mixing, packing, periodic_runs, quality_rules, quality_svm,
+                           ranked_search, simhash, suffix_dedup, toxicity, warc, winnowing)
+from stockroom.llm.common import words
 from stockroom.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -58,6 +59,53 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document by the CRC-32 of its id
+    repeats itself from word a on with period p (its words joined by one
+    space); rows without an id and texts without words stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(w):
+        n = F.size(w)
+        g = F.floor(h / 10).cast("long")
+        a = (g % F.greatest(n, F.lit(1))).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " "))
+
+    # An array of one, so that the words are split once.
+    planted = F.transform(F.array(words("text")), repeated)[0]
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(planted, "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every document: their number, the one with the
+    greatest exponent, and digests of all runs and of the collapsed text."""
+    found = periodic_runs.repeated_runs(planted_periods(_table(spark, sf_dir, "documents")))
+    longer = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:long,length:long,period:long>"), longer)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the benchmark: words inside passages of ten shared words."""
+    found = winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_site_templates, op2_pack_sequences, op3_toxicity, op4_quality_nbsvm, op5_quality_rules, op6_mix_sources,
-    op7_warc_archive, op8_simhash, op9_embedding_links, op10_suffix_dedup)}
+    op7_warc_archive, op8_simhash, op9_embedding_links, op10_suffix_dedup, op11_periodic_runs, op12_winnowing,
+    op13_ranked_search)}
