@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from ..functions.pricing import DEFAULT_PRICE_RULES, NO_MATCH_PRICE, clean_model
+from ..session import write_once
 
 # Functions of this package that run in Python workers (the price function
 # of ``enrich_distinct``) travel by value, so executors need not have the
@@ -70,31 +71,35 @@ def price_by_rule_table(df: DataFrame, model_col: str, rules, out_col: str = "Es
     word and other characters. A whole-word match begins and ends at a word
     boundary, that is at a border of two runs, or at an end of the text whose
     run is a word. So a keyword matches exactly when it equals the text from
-    one such border to a later one. Those spans (at most runs x longest
-    keyword) are joined to the rules by equality; the lowest priority wins.
-    An empty keyword matches every text with a word in it.
+    one such border to a later one. A border whose run begins no keyword is
+    dropped first; from the others, spans go only as far as the longest
+    keyword with that first run, and are joined to the rules by equality; the
+    lowest priority wins. An empty keyword matches every text with a word in it.
 
     ``rules`` is a (priority, keyword, price) table, or a list of (keyword,
-    price) pairs in priority order. No job runs here to look at them.
+    price) pairs in priority order. The priced texts are written once: their
+    size is known when they meet the rows, which then need not move for them.
     """
     if not isinstance(rules, DataFrame):
         rules = rules_frame(df.sparkSession, list(rules))
     r = rules.select(F.upper("keyword").alias("keyword"), "priority", F.col("price").cast("double").alias("price")
                      ).where(F.col("keyword").isNotNull())
-    longest = r.agg(F.coalesce(F.max(F.size(F.split("keyword", _RUN_SPLIT))), F.lit(1)).alias("n")).scalar()
+    parts = r.select(F.split("keyword", _RUN_SPLIT).alias("_k")).where(F.col("_k")[0] != "")
+    heads = parts.groupBy(F.col("_k")[0].alias("_w")).agg(F.max(F.size("_k")).alias("_reach"))
     text = F.upper(clean_model(F.col(f"`{model_col}`")) if clean else F.col(f"`{model_col}`"))
     texts = df.select(text.alias("_t")).distinct().where(F.col("_t").isNotNull())
-    runs = texts.select("_t", F.split("_t", _RUN_SPLIT).alias("_run"), longest.alias("_longest"))
+    runs = texts.select("_t", F.split("_t", _RUN_SPLIT).alias("_run"))
     # The part of the text between its first and last word boundary.
     lead = F.col("_run")[0].rlike(_WORD_START).cast("int")
     tail = F.element_at("_run", -1).rlike(_WORD_START).cast("int")
-    inner = runs.select("_t", "_longest", F.slice("_run", 2 - lead, F.greatest(
+    inner = runs.select("_t", F.slice("_run", 2 - lead, F.greatest(
         F.size("_run") - (1 - lead) - (1 - tail), F.lit(0))).alias("_run")).where(F.size("_run") > 0)
-    starts = inner.select("_t", "_run", "_longest", F.posexplode("_run").alias("_p", "_w"))
+    starts = inner.select("_t", "_run", F.posexplode("_run").alias("_p", "_w")).join(heads, "_w")
     spans = starts.select("_t", F.explode(F.transform(
-        F.sequence(F.lit(0), F.least(F.col("_longest"), F.size("_run") - F.col("_p"))),
+        F.sequence(F.lit(1), F.least(F.col("_reach"), F.size("_run") - F.col("_p"))),
         lambda n: F.array_join(F.slice("_run", F.col("_p") + 1, n), ""))).alias("keyword"))
-    best = spans.join(r, "keyword").groupBy("_t").agg(F.min_by("price", "priority").alias("_price"))
+    spans = spans.unionAll(inner.select("_t", F.lit("")))
+    best = write_once(spans.join(r, "keyword").groupBy("_t").agg(F.min_by("price", "priority").alias("_price")), "rule-prices")
     out = (df.withColumn("_t", text).join(best, "_t", "left")
            .withColumn(out_col, F.coalesce(F.col("_price"), F.lit(float(default)))))
     return out.drop("_t", "_price")

@@ -764,19 +764,27 @@ def q_export_round_trip(spark, d):
 # Streaming (T1-T3): run to completion on what is there, read the result
 # ---------------------------------------------------------------------------
 
-def _event_stream(spark, d) -> DataFrame:
-    schema = B.table(spark, d, "events").schema
-    raw = file_stream(spark, d, schema, glob="events.parquet")
+# Micro-batches that the event streams are cut into.
+_TRIGGERS = 3
+
+
+def _event_stream(spark, d, root: str) -> DataFrame:
+    """The events as a folder of files, dealt by a hash of their ids: every
+    file spans all times, so that micro-batches overlap in time."""
+    raw = B.table(spark, d, "events").select("event_id", "ts", "event_type", "user_id")
+    files = max(_TRIGGERS, default_parallelism(spark))
+    raw.repartition(files, F.xxhash64("event_id")).write.parquet(f"{root}/events")
+    stream = file_stream(spark, f"{root}/events", raw.schema, max_files_per_trigger=-(-files // _TRIGGERS))
     kind = (F.when(F.col("event_type") == "click", F.lit("plus_"))
             .when(F.col("event_type") == "error", F.lit("minus_")).otherwise(F.lit("other_")))
-    return B.parse_buttons(raw.select("event_id", "ts", F.concat(kind, F.col("user_id").cast("string")).alias("button")))
+    return B.parse_buttons(stream.select("event_id", "ts", F.concat(kind, F.col("user_id").cast("string")).alias("button")))
 
 
 @register("stream_net_quantity", B.with_ctes("qevents") + """
 SELECT row_id, CAST(sum(delta) AS BIGINT) AS net FROM qevents GROUP BY row_id""")
 def q_stream_net_quantity(spark, d):
     root = scratch_path(spark, "stream-net")
-    run_available(stream_net_quantity(_event_stream(spark, d), root, "net", f"{root}/_checkpoint", interval=None))
+    run_available(stream_net_quantity(_event_stream(spark, d, root), root, "net", f"{root}/_checkpoint", interval=None))
     return read_snapshot(spark, root, "net")
 
 
@@ -799,7 +807,7 @@ def q_stream_summary(spark, d):
 def q_stream_apply_events(spark, d):
     root = scratch_path(spark, "stream-apply")
     write_snapshot(B.inventory(spark, d), root, "inventory", version=0)
-    run_available(stream_apply_events(_event_stream(spark, d), root, "inventory", f"{root}/_checkpoint",
+    run_available(stream_apply_events(_event_stream(spark, d, root), root, "inventory", f"{root}/_checkpoint",
                                       interval=None))
     return snake(read_snapshot(spark, root, "inventory"))
 

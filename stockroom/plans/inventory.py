@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.categories import DEFAULT_SECTION_GROUPS, combine_sections
 from ..operators.aggregate import group_total, group_value, share_of_total
-from ..operators.changes import apply_quantity_events, prepare_incoming, upsert_items
+from ..operators.changes import apply_quantity_events, upsert_with_rejects
 from ..operators.filters import drop_null, filter_eq, filter_in, having_gt
-from ..sources.sinks import read_snapshot, update_snapshot, write_snapshot
+from ..sources.sinks import update_snapshot, write_snapshot
 
 # Fixed value: the message when the price measure is asked for without a
 # price column.
@@ -62,18 +62,15 @@ def section_report(df: DataFrame, threshold=10, drill_section: str = "Laptops",
 
 def maintain_inventory(spark: SparkSession, root: str, name: str, incoming: DataFrame | None = None,
                        events: DataFrame | None = None) -> int:
-    """P10: merge incoming items (I1) into the newest snapshot, apply quantity
-    events (I5), commit the next version. Returns it. If a stream or another
-    run commits meanwhile, the change is made again on that version. Incoming
-    rows that validation rejects are kept, with their reason, as the snapshot
-    table ``<name>_rejected``."""
+    """P10: merge incoming items (I1) into the newest state, apply quantity
+    events (I5), write the next version. Returns it. Events that streams
+    added since the last version are part of that state. Incoming rows that
+    validation rejects are kept, with their reason, as the snapshot table
+    ``<name>_rejected``, written before the version."""
     def change(current: DataFrame) -> DataFrame:
         if incoming is not None:
-            current = upsert_items(current, incoming)
+            current, rejected = upsert_with_rejects(current, incoming)
+            write_snapshot(rejected, root, f"{name}_rejected")
         return current if events is None else apply_quantity_events(current, events)
 
-    version = update_snapshot(spark, root, name, change)
-    if incoming is not None:
-        rejected = prepare_incoming(read_snapshot(spark, root, name, version=version), incoming)[1]
-        write_snapshot(rejected, root, f"{name}_rejected")
-    return version
+    return update_snapshot(spark, root, name, change)

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import with_chunks
-from ..session import ensure_checkpoint_dir
+from ..operators.ordering import with_buckets
 
 
 def flatten_sections(df: DataFrame, order_col: str, item_col: str = "Item", qty_col: str = "Quantity",
@@ -18,24 +17,25 @@ def flatten_sections(df: DataFrame, order_col: str, item_col: str = "Item", qty_
     into a section column on the rows below them, then drop the dividers.
 
     ``order_col`` is the row position, ``group_cols`` separate files or
-    sheets. A forward fill per range chunk, then each chunk takes the last
-    divider of the chunks before it, so one long sheet is not one task.
+    sheets. A forward fill per (sheet, bucket of positions), which moves the
+    rows once; each bucket of a long sheet then takes the last divider of the
+    buckets before it, so one long sheet is not one task.
     """
-    g = [F.col(f"`{c}`") for c in group_cols]
     item, order = F.col(f"`{item_col}`"), F.col(f"`{order_col}`")
     divider = F.col(f"`{qty_col}`").isNull()
-    chunks = with_chunks(df, group_cols, [order_col], num_partitions=num_partitions)
-    upto = Window.partitionBy(*g, F.col("_chunk")).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # Written once, so the fill and the carry read one range exchange: range
-    # bounds are sampled, and a second exchange could cut other chunks.
-    ensure_checkpoint_dir(df.sparkSession)
-    local = (chunks.withColumn("_sec", F.last(F.when(divider, item), ignorenulls=True).over(upto))
-             .checkpoint())
-    last_div = local.groupBy(*g, F.col("_chunk")).agg(
+    sheet = [f"_g{i}" for i in range(max(1, len(group_cols)))]
+    keyed = df.withColumns({g: F.col(f"`{c}`") for g, c in zip(sheet, group_cols)} or {sheet[0]: F.lit(0)})
+    rows = with_buckets(keyed, sheet, [order_col], num_partitions)
+    upto = Window.partitionBy(*sheet, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_sec", F.last(F.when(divider, item), ignorenulls=True).over(upto))
+    last_div = rows.where("_split").groupBy(*sheet, "_bucket").agg(
         F.max(F.when(divider, F.struct(order.alias("o"), item.alias("i")))).alias("_d"))
-    before = Window.partitionBy(*g).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last_div.select(*g, "_chunk", F.last(F.col("_d.i"), ignorenulls=True).over(before).alias("_carry"))
-    out = (local.join(carry, [*group_cols, "_chunk"], "left")
+    before = Window.partitionBy(*sheet).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last_div.select(*[F.col(g).alias(f"{g}_c") for g in sheet], F.col("_bucket").alias("_bucket_c"),
+                            F.last(F.col("_d.i"), ignorenulls=True).over(before).alias("_carry"))
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_c")) for g in sheet] + [F.col("_bucket") == F.col("_bucket_c")]
+    # One row per bucket of a cut sheet: bounded by the number of buckets.
+    out = (local.join(F.broadcast(carry), same, "left")
            .withColumn(section_col, F.coalesce(F.col("_sec"), F.col("_carry")))
            .where(~divider))
-    return out.drop("_chunk", "_sec", "_carry")
+    return out.drop("_bucket", "_split", "_sec", "_carry", "_bucket_c", *sheet, *[f"{g}_c" for g in sheet])

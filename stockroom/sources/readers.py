@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..session import write_once
-from .sinks import _fs, snapshot_versions
+from .lines import PLACE, has_line_breaks, placed, placed_records
+from .sinks import _fs, read_snapshot, snapshot_versions
 
 log = logging.getLogger("stockroom")
 
@@ -28,20 +29,28 @@ def _string_schema(names: Sequence[str]) -> StructType:
     return StructType([StructField(n, StringType(), True) for n in names])
 
 
-def _with_position(scan: DataFrame, name: str, start: int) -> DataFrame:
-    """A file scan with the dense place of each row in its source. Rows are
-    counted per split, the counts (one row per split) become offsets, and each
-    row adds its place in its split: the rows themselves are not shuffled or
-    sorted. Both passes are the same scan, cut into the same splits."""
-    placed = scan.select("*", F.col("_metadata.file_path").alias("_file"),
-                         F.col("_metadata.file_block_start").alias("_block"),
-                         F.monotonically_increasing_id().alias("_m"))
-    splits = placed.groupBy("_file", "_block").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
+def _numbered_splits(rows: DataFrame, name: str, start: int) -> DataFrame:
+    """Rows with (_file, _block, _m), ``_m`` without gaps in a split, as rows
+    with their dense place over files in order of their paths. Only counts (one row
+    per split) are put in order. ``rows`` is a written copy, so both passes
+    see the same splits; a split without its count is an error."""
+    splits = rows.groupBy("_file", "_block").agg(F.min("_m").alias("_m0"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = write_once(splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0))
-                                                            - F.col("_m0") + start).alias("_off")), "positions")
-    return (placed.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_off") + F.col("_m"))
-            .select(*[f"`{c}`" for c in scan.columns], f"`{name}`"))
+    offsets = splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0))
+                                                - F.col("_m0") + start).alias("_off"))
+    place = F.coalesce("_off", F.raise_error(F.lit("a split has no position")).cast("long")) + F.col("_m")
+    return rows.join(offsets, ["_file", "_block"], "left").withColumn(name, place).drop("_off", *PLACE)
+
+
+def _parquet_position(scan: DataFrame, name: str, start: int) -> DataFrame:
+    """Parquet rows know their place in their file, however it is cut; files
+    in order of their paths. One count per file is put in order."""
+    rows = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    files = rows.groupBy("_file").agg((F.max("_at") + 1).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("_file", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + start).alias("_off"))
+    place = F.coalesce("_off", F.raise_error(F.lit("a file has no position")).cast("long")) + F.col("_at")
+    return rows.join(offsets, "_file", "left").withColumn(name, place).drop("_off", "_file", "_at")
 
 
 def _null_tokens(df: DataFrame, tokens: Iterable[str], columns: Sequence[str] | None = None) -> DataFrame:
@@ -61,7 +70,7 @@ def _cast(df: DataFrame, types: Mapping[str, str] | None) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None = None,
-               style: str = "pandas", string_cols: Sequence[str] = (), multiline: bool = False,
+               style: str = "pandas", string_cols: Sequence[str] = (), multiline: bool | None = None,
                position: str | None = None, start: int = 1) -> DataFrame:
     """CSV with a header row (A1, A2).
 
@@ -69,83 +78,100 @@ def read_table(spark: SparkSession, path: str, types: Mapping[str, str] | None =
     tokens become null, then ``types`` are applied with ``try_cast`` except
     for ``string_cols``, which stay text (long ids, phone numbers).
     ``style='readr'`` also trims fields and reads only ''/NA as missing.
-    ``multiline=True`` accepts line breaks inside quoted fields; each file
-    is then read by one task, so keep it for exports that need it.
+    Line breaks inside quoted fields are found by one pass over the text
+    (``multiline`` states beforehand whether there are any); records with
+    them are put together across splits, files are never read by one task.
     ``position`` names a column for the place of each row in the source (W1):
-    files in order of their paths, rows in file order, from ``start`` on.
+    files in order of their paths, rows in file order, from ``start`` on. It
+    does not depend on how files are cut into splits, now or later.
     """
     readr = style == "readr"
-    reader = (spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
-              .option("ignoreLeadingWhiteSpace", readr).option("ignoreTrailingWhiteSpace", readr)
-              .option("multiLine", multiline))
-    df = reader.csv(path)
-    columns = df.columns
-    if position:
-        df = _with_position(df, position, start)
+    if has_line_breaks(spark, path) if multiline is None else multiline:
+        df = _parsed_records(spark, path, 1, position, start, trim=readr)
+    else:
+        reader = (spark.read.option("header", True).option("escape", '"').option("inferSchema", False)
+                  .option("ignoreLeadingWhiteSpace", readr).option("ignoreTrailingWhiteSpace", readr))
+        df = reader.csv(path)
+        if position:
+            df = _numbered_splits(placed(df, "positions"), position, start)
+    columns = [c for c in df.columns if c != position]
     df = _null_tokens(df, READR_NA_TOKENS if readr else PANDAS_NA_TOKENS, columns)
     types = {k: v for k, v in (types or {}).items() if k not in set(string_cols)}
     return _cast(df, types)
 
 
-def _export_headers(raw: DataFrame, header_record: int) -> DataFrame:
-    """Per file: its ``header_record``-th non-blank line (``_header``) and the
-    place of that line (``_hblock``, ``_hm``). The rank is limited before the
-    shuffle, so each scan task sends at most that many lines per file."""
+def _export_headers(records: DataFrame, header_record: int) -> DataFrame:
+    """Per file: its ``header_record``-th non-blank record (``_header``) and
+    that record's place (``_hblock``, ``_hm``). The rank is limited before the
+    shuffle, so each scan task sends at most that many records per file."""
     first = Window.partitionBy("_file").orderBy("_block", "_m")
-    return (raw.where(~F.col("_line").rlike(_BLANK_LINE))
+    return (records.where(~F.col("_line").rlike(_BLANK_LINE))
             .withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= header_record)
             .where(F.col("_rank") == header_record)
             .select("_file", F.col("_line").alias("_header"), F.col("_block").alias("_hblock"),
                     F.col("_m").alias("_hm")))
 
 
-def _header_names(line: str) -> list[str]:
-    names = [h if h else f"_c{i}" for i, h in enumerate(next(csv.reader([line])))]
+def _header_names(line: str, trim: bool = False) -> list[str]:
+    fields = [h.strip(" ") if trim else h for h in next(csv.reader([line], skipinitialspace=trim))]
+    names = [h if h else f"_c{i}" for i, h in enumerate(fields)]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise ValueError(f"columns named twice in an export header: {twice}")
     return names
 
 
-def read_export(spark: SparkSession, path: str, header_record: int,
-                types: Mapping[str, str] | None = None) -> DataFrame:
-    """CSV exports whose real header is non-blank record ``header_record``
-    (1-based); the records before it are a preamble and are dropped (A3).
-
-    Each file is read by its own header, wherever its preamble ends: the
-    columns of all files are put together by name, and a column that a file
-    lacks is null there. One pass over the text finds the headers, a second
-    one parses the lines below them with ``from_csv``. The driver sees one row
-    per *different* header only. Blank lines are skipped; quoted line breaks
-    are not supported. A file without that many records is an error.
-    """
-    # Both passes are the same scan of one file listing, cut into the same
-    # splits, so a line has the same place (_block, _m) in both.
-    raw = spark.read.text(path).select(
-        F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"))
-    heads = write_once(_export_headers(raw, header_record), "export-headers")
-    found, expected = heads.count(), len(raw.inputFiles())
+def _parsed_records(spark: SparkSession, path: str, header_record: int, position: str | None = None, start: int = 1,
+                    trim: bool = False) -> DataFrame:
+    """Text columns of the records below each file's header, put together by
+    name. The records are a written copy: headers and rows come from one cut."""
+    records = placed_records(spark, path)
+    heads = write_once(_export_headers(records, header_record), "export-headers")
+    found, expected = heads.count(), len(spark.read.text(path).inputFiles())
     if found < expected:
         raise ValueError(f"{expected - found} of {expected} files have fewer than {header_record} non-blank records")
 
     layouts = [r[0] for r in heads.groupBy("_header").agg(F.min("_file").alias("f")).orderBy("f")
                .select("_header").collect()]
-    by_line = {line: _header_names(line) for line in layouts}
+    by_line = {line: _header_names(line, trim) for line in layouts}
     names = list(dict.fromkeys(n for line in layouts for n in by_line[line]))
-    width = max(len(h) for h in by_line.values())
+    width = max((len(h) for h in by_line.values()), default=0)
     # Where each output column stands in the files of a layout (1-based, 0: nowhere).
     places = spark.createDataFrame([(line, [h.index(n) + 1 if n in h else 0 for n in names])
                                     for line, h in by_line.items()], "_header string, _at array<int>")
     ddl = ", ".join(f"_f{i} STRING" for i in range(width))
-    body = (raw.where(~F.col("_line").rlike(_BLANK_LINE)).join(heads.join(places, "_header"), "_file")
-            .where((F.col("_block") > F.col("_hblock"))
-                   | ((F.col("_block") == F.col("_hblock")) & (F.col("_m") > F.col("_hm")))))
-    parsed = body.select("_at", F.from_csv(F.col("_line"), ddl, {"escape": '"'}).alias("_r"))
-    fields = parsed.select("_at", F.array(*[F.col(f"_r._f{i}") for i in range(width)]).alias("_v"))
-    df = fields.select(*[F.when(F.col("_at")[i] > 0, F.element_at("_v", F.greatest(F.col("_at")[i], F.lit(1)))).alias(n)
-                         for i, n in enumerate(names)])
-    return _cast(_null_tokens(df, PANDAS_NA_TOKENS), types)
+    below = (F.col("_block") > F.col("_hblock")) | ((F.col("_block") == F.col("_hblock")) & (F.col("_m") > F.col("_hm")))
+    body = records.where(~F.col("_line").rlike(_BLANK_LINE)).join(heads.join(places, "_header"), "_file").where(below)
+    kept = []
+    if position:
+        # Blank lines and records of several lines leave gaps: rows are counted anew within their split.
+        body = body.withColumn("_m", F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_m")))
+        body = _numbered_splits(write_once(body.select(*PLACE, "_at", "_line"), "export-rows"), "_place", start)
+        kept = ["_place"]
+    space = "true" if trim else "false"
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": space, "ignoreTrailingWhiteSpace": space, "multiLine": "true"}
+    parsed = body.select(*kept, "_at", F.from_csv(F.col("_line"), ddl, options).alias("_r"))
+    fields = parsed.select(*kept, "_at", F.array(*[F.col(f"_r._f{i}") for i in range(width)]).alias("_v"))
+    return fields.select(*[F.when(F.col("_at")[i] > 0, F.element_at("_v", F.greatest(F.col("_at")[i], F.lit(1)))).alias(n)
+                           for i, n in enumerate(names)], *[F.col(c).alias(position) for c in kept])
+
+
+def read_export(spark: SparkSession, path: str, header_record: int,
+                types: Mapping[str, str] | None = None, position: str | None = None, start: int = 1) -> DataFrame:
+    """CSV exports whose real header is non-blank record ``header_record``
+    (1-based); the records before it are a preamble and are dropped (A3).
+
+    Each file is read by its own header, wherever its preamble ends: the
+    columns of all files are put together by name, and a column that a file
+    lacks is null there. Lines are written once, put together to records where
+    quoted fields hold line breaks, and all further passes read that copy.
+    The driver sees one row per *different* header only. Blank lines between
+    records are skipped. A file without that many records is an error.
+    ``position`` as in ``read_table``.
+    """
+    df = _parsed_records(spark, path, header_record, position, start)
+    columns = [c for c in df.columns if c != position]
+    return _cast(_null_tokens(df, PANDAS_NA_TOKENS, columns), types)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -155,10 +181,10 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def load_table(spark: SparkSession, root: str, name: str, schema: StructType, position: str | None = None,
                start: int = 1) -> DataFrame:
-    """Named table (Parquet) with the columns of ``schema``: the newest
-    committed version of a snapshot table, else the folder itself. Only a
-    missing path is an empty table plus a warning (A4). ``position`` as in
-    ``read_table``."""
+    """Named table (Parquet) with the columns of ``schema``: the latest state
+    of a snapshot table, else the folder itself. Only a missing path is an
+    empty table plus a warning (A4). ``position`` as in ``read_table``, in the
+    newest written version."""
     path = f"{root.rstrip('/')}/{name}"
     fs, base = _fs(spark, path)
     if not fs.exists(base):
@@ -167,7 +193,9 @@ def load_table(spark: SparkSession, root: str, name: str, schema: StructType, po
     versions = snapshot_versions(spark, root, name)
     df = spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}" if versions else path)
     names = schema.fieldNames()
-    return _with_position(df, position, start).select(*names, position) if position else df.select(names)
+    if versions and not position:
+        return read_snapshot(spark, root, name, schema).select(names)
+    return _parquet_position(df, position, start).select(*names, position) if position else df.select(names)
 
 
 # The part of a GeoJSON FeatureCollection that is read (no inference pass).

@@ -1,23 +1,25 @@
 """Table sinks and versioned snapshots.
 
-A snapshot is a folder ``<root>/<name>/v=<N>``; readers take the highest N.
-Spark cannot overwrite a path it is reading from, so a change never writes in
-place: it is written aside, version N+1 is claimed by creating a file that
-only one writer can create, and the folder is renamed. A writer that loses
-the claim gets ``SnapshotConflict`` and starts again from the newer version.
-Each version carries ``_applied``: the last batch of every stream whose
-events it holds.
+A snapshot is a folder ``<root>/<name>/v=<N>`` of plain Parquet, complete when
+Spark's ``_SUCCESS`` is there; readers take the highest complete N. Spark
+cannot overwrite a path it is reading from, so a change is always the next
+version. A table has one writer at a time; a version that appeared since the
+base was read is refused with ``SnapshotConflict``.
+
+Streams add to a version without rewriting it: see ``pending``. The ledger
+``<root>/<name>/ledger/v=<N>``, written before the version, is a Parquet table
+of the last batch of every stream that the version holds: what is replayed is
+anti-joined with it.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import json
 import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import slug
@@ -69,7 +71,10 @@ def snapshot_versions(spark: SparkSession, root: str, name: str) -> list[int]:
 
 
 class SnapshotConflict(RuntimeError):
-    """The version to be written was committed by another writer meanwhile."""
+    """The version to be written exists, or another one appeared meanwhile."""
+
+
+_LEDGER = "stream string, batch long"
 
 
 def _latest(spark: SparkSession, root: str, name: str) -> int | None:
@@ -77,74 +82,74 @@ def _latest(spark: SparkSession, root: str, name: str) -> int | None:
     return versions[-1] if versions else None
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def read_ledger(spark: SparkSession, root: str, name: str, version: int | None) -> DataFrame:
+    """(stream, batch): the last batch per stream that version ``version`` holds."""
+    path = f"{root.rstrip('/')}/{name}/ledger/v={version}"
+    if version is None or not path_exists(spark, path):
+        return spark.createDataFrame([], _LEDGER)
+    return spark.read.schema(_LEDGER).parquet(path)
+
+
 def applied_batches(spark: SparkSession, root: str, name: str, version: int | None) -> dict[str, int]:
-    """Last batch per stream whose events version ``version`` holds."""
-    if version is None:
-        return {}
-    fs, path = _fs(spark, f"{root.rstrip('/')}/{name}/v={version}/_applied")
-    if not fs.exists(path):
-        return {}
-    stream = fs.open(path)
-    try:
-        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return json.loads(text)
+    """The ledger of a version: one entry per stream."""
+    return {r.stream: r.batch for r in read_ledger(spark, root, name, version).collect()}
 
 
 def write_snapshot(df: DataFrame, root: str, name: str, version: int | None = None, base: int | None = None,
                    applied: dict[str, int] | None = None) -> int:
-    """Commit ``df`` as the next version (or ``version``) of a table (A7); returns it.
+    """Write ``df`` as the next version (or ``version``) of a table (A7); returns it.
 
     ``base`` is the version that ``df`` was computed from: if it is no longer
-    the newest, or another writer claims the next one first, the write is
-    refused with ``SnapshotConflict``. A committed version is never replaced.
-    The record of applied stream batches is carried over, plus ``applied``.
+    the newest, the write is refused with ``SnapshotConflict``. A version is
+    never replaced; the number of one that a dead writer left incomplete is
+    passed over. The ledger is carried over, with ``applied`` on top.
     """
     spark = df.sparkSession
     folder = f"{root.rstrip('/')}/{name}"
-    aside = f"{folder}/_aside-{uuid.uuid4().hex}"
-    df.write.parquet(aside)
     latest = _latest(spark, root, name)
     if base is not None and latest != base:
         raise SnapshotConflict(f"{name}: version {latest} was written since version {base} was read")
-    record = {**applied_batches(spark, root, name, latest), **(applied or {})}
-    fs, path = _fs(spark, f"{aside}/_applied")
-    out = fs.create(path)
-    out.write(json.dumps(record).encode())
-    out.close()
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs.mkdirs(jpath(f"{folder}/_claims"))
-    target = version if version is not None else (1 if latest is None else latest + 1)
-    # A claim without its version was left by a writer that died: passed over
-    # when appending, refused when that very version is asked for.
-    while not fs.createNewFile(jpath(f"{folder}/_claims/{target}")):
-        if version is not None or base is not None and (_latest(spark, root, name) or 0) >= target:
+    target = version if version is not None else 1 if latest is None else latest + 1
+    while path_exists(spark, f"{folder}/v={target}"):
+        if version is not None:
             raise SnapshotConflict(f"{name}: version {target} is taken")
         target += 1
-    if not fs.rename(jpath(aside), jpath(f"{folder}/v={target}")):
-        raise SnapshotConflict(f"{name}: version {target} could not be committed")
+    more = spark.createDataFrame(sorted((applied or {}).items()), _LEDGER)
+    ledger = (read_ledger(spark, root, name, latest).unionByName(more).groupBy("stream").agg(F.max("batch").alias("batch")))
+    if applied or latest is not None and path_exists(spark, f"{folder}/ledger/v={latest}"):
+        ledger.coalesce(1).write.mode("overwrite").parquet(f"{folder}/ledger/v={target}")
+    df.write.mode("errorifexists").parquet(f"{folder}/v={target}")
     return target
 
 
 def update_snapshot(spark: SparkSession, root: str, name: str, change: Callable[[DataFrame], DataFrame],
-                    stream: tuple[str, int] | None = None, attempts: int = 10) -> int:
-    """Read the newest version, write ``change`` of it as the next; start
-    again when another writer came first. With ``stream`` = (query id, batch
+                    stream: tuple[str, int] | None = None) -> int:
+    """Read the newest state, pending stream changes included, and write
+    ``change`` of it as the next version. With ``stream`` = (query id, batch
     id) a batch that the newest version already holds changes nothing."""
-    for attempt in range(attempts):
-        base = _latest(spark, root, name)
-        if base is None:
-            raise FileNotFoundError(f"no snapshot of {name} under {root}; write the starting table first")
-        if stream and applied_batches(spark, root, name, base).get(stream[0], -1) >= stream[1]:
-            return base
-        try:
-            return write_snapshot(change(read_snapshot(spark, root, name, version=base)), root, name, base=base,
-                                  applied=dict([stream]) if stream else None)
-        except SnapshotConflict:
-            if attempt == attempts - 1:
-                raise
-    raise ValueError("attempts must be positive")
+    base = _latest(spark, root, name)
+    if base is None:
+        raise FileNotFoundError(f"no snapshot of {name} under {root}; write the starting table first")
+    held = applied_batches(spark, root, name, base)
+    if stream and held.get(stream[0], -1) >= stream[1]:
+        return base
+    from .pending import clear_pending, pending_batches
+
+    folded = pending_batches(spark, root, name, base)
+    version = write_snapshot(change(read_snapshot(spark, root, name)), root, name, base=base,
+                             applied={**folded, **(dict([stream]) if stream else {})})
+    clear_pending(spark, root, name, base)
+    return version
 
 
 def prune_snapshots(spark: SparkSession, root: str, name: str, keep: int) -> list[int]:
@@ -162,16 +167,22 @@ def prune_snapshots(spark: SparkSession, root: str, name: str, keep: int) -> lis
 
 def read_snapshot(spark: SparkSession, root: str, name: str, schema: StructType | None = None,
                   version: int | None = None) -> DataFrame:
-    """The latest (or given) version of a snapshot table; empty if none."""
-    if version is None:
-        versions = snapshot_versions(spark, root, name)
-        if not versions:
-            if schema is None:
-                raise FileNotFoundError(f"no snapshot of {name} under {root}")
-            return spark.createDataFrame([], schema)
-        version = versions[-1]
+    """The latest state of a snapshot table: its newest version with what
+    streams added to it since; empty if there is neither. A given ``version``
+    is read as it was written."""
+    from .pending import with_pending
+
+    latest = _latest(spark, root, name) if version is None else version
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{root.rstrip('/')}/{name}/v={version}")
+    base = None if latest is None else reader.parquet(f"{root.rstrip('/')}/{name}/v={latest}")
+    if version is not None:
+        return base
+    merged = with_pending(spark, root, name, latest, base)
+    if merged is None:
+        if schema is None:
+            raise FileNotFoundError(f"no snapshot of {name} under {root}")
+        return spark.createDataFrame([], schema)
+    return merged
 
 
 def export_name(kind: str, label: str | None = None, category: str | None = None,

@@ -1,11 +1,10 @@
 """Structured Streaming forms of the refresh loop and the +/- events
 (SURVEY T1-T3).
 
-Results are written with ``foreachBatch`` as versioned snapshots. A version
-is always the one after the newest, whoever wrote that; the batch id is not
-part of it. Each version records the last batch of every stream it holds, so
-a replayed micro-batch changes nothing, and maintenance and streams can share
-a table. A query with a fresh checkpoint is a new stream: what it reads is
+A trigger writes what it changed, beside the newest version of the snapshot
+table (``sources.pending``); ``read_snapshot`` shows both as one table. A
+replayed micro-batch changes nothing, and maintenance and streams can share a
+table. A query with a fresh checkpoint is a new stream: what it reads is
 applied.
 """
 
@@ -18,12 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.changes import apply_quantity_events
-from ..sources.sinks import applied_batches, prune_snapshots, snapshot_versions, update_snapshot, write_snapshot
+from ..sources.pending import add_events, add_rows
 
 # Fixed value: refresh interval of the live inventory view.
 REFRESH_INTERVAL = "30 seconds"
 
+# Length of a time slot of events, in seconds (or units of a numeric order).
+SLOT_SECONDS = 86_400
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
                 glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -45,57 +46,64 @@ def _query_id(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
-def _snapshot_sink(root: str, name: str, keep_versions: int | None = None):
+# Triggers after which the changed rows are folded into a new version.
+FOLD_EVERY = 20
+
+
+def _keyed_sink(root: str, name: str, key: str, fold_every: int, keep_versions: int | None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark, query = batch.sparkSession, _query_id(batch)
-        versions = snapshot_versions(spark, root, name)
-        if applied_batches(spark, root, name, versions[-1] if versions else None).get(query, -1) >= batch_id:
-            return
-        write_snapshot(batch, root, name, applied={query: batch_id})
-        if keep_versions:
-            prune_snapshots(batch.sparkSession, root, name, keep_versions)
+        add_rows(batch, root, name, key, fold_every, keep_versions)
     return write
 
 
+def _keyed_query(result: DataFrame, root: str, name: str, key: str, checkpoint: str, interval: str | None, fold_every: int,
+                 keep_versions: int | None) -> StreamingQuery:
+    """Update mode: a trigger brings the rows of the keys it changed, each
+    with its whole value, so that a replay writes the same values again."""
+    writer = (result.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+              .foreachBatch(_keyed_sink(root, name, key, fold_every, keep_versions)))
+    return _trigger(writer, interval).start()
+
+
 def stream_summary(stream: DataFrame, key: str, value: str, root: str, name: str, checkpoint: str,
                    total_name: str = "total", interval: str | None = REFRESH_INTERVAL,
-                   keep_versions: int | None = None) -> StreamingQuery:
-    """Keep ``sum(value)`` per key fresh as rows arrive; every trigger
-    writes the complete summary as a new snapshot version (only the newest
-    ``keep_versions`` are kept, when given). ``interval=None`` processes
-    what is there now and stops (tests, backfills)."""
+                   keep_versions: int | None = None, fold_every: int = FOLD_EVERY) -> StreamingQuery:
+    """Keep ``sum(value)`` per key fresh as rows arrive. Every trigger
+    writes the changed keys; every ``fold_every`` triggers they are folded
+    into a new version, of which the newest ``keep_versions`` (2) are kept.
+    ``interval=None`` processes what is there now and stops (tests, backfills)."""
     summary = stream.groupBy(F.col(f"`{key}`")).agg(F.coalesce(F.sum(F.col(f"`{value}`")), F.lit(0)).alias(total_name))
-    writer = (summary.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-              .foreachBatch(_snapshot_sink(root, name, keep_versions)))
-    return _trigger(writer, interval).start()
+    return _keyed_query(summary, root, name, key, checkpoint, interval, fold_every, keep_versions)
 
 
 def stream_net_quantity(events: DataFrame, root: str, name: str, checkpoint: str, id_col: str = "row_id",
-                        delta_col: str = "delta", interval: str | None = REFRESH_INTERVAL) -> StreamingQuery:
+                        delta_col: str = "delta", interval: str | None = REFRESH_INTERVAL,
+                        keep_versions: int | None = None, fold_every: int = FOLD_EVERY) -> StreamingQuery:
     """Net quantity change per row id from an event stream (net only;
-    the delete-at-zero rule needs order, see ``stream_apply_events``)."""
+    the delete-at-zero rule needs order, see ``stream_apply_events``). Written
+    as in ``stream_summary``: a trigger writes the ids it changed."""
     net = events.groupBy(F.col(id_col)).agg(F.sum(F.col(delta_col)).cast("bigint").alias("net"))
-    writer = (net.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-              .foreachBatch(_snapshot_sink(root, name)))
-    return _trigger(writer, interval).start()
+    return _keyed_query(net, root, name, id_col, checkpoint, interval, fold_every, keep_versions)
 
 
 def stream_apply_events(events: DataFrame, root: str, name: str, checkpoint: str,
                         order_cols: Sequence[str] = ("ts", "event_id"), id_col: str = "RowID",
-                        interval: str | None = REFRESH_INTERVAL) -> StreamingQuery:
-    """Apply each micro-batch of quantity events to the latest inventory
-    snapshot with the delete-at-zero rule (I5) and write the next version.
-
-    Events are ordered within a batch; batches apply in arrival order, so
-    event files must arrive in time order. The base is the newest version;
-    if another writer commits meanwhile, the batch is applied again to that.
+                        interval: str | None = REFRESH_INTERVAL, qty: str = "Quantity", event_id_col: str = "row_id",
+                        delta_col: str = "delta", slot_width: int = SLOT_SECONDS) -> StreamingQuery:
+    """Apply quantity events to the inventory snapshot with the
+    delete-at-zero rule (I5).
+
+    Events may come in any order, over any number of micro-batches: the state
+    is the newest version with all events since in the order of
+    ``order_cols``, as one batch would give it. A micro-batch logs its events
+    and sums up anew only the (id, time slot) pairs that it touches; the
+    inventory is not rewritten. ``fold_pending`` or a maintenance run makes a
+    version of it, before which no later event can act.
     """
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        update_snapshot(batch.sparkSession, root, name,
-                        lambda current: apply_quantity_events(current, batch, id_col=id_col, order_cols=order_cols),
-                        stream=(_query_id(batch), batch_id))
+    def add(batch: DataFrame, batch_id: int) -> None:
+        add_events(batch, _query_id(batch), batch_id, root, name, order_cols, id_col, qty, event_id_col, delta_col, slot_width)
 
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
     return _trigger(writer, interval).start()
 
 
