@@ -21,8 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 WORD_SPACES = " \t\n\x0b\x0c\r"
 WORD_SPACES_CLASS = "[\\x20\\x09-\\x0D]+"
 
-# Rows per Arrow batch handed to Python: whole texts can be long, so that a
-# batch stays within tens of MB.
+# Rows of an Arrow batch that are Python values at a time: whole texts can be
+# long, so that they stay within tens of MB.
 ARROW_ROWS = 500
 
 
@@ -35,22 +35,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, unless already smaller."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]],
                 schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` of a function on one batch."""
-    bounded_batches(df.sparkSession)
-
+    """``mapInArrow`` of a function on a few rows at a time. Spark bounds its
+    batches by bytes; no session setting is touched."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for k in range(0, batch.num_rows, ARROW_ROWS):
+                yield from fn(batch.slice(k, ARROW_ROWS))
 
     return df.mapInArrow(run, schema)
 

@@ -26,6 +26,8 @@ WEIGHTS = {("lang", "en"): 3}
 BUDGET_PERCENT = 90
 MAX_EPOCHS = 2
 SEED = 6
+# Rounds per tree level in which the tokens that leaves left over are given away.
+PASSES = 2
 # The order of a leaf is cut into 2 ** BITS ranges of equal width.
 BITS = 12
 _ORDER_BITS = 60
@@ -120,15 +122,18 @@ def _same_leaf(a: str, b: str) -> Column:
     return match
 
 
-def selection_rule(stats: DataFrame, leaf_budgets: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Per leaf: epochs taken whole (``whole``) and the last place in the next
-    epoch's order that is still taken (``upto``, -1 for none). Documents of
-    equal place (repeated rows) are taken together or not at all.
+def selection_rule(stats: DataFrame, leaf_budgets: DataFrame, leaves: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """Per leaf: epochs taken whole (``whole``), the last place in the next
+    epoch's order that is still taken (``upto``, -1 for none), the tokens
+    ``spent`` and ``unspent``, and the tokens that the next document needs
+    (``needs``, null if the leaf is used up). Documents of equal place
+    (repeated rows) are taken together or not at all.
 
     Range sums come first; only the range in which the budget ends is looked
     at document by document."""
+    over = F.col("b.over") if "over" in leaf_budgets.columns else F.lit(0).cast("decimal(38,0)")
     leaf = leaf_budgets.alias("b").join(leaves.alias("l"), _same_leaf("b", "l")).select(
-        *[F.col(f"b.{k}") for k in LEVELS], F.col("b.budget"), F.col("l.tokens"))
+        *[F.col(f"b.{k}") for k in LEVELS], F.col("b.budget"), F.col("l.tokens"), over.alias("over"))
     leaf = materialize(leaf.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")).cast("int"))
                        .withColumn("rest", (F.col("budget") - F.col("whole") * F.col("tokens")).cast("long")), "mix-leaf")
     placed = (stats.alias("s").join(leaf.alias("f"), _same_leaf("s", "f"))
@@ -147,12 +152,62 @@ def selection_rule(stats: DataFrame, leaf_budgets: DataFrame, leaves: DataFrame)
     edge = (placed.alias("p").join(below.alias("e"), _same_leaf("p", "e") & (F.col("p.range") == F.col("e.edge")))
             .select(*[F.col(f"p.{k}") for k in LEVELS], "p.place", "p.tokens", "p.rest", "e.spent"))
     along = Window.partitionBy(*LEVELS).orderBy("place")
-    ends = (edge.withColumn("upto", F.col("spent") + F.sum("tokens").over(along))
-            .where("upto <= rest").groupBy(*LEVELS).agg(F.max("place").alias("place")))
+    ends = (edge.withColumn("upto", F.col("spent") + F.sum("tokens").over(along)).groupBy(*LEVELS)
+            .agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("place"))).alias("place"),
+                 F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("spent"),
+                 F.min(F.when(F.col("upto") > F.col("rest"), F.col("upto"))).alias("beyond")))
     width = 1 << (_ORDER_BITS - BITS)
-    return materialize(below.alias("e").join(ends.alias("x"), _same_leaf("e", "x"), "left").select(
-        *[F.col(f"e.{k}") for k in LEVELS], "e.whole",
-        F.coalesce("x.place", (F.col("e.last_range") + 1) * width - 1, F.lit(-1)).alias("upto")), "mix-rule")
+    j = (below.alias("e").join(ends.alias("x"), _same_leaf("e", "x"), "left").join(leaf.alias("f"), _same_leaf("e", "f"))
+         .select(*[F.col(f"e.{k}") for k in LEVELS], "e.whole",
+                 F.coalesce("x.place", (F.col("e.last_range") + 1) * width - 1, F.lit(-1)).alias("upto"),
+                 F.coalesce("x.spent", "e.spent").alias("part"), "x.beyond", "e.rest", "f.tokens", "f.over"))
+    big = "decimal(38,0)"
+    return materialize(j.select(
+        *LEVELS, "tokens", "whole", "upto", (F.col("whole") * F.col("tokens") + F.col("part")).cast(big).alias("spent"),
+        (F.col("rest") - F.col("part") + F.col("over")).cast(big).alias("unspent"),
+        F.when(F.col("whole") < max_epochs, F.col("beyond") - F.col("part")).cast(big).alias("needs")), "mix-rule")
+
+
+def pool_unspent(rule: DataFrame, parent: list[str], max_epochs: int) -> DataFrame:
+    """Leaves that get the tokens left over by all leaves below the same
+    ``parent``: per parent the leaf whose next document needs least, if the
+    pool pays for it, with its new budget and what that leaves ``over`` beyond
+    its capacity. One row per parent at most."""
+    big = "decimal(38,0)"
+    w = Window.partitionBy(*parent)
+    pooled = rule.withColumn("pool", F.sum("unspent").over(w)).where(F.col("needs") <= F.col("pool"))
+    first = F.row_number().over(w.orderBy("needs", *[F.col(k).asc_nulls_first() for k in LEVELS]))
+    whole = (F.col("spent") + F.col("pool")).cast(big)
+    budget = F.least(whole, (F.col("tokens") * max_epochs).cast(big))
+    return pooled.withColumn("first", first).where("first = 1").select(
+        *LEVELS, budget.alias("budget"), (whole - budget).cast(big).alias("over"))
+
+
+def spend_rest(stats: DataFrame, rule: DataFrame, leaves: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """A leaf ends at the first document that does not fit. What it leaves
+    over goes to its siblings first, then to the other leaves of the domain,
+    then to all: PASSES times per level the pool goes to the leaf whose next
+    document needs least. Only those leaves are selected anew."""
+    for depth in range(len(LEVELS) - 1, -1, -1):
+        parent = list(LEVELS[:depth])
+        for _ in range(PASSES):
+            given = materialize(pool_unspent(rule, parent, max_epochs), "mix-pool")
+            if given.isEmpty():
+                break
+            new = selection_rule(stats, given, leaves, max_epochs)
+            kept = rule.alias("r").join(new.select(*LEVELS).alias("n"), _same_leaf("r", "n"), "left_anti")
+            if parent:
+                same = F.lit(True)
+                for k in parent:
+                    same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}"))
+                gave = given.select(*parent, F.lit(True).alias("gave")).alias("p")
+                kept = kept.join(gave, same, "left").select("r.*", "p.gave")
+            else:
+                kept = kept.withColumn("gave", F.lit(True))
+            # Where the pool was given away, the other leaves have nothing left over.
+            left = F.when(F.col("gave"), F.lit(0)).otherwise(F.col("unspent")).cast("decimal(38,0)").alias("unspent")
+            rule = materialize(new.unionByName(kept.select(*[left if c == "unspent" else F.col(c) for c in rule.columns])), "mix-spent")
+    return rule
 
 
 def mixing_rule(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS,
@@ -161,7 +216,8 @@ def mixing_rule(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epoch
     stats = materialize(document_stats(docs.select("doc_id", "lang", "source", "text")).select(
         "doc_id", *LEVELS, "tokens", "identity"), "mix-stats")
     leaves = materialize(leaf_table(stats), "mix-leaves")
-    return stats, selection_rule(stats, budgets(leaves, budget_percent, max_epochs, weights), leaves)
+    rule = selection_rule(stats, budgets(leaves, budget_percent, max_epochs, weights), leaves, max_epochs)
+    return stats, spend_rest(stats, rule, leaves, max_epochs)
 
 
 def _copies(rows: DataFrame, rule: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ byte windows) are tested against brute force in ``tests/llm``.
 
 from __future__ import annotations
 
-from stockroom.llm.mixing import BUDGET_PERCENT, DOMAINS, LEVELS, MAX_EPOCHS, SEED, WEIGHTS
+from stockroom.llm.mixing import BUDGET_PERCENT, DOMAINS, LEVELS, MAX_EPOCHS, PASSES, SEED, WEIGHTS
 from stockroom.llm.quality_rules import KEEP_BITS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, RATES, SPREADS, WINDOW
 from stockroom.llm.ranked_search import TOP
 from stockroom.llm.winnowing import WINDOW as GRAM_WINDOW
@@ -89,6 +89,36 @@ def _deal(name: str, above: str | None, depth: int) -> str:
 {name} as (select {keys}, case when filled then capacity else least(rest * w // open_w, capacity) end budget from {name}_r)"""
 
 
+def _passes() -> str:
+    """Selections by the budgets g0, g1, ...: after each, what the leaves below
+    a parent left over goes to the one whose next document needs least."""
+    out = []
+    levels = [LEVELS[:depth] for depth in range(len(LEVELS) - 1, -1, -1) for _ in range(PASSES)]
+    for k, parent in enumerate([*levels, None]):
+        out.append(f"""
+s{k} as (select *, sum(tokens) over (partition by domain, lang, source order by place) upto from
+  (select d.*, whole, rest, ('0x' || substr(md5('{SEED}|' || whole::varchar || '|' || identity), 1, 15))::bigint place from d
+   join (select *, budget // tokens whole, budget % tokens rest from g{k}) p
+     on d.domain = p.domain and d.lang is not distinct from p.lang and d.source is not distinct from p.source)),""")
+        if parent is None:
+            continue
+        by = ", ".join(parent) or "1"
+        out.append(f"""
+r{k} as (select domain, lang, source, g.tokens, whole * g.tokens + part spent, rest - part + over unspent,
+    case when whole < {MAX_EPOCHS} then beyond - part end needs
+  from (select domain, lang, source, max(whole) whole, max(rest) rest, coalesce(max(upto) filter (upto <= rest), 0) part,
+          min(upto) filter (upto > rest) beyond from s{k} group by all) x
+  join g{k} g on g.domain = x.domain and g.lang is not distinct from x.lang and g.source is not distinct from x.source),
+p{k} as (select *, sum(unspent) over (partition by {by}) pool from r{k}),
+c{k} as (select *, case when needs <= pool then row_number() over (partition by {by}, needs <= pool
+    order by needs, domain nulls first, lang nulls first, source nulls first) end = 1 chosen from p{k}),
+g{k + 1} as (select domain, lang, source, tokens,
+    case when chosen then least(spent + pool, tokens * {MAX_EPOCHS}) else spent end budget,
+    case when chosen then greatest(spent + pool - tokens * {MAX_EPOCHS}, 0)
+         when bool_or(coalesce(chosen, false)) over (partition by {by}) then 0 else unspent end over from c{k}),""")
+    return "".join(out)
+
+
 OP6 = f"""
 with d as (select doc_id, 'domain' || ({_CRC32} % {DOMAINS})::varchar as domain, lang, source,
   greatest(len(list_filter(regexp_split_to_array(t, '{_SPACE}'), lambda x: x <> '')), 1)::bigint tokens,
@@ -97,11 +127,10 @@ with d as (select doc_id, 'domain' || ({_CRC32} % {DOMAINS})::varchar as domain,
 leaf as (select domain, lang, source, sum(tokens) tokens from d group by all),
 total as (select sum(tokens) * {BUDGET_PERCENT} // 100 budget from leaf),
 {_deal('b0', None, 0)},{_deal('b1', 'b0', 1)},{_deal('b2', 'b1', 2)},
-plan as (select l.*, b.budget // l.tokens whole, b.budget % l.tokens rest from leaf l join b2 b
+g0 as (select l.*, b.budget, 0 over from leaf l join b2 b
   on l.domain = b.domain and l.lang is not distinct from b.lang and l.source is not distinct from b.source),
-placed as (select d.*, whole, rest, ('0x' || substr(md5('{SEED}|' || whole::varchar || '|' || identity), 1, 15))::bigint place
-  from d join plan p on d.domain = p.domain and d.lang is not distinct from p.lang and d.source is not distinct from p.source),
-upto as (select *, sum(tokens) over (partition by domain, lang, source order by place) upto from placed)
+{_passes()}
+upto as (select * from s{len(LEVELS) * PASSES})
 select doc_id, domain, lang, source, tokens, (whole + case when upto <= rest then 1 else 0 end)::int copies
 from upto where whole > 0 or upto <= rest
 """

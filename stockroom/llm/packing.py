@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockroom.llm.common import bounded_batches
+from stockroom.llm.common import ARROW_ROWS
 
 LENGTH = 1024
 SENTENCE_CUT = 2.0
@@ -204,7 +204,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -
     input gives no rows. Documents of any length are packed whole.
     """
     vocabulary = vocabulary or default_vocabulary()
-    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(c, T.LongType()) for c in (
         "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
@@ -222,10 +221,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                stream.add(doc_id, np.concatenate([encode(text or ""), end]))
-                if stream.held >= BLOCK_TOKENS:
-                    yield batch_of(list(stream.deal(last=False)))
+            for k in range(0, batch.num_rows, ARROW_ROWS):
+                rows = batch.slice(k, ARROW_ROWS)
+                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                    stream.add(doc_id, np.concatenate([encode(text or ""), end]))
+                    if stream.held >= BLOCK_TOKENS:
+                        yield batch_of(list(stream.deal(last=False)))
         if stream.held:
             yield batch_of(list(stream.deal(last=True)))
 

@@ -22,6 +22,7 @@ stage's tasks hold one bounded range or group.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 import pickle
@@ -35,6 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockroom.llm.common import materialize
+from stockroom.operators.ordering import with_row_id
+from stockroom.session import write_once
+
 LENGTH = 50
 GRAM = 16
 _BEFORE = LENGTH - GRAM  # bytes before an anchor that a window can hold
@@ -110,19 +115,38 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at - (ends - sizes)[text], h[at]
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows one by one; only a few of a batch are Python values at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(k, _ROWS).columns))
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, so that a worker that did a large
+    group does not hold it while it does others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own counsel
+        pass
+
+
 def _gather(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
     """Rows of a partition in lists of about _GATHER bytes of text."""
     held: list[tuple] = []
     size = 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            held.append(row)
-            size += len(row[column] or "")
-            if size >= _GATHER:
-                yield held
-                held, size = [], 0
+    for row in _few(batches):
+        held.append(row)
+        size += len(row[column] or "")
+        if size >= _GATHER:
+            yield held
+            held, size = [], 0
+            _give_back()
     if held:
         yield held
+    del held
+    _give_back()
 
 
 def _raw(text: str | None) -> bytes:
@@ -168,19 +192,19 @@ def _anchor_stage(ranges: int):
             # through a range chosen by text, the gram itself goes once.
             p_text, p_pos = text[in_many], pos[in_many]
             text, pos, key = text[~in_many], pos[~in_many], key[~in_many]
-            span = (1 << 48) // ranges + 1
-            cuts = np.searchsorted(key, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(span))
-            s_cuts = np.searchsorted(shared, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(span))
+            span = np.uint64((1 << 48) // ranges + 1)
             home = (tids % np.uint64(ranges)).astype(np.int64)[p_text]
-            to, blobs = [], []
-            for r in range(ranges):
-                a, b = cuts[r], cuts[r + 1]
-                mine = home == r
+            by_home = np.argsort(home, kind="stable")
+            home, p_text, p_pos = home[by_home], p_text[by_home], p_pos[by_home]
+            # Only ranges that get something: work and blobs are at most as many as anchors.
+            to = np.unique(np.concatenate([key // span, shared // span, home.astype(np.uint64)])).astype(np.int64)
+            ends = np.append(to, ranges).astype(np.uint64)
+            cuts, s_cuts, h_cuts = (np.searchsorted(x, ends * w) for x, w in ((key, span), (shared, span), (home.astype(np.uint64), np.uint64(1))))
+            to, blobs = to.tolist(), []
+            for r in range(len(to)):
+                a, b, mine = cuts[r], cuts[r + 1], slice(h_cuts[r], h_cuts[r + 1])
                 used, index = np.unique(np.concatenate([text[a:b], p_text[mine]]), return_inverse=True)
-                if not len(used) and s_cuts[r] == s_cuts[r + 1]:
-                    continue
                 small = np.uint16 if len(used) < 65536 else np.uint32
-                to.append(r)
                 blobs.append(_blob((tids[used], _planes(np.diff(key[a:b], prepend=np.uint64(0))), _planes(pos[a:b].astype(np.uint32)),
                                     _planes(index.astype(small)), shared[s_cuts[r]:s_cuts[r + 1]], p_pos[mine].astype(np.uint32))))
             yield _rows(_NAMES, to, [0] * len(to), blobs)
@@ -190,14 +214,16 @@ def _anchor_stage(ranges: int):
 def _by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int, list[tuple]]]:
     """Runs of equal first column of a partition sorted by it."""
     held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and held[0][column] != row[column]:
-                yield held[0][column], held
-                held = []
-            held.append(row)
+    for row in _few(batches):
+        if held and held[0][column] != row[column]:
+            yield held[0][column], held
+            held = []
+            _give_back()
+        held.append(row)
     if held:
         yield held[0][column], held
+    del held
+    _give_back()
 
 
 def _range_stage(groups: int):
@@ -222,9 +248,9 @@ def _range_stage(groups: int):
             tid, pos = np.concatenate([tid, *p_tids]), np.concatenate([pos, *p_poss])
             group = (tid % np.uint64(groups)).astype(np.int64)
             order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(groups + 1))
-            to = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
-            yield _rows(_NAMES, to, [0] * len(to), [_blob((tid[order[cuts[g]:cuts[g + 1]]], pos[order[cuts[g]:cuts[g + 1]]])) for g in to])
+            to, starts = np.unique(group[order], return_index=True)
+            cuts = np.append(starts, len(order))
+            yield _rows(_NAMES, to.tolist(), [0] * len(to), [_blob((tid[order[a:b]], pos[order[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])])
     return run
 
 
@@ -393,12 +419,10 @@ def _group_stage(splitters: np.ndarray, id_at: int, with_text: bool):
             lead = np.ascontiguousarray(around[:, _BEFORE:_BEFORE + GRAM]).view(f"S{GRAM}").reshape(-1)
             bucket = np.searchsorted(splitters, lead, side="right")
             order = np.lexsort((lead, bucket))
-            cuts = np.searchsorted(bucket[order], np.arange(len(splitters) + 2))
-            for b in range(len(splitters) + 1):
-                mine = order[cuts[b]:cuts[b + 1]]
-                if len(mine):
-                    yield _rows(_NAMES, [b], [0], [_blob((group, mine, around[mine], before[mine].astype(np.uint8),
-                                                          after[mine].astype(np.uint8), low[mine]))])
+            to, starts = np.unique(bucket[order], return_index=True)
+            for b, mine in zip(to.tolist(), np.split(order, starts[1:])):
+                yield _rows(_NAMES, [b], [0], [_blob((group, mine, around[mine], before[mine].astype(np.uint8),
+                                                      after[mine].astype(np.uint8), low[mine]))])
             for k in range(0, len(with_), 256):
                 yield _rows(_NAMES, [group], [1], [_blob([(t.raw, t.rows, t.low, t.at) for t in with_[k:k + 256]])])
     return run
@@ -538,6 +562,22 @@ def _splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
     return np.array(sorted(set(marks)), dtype=f"S{GRAM}")
 
 
+def _ordered_ids(docs: DataFrame) -> bool:
+    """Whether ids are whole numbers, which are compared as they are."""
+    return isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+
+
+def _with_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id``: the id as a number of the same order, null ids last."""
+    if _ordered_ids(docs):
+        number = F.col("doc_id").cast("long")
+    else:
+        ids = docs.select("doc_id").where("doc_id is not null").distinct()
+        ranks = write_once(with_row_id(ids, ["doc_id"], "__id", unique=True).withColumnRenamed("doc_id", "__rank_of"), "suffix-ids")
+        docs, number = docs.join(ranks, F.col("doc_id") == F.col("__rank_of"), "left").drop("__rank_of"), F.col("__id")
+    return docs.withColumn("__id", F.coalesce(number, F.lit(int(NO_ID))))
+
+
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """Per row of ``docs``: the ``keep`` columns (default doc_id), n_bytes,
     n_removed, n_spans, kept_sha256, and with ``with_text`` the text that is
@@ -545,27 +585,49 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
 
     Null texts are empty; texts shorter than LENGTH lose nothing; rows that
     repeat the text of a smaller id lose all of it; rows of equal id never
-    cut each other; null ids come after all others. Empty input gives no
-    rows. Anchors, groups and buckets cover all texts whole.
+    cut each other; null ids come after all others; ids of any type that can
+    be ordered do. Empty input gives no rows. Anchors, groups and buckets
+    cover all texts whole. A kept column named like a result gives way to it.
     """
-    spark = docs.sparkSession
-    keep = list(keep or ["doc_id"])
-    id_at = keep.index("doc_id")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_ROWS))
-    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()
+    results = [*(["text"] if with_text else []), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    keep = [c for c in (keep if keep is not None else ["doc_id"]) if c not in results]
+    own = [f"__k{i}" for i in range(len(keep))]
+    rows = _with_order(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own)]))
+    rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "__id", *own).withColumn("__digest", F.unhex(F.md5("text")))
+    # Texts that several rows hold: all but those of the smallest id are settled here, so a text that very many
+    # rows hold is one text from now on.
+    held = rows.groupBy("__digest").agg(F.min("__id").alias("__low"), F.count("*").alias("__n")).where("__n > 1")
+    marked = rows.join(materialize(held, "suffix-copies"), "__digest", "left")
+    first = F.col("__low").isNull() | (F.col("__id") == F.col("__low"))
+    size = F.octet_length("text").cast("long")
+    gone = size >= LENGTH
+    zero = F.lit(0).cast("long")
+    facts = {"text": F.when(gone, F.lit("")).otherwise(F.col("text")), "n_bytes": size,
+             "n_removed": F.when(gone, size).otherwise(zero), "n_spans": F.when(gone, F.lit(1).cast("long")).otherwise(zero),
+             "kept_sha256": F.sha2(F.when(gone, F.lit("")).otherwise(F.col("text")).cast("binary"), 256)}
+    copies = marked.where(~first).select(*[F.col(k).alias(c) for k, c in zip(own, keep)], *[facts[c].alias(c) for c in results])
+    texts = marked.where(first).select("text", *own, "__id")
+    cut = _remove_repeats(texts, own, with_text)
+    return cut.select(*[F.col(k).alias(c) for k, c in zip(own, keep)], *results).unionByName(copies)
+
+
+def _remove_repeats(texts: DataFrame, own: list[str], with_text: bool) -> DataFrame:
+    """Rows of (text, own columns, __id) in which no two ids hold the same text."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()
     ranges, groups, buckets = (max(1, math.ceil(size / b)) for b in (RANGE_BYTES, GROUP_BYTES, BUCKET_BYTES))
-    splitters = _splitters(docs, total, buckets)
-    texts = docs.select(F.col("text"), *[F.col(f"`{c}`") for c in keep])
-    anchored = docs.select("text").mapInArrow(_anchor_stage(ranges), _DEALT)
+    id_at = len(own)
+    splitters = _splitters(texts, total, buckets)
+    anchored = texts.select("text").mapInArrow(_anchor_stage(ranges), _DEALT)
     surviving = _dealt(anchored, _range_stage(groups), _DEALT)
     grouped = surviving.unionAll(texts.mapInArrow(_text_stage(groups, id_at), _DEALT))
     # Read by both branches below: the exchange is shared, the stage runs twice.
     staged = _dealt(grouped, _group_stage(splitters, id_at, with_text), _DEALT)
     verdicts = _dealt(staged.where("kind = 0"), _bucket_stage, _DEALT)
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = [docs.schema[c] for c in keep]
+    columns = [*own, "__id"]
+    fields = [texts.schema[c] for c in columns]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + ([T.StructField("text", T.StringType())] if with_text else [])
                           + [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())])
-    finish = _finish(keep, [to_arrow_type(f.dataType) for f in fields], id_at, with_text)
+    finish = _finish(columns, [to_arrow_type(f.dataType) for f in fields], id_at, with_text)
     return _dealt(verdicts.unionAll(staged.where("kind > 0")), finish, schema)

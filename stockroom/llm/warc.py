@@ -137,23 +137,24 @@ def read_records(archive: Archive) -> DataFrame:
 
 
 def reconstruct(archive: Archive) -> DataFrame:
-    """Original records: (page_id, record_type, record bytes, payload). A
+    """Original records: (page_id, record_type, target_uri, payload_digest,
+    refers_to, record bytes, payload). A
     response's record is its header, its payload and the closing line ends; a
     revisit's has no block, its payload comes from the record it refers to."""
     j = read_records(archive).join(verified_payloads(archive).select("digest", "payload"), "digest")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return j.select("page_id", "record_type", "target_uri",
+    return j.select("page_id", "record_type", "target_uri", "payload_digest", "refers_to",
                     F.concat(F.col("header").cast("binary"), block, F.lit((CRLF * 2).encode())).alias("record"), "payload")
 
 
 def archive_report(pages: DataFrame, **options) -> DataFrame:
-    """Write the archive and read it back: (page_id, payload_bytes,
-    payload_digest, record_type, refers_to) per row. Lengths and digests are
-    taken from the payloads as read, joined to the headers by address, and
-    the header's digest must agree."""
-    archive = write_archive(pages, **options)
-    facts = materialize(verified_payloads(archive).select("digest", "sha1", "payload_bytes"), "warc-read")
-    agreed = F.when(F.col("sha1") == F.col("payload_digest"), F.col("sha1")).otherwise(
-        F.raise_error(F.concat(F.lit("header digest differs from payload "), F.col("digest"))))
-    return read_records(archive).join(facts, "digest").select(
-        "page_id", "payload_bytes", agreed.alias("payload_digest"), "record_type", "refers_to")
+    """Write the archive, rebuild every record by the join and report
+    (page_id, payload_bytes, payload_digest, record_type, refers_to) per row.
+    Length and digest are taken from the rebuilt record's payload; the digest
+    in its header must agree."""
+    records = reconstruct(write_archive(pages, **options))
+    sha1 = base32_sha1(F.col("payload"))
+    agreed = F.when(sha1 == F.col("payload_digest"), F.col("payload_digest")).otherwise(
+        F.raise_error(F.concat(F.lit("header digest differs from payload "), F.col("payload_digest"))))
+    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"),
+                          agreed.alias("payload_digest"), "record_type", "refers_to")
