@@ -3,9 +3,9 @@
 A document's impact of a term is its share of the score that depends on the
 document alone; the query's weight of the term is the other factor. Each
 document's impacts are folded into a sketch: every term is hashed to a
-coordinate, which keeps the greatest impact of its terms. A query looks up
-the coordinates of its terms; the weighted sum bounds the score from above,
-as a coordinate is never below the impact of a term folded into it.
+few coordinates, each of which keeps the greatest impact of its terms. A query
+looks up the least coordinate of each of its terms; the weighted sum bounds the
+score from above, as a coordinate is never below the impact of a term folded into it.
 
 Queries are looked up in batches: all sketches of a slice of documents
 against all queries of a block. Documents are then scored exactly, in
@@ -36,6 +36,10 @@ from stockroom.llm.common import materialize
 from stockroom.llm.slices import WordHashes, folded_words, map_texts, text_slices
 
 TOP = 10
+# Coordinates of a term (the least of their values counts), and of a sketch per distinct term.
+FOLDS = 2
+SPREAD = 16
+_FOLD_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)
 # (query, term) pairs of one block of queries: bounds what is sent with a job.
 BLOCK_PAIRS = 200_000
 # Distinct terms that a task counts before it passes them on.
@@ -119,7 +123,10 @@ class QueryBlock:
         while first < len(self.items):
             last = max(first + 1, int(np.searchsorted(self.begin, self.begin[first] + step, side="right")) - 1)
             a, b = self.begin[first], self.begin[last]
-            met = sketches[(self.hashes[a:b] & np.uint64(width - 1)).astype(np.int64)] * self.weights[a:b, None]
+            met = sketches[_coordinate(self.hashes[a:b], 0, width)]
+            for k in range(1, FOLDS):
+                np.minimum(met, sketches[_coordinate(self.hashes[a:b], k, width)], out=met)
+            met *= self.weights[a:b, None]
             out[first:last] = np.add.reduceat(met, self.begin[first:last] - a, axis=0)
             first = last
         return out
@@ -134,20 +141,29 @@ class QueryBlock:
         return total
 
 
+def _coordinate(hashes: np.ndarray, fold: int, width: int) -> np.ndarray:
+    """Coordinate of terms in one of the folds of a sketch of ``width``."""
+    return ((hashes * np.uint64(_FOLD_FACTORS[fold])) >> np.uint64(64 - (width.bit_length() - 1))).astype(np.int64)
+
+
 def sketches(counts: list[Counter], factors: list[int], hashes: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(documents, their sketches as columns) by width: the power of two that
-    is at least twice the number of a document's terms."""
-    widths = np.array([1 << (2 * max(1, len(c)) - 1).bit_length() for c in counts], dtype=np.int64)
+    is at least SPREAD times the number of a document's terms."""
+    widths = np.array([1 << (SPREAD * max(1, len(c)) - 1).bit_length() for c in counts], dtype=np.int64)
     for width in np.unique(widths[[bool(c) for c in counts]]).tolist():
         docs = np.array([d for d in np.flatnonzero(widths == width).tolist() if counts[d]], dtype=np.int64)
-        size = [len(counts[d]) for d in docs]
-        at = np.concatenate([hashes.of(counts[d].keys()) for d in docs]) & np.uint64(width - 1)
-        tf = np.concatenate([np.fromiter(counts[d].values(), dtype=np.int64, count=n) for d, n in zip(docs, size)])
-        factor = np.repeat(np.array([factors[d] for d in docs], dtype=np.int64), size)
-        impact = (1_000_000_000 * tf) // (1000 * tf + 8 * factor)
-        sketch = np.zeros((width, len(docs)), dtype=np.int64)
-        np.maximum.at(sketch.reshape(-1), at.astype(np.int64) * len(docs) + np.repeat(np.arange(len(docs)), size), impact)
-        yield docs, sketch
+        for lo in range(0, len(docs), max(1, _LOOKUP // width)):
+            some = docs[lo:lo + max(1, _LOOKUP // width)]
+            size = [len(counts[d]) for d in some]
+            term = np.concatenate([hashes.of(counts[d].keys()) for d in some])
+            tf = np.concatenate([np.fromiter(counts[d].values(), dtype=np.int64, count=n) for d, n in zip(some, size)])
+            factor = np.repeat(np.array([factors[d] for d in some], dtype=np.int64), size)
+            impact = (1_000_000_000 * tf) // (1000 * tf + 8 * factor)
+            column = np.repeat(np.arange(len(some)), size)
+            sketch = np.zeros((width, len(some)), dtype=np.int64)
+            for k in range(FOLDS):
+                np.maximum.at(sketch.reshape(-1), _coordinate(term, k, width) * len(some) + column, impact)
+            yield some, sketch
 
 
 class Best:
@@ -206,14 +222,12 @@ def query_blocks(pairs: DataFrame, block_pairs: int) -> Iterator[list[tuple]]:
     blocks = max(1, math.ceil(total / block_pairs))
     while True:
         dealt = pairs.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-        heavy = dealt.groupBy("block").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("item_id")).alias("items"))
-        if heavy.where((F.col("n") > 2 * block_pairs) & (F.col("items") > 1)).isEmpty():
+        sizes = dealt.groupBy("block").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("item_id")).alias("items")).collect()
+        if not any(r.n > 2 * block_pairs and r.items > 1 for r in sizes):
             break
         blocks *= 2
-    for b in range(blocks):
-        rows = [tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "term", "df").collect()]
-        if rows:
-            yield rows
+    for b in sorted(r.block for r in sizes):
+        yield [tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "term", "df").collect()]
 
 
 def search(docs: DataFrame, items: DataFrame, item_id: str = "item_id", top: int = TOP, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
