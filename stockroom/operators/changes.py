@@ -100,9 +100,11 @@ def upsert_items(existing: DataFrame, incoming: DataFrame, order_col: str = "Row
 def upsert_with_rejects(existing: DataFrame, incoming: DataFrame, order_col: str = "RowID", arrival_col: str = "seq",
                         keys: Sequence[str] = ("Item", "Comments"), qty: str = "Quantity",
                         price_col: str = "Estimated Price", section_col: str = "Section",
-                        groups=DEFAULT_SECTION_GROUPS, collapse_inner: bool = False) -> tuple[DataFrame, DataFrame]:
+                        groups=DEFAULT_SECTION_GROUPS, collapse_inner: bool = False,
+                        id_table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge a batch of incoming items into an inventory table (I1). Returns
-    (table, rejected rows with their reason).
+    (table, rejected rows with their reason). New ids follow the largest of
+    ``id_table`` (default: the table itself).
 
     Per key (C10 of ``keys``; the section is ignored) touched by an accepted
     incoming row: the first existing row keeps all its columns and gets the
@@ -145,7 +147,7 @@ def upsert_with_rejects(existing: DataFrame, incoming: DataFrame, order_col: str
     appended = new.join(inc.select("_inc_no", *[_c(c) for c in inc_cols if c != order_col]), "_inc_no").select(
         *[_c(c) for c in inc_cols if c != order_col],
         F.when(F.col("_in") > 0, F.lit(None)).otherwise(F.col("_iq")).alias(qty),
-        (next_row_id(existing, order_col) + F.col("_new_no")).alias(order_col))
+        (next_row_id(existing if id_table is None else id_table, order_col) + F.col("_new_no")).alias(order_col))
 
     schema = {f.name: f.dataType for f in existing.schema.fields}
     out = present.select(*[_c(c) for c in existing.columns]).unionByName(appended, allowMissingColumns=True)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import bindings as B
 from . import sqlparts as S
-from .dashboard import (clean_table, county_table, explore, explore_workstations, export_explored, phone_bill_by_administration,
-                        phone_bill_by_location, storage_by_category, summary_cards, workstation_value_by)
+from .dashboard import (clean_table, county_table, dashboard_tables, explore, explore_workstations, export_explored,
+                        load_dashboard, phone_bill_by_administration, phone_bill_by_location, storage_by_category, summary_cards, workstation_value_by)
 from .inventory import inventory_summary, maintain_inventory, section_report, with_combined_section
 from .phones import MERGED_COLUMNS, merge_phones, price_phones, price_phones_distinct, prepare_plans
 from ..functions.categories import combine_sections, map_values
@@ -33,9 +33,11 @@ from ..operators.joins import left_join_nullsafe, remove_rows, split_matches
 from ..operators.lookup import enrich_distinct, price_by_rule_table
 from ..operators.ordering import (anonymise, append_rows, first_per_key, rank_groups, sort_view, table_page,
                                   with_row_id)
+from ..operators.paging import search_indexed, write_gram_index, write_paged
 from ..session import default_parallelism, scratch_path
+from ..sources.buckets import BucketedItems
 from ..sources.layout import flatten_sections
-from ..sources.readers import read_export, read_feature_names, read_table
+from ..sources.readers import from_rows, read_export, read_feature_names, read_table
 from ..sources.sinks import export_view, read_snapshot, write_csv, write_snapshot
 from ..streaming.streams import (file_stream, run_available, stream_apply_events, stream_net_quantity,
                                  stream_summary)
@@ -1150,3 +1152,85 @@ def q_source_position(spark, d):
     write_csv(snake(B.inventory(spark, d)).orderBy("rowid"), path)
     return read_table(spark, path, types={"quantity": "bigint", "estimated_price": "double", "rowid": "bigint"},
                       position="position")
+
+
+# ---------------------------------------------------------------------------
+# Pages and searches over written indexes (S4), the dashboard as one run
+# ---------------------------------------------------------------------------
+
+# Page of ten rows that the deep query shows; every given size has it.
+_DEEP_PAGE = 100
+
+
+@register("table_page_deep", f"""
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders
+ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10 OFFSET {_DEEP_PAGE * 10}""")
+def q_table_page_deep(spark, d):
+    """S4 far down: the orders laid out in ranges once, one page read back."""
+    o = B.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return write_paged(o, scratch_path(spark, "paged"), [("o_totalprice", False), ("o_orderkey", True)]).page(_DEEP_PAGE, 10)
+
+
+@register("table_search_indexed", B.with_ctes("inventory") + f"""
+SELECT {INV_COLS} FROM inventory
+WHERE {' OR '.join(f"coalesce(contains(lower(CAST({S.q(c)} AS VARCHAR)), '{_SEARCH}'), false)"
+                   for c in ["Item", "Quantity", "Comments", "Section", "Estimated Price", "RowID"])}""")
+def q_table_search_indexed(spark, d):
+    """S4 search through an n-gram index of all columns, checked exactly."""
+    inv, index = B.inventory(spark, d), scratch_path(spark, "grams")
+    write_gram_index(inv, index, "RowID")
+    return snake(search_indexed(inv, index, "RowID", _SEARCH))
+
+
+@register("dashboard_run", B.with_ctes("phones", "plans", extra=_PHONES_CLEAN_SQL + ","
+                                       + _county_sql("phones_clean", "count(*)", "n", '"Location"', False)) + f"""
+SELECT 'cards' AS panel, 'Total Phone Value' AS key, {S.money_sum('"Estimated Price"')} AS value FROM phones_clean
+UNION ALL SELECT 'cards', 'Total Annual Phone Bills', {S.money_sum('"Annual Phone Bill"')} FROM phones_clean
+UNION ALL SELECT 'phone_bill_by_administration', CASE "Administration" WHEN 'Y' THEN 'Yes' ELSE 'No' END,
+  coalesce({S.money_sum('"Annual Phone Bill"')}, 0) FROM phones_clean WHERE "Administration" IN ('Y', 'N') GROUP BY 1, 2
+UNION ALL SELECT 'county_phone_count', n_name, CAST(coalesce(c.n, 0) AS DOUBLE) FROM nation LEFT JOIN per_county c ON n_name = c.county
+UNION ALL SELECT 'county_workstation_value', n_name, 0.0 FROM nation""")
+def q_dashboard_run(spark, d):
+    """P4-P6 as one run over snapshots: an inventory without a price column (no
+    storage card, B10), an absent workstation table (A4, B11: no card, zero per
+    county) and the phones."""
+    root = scratch_path(spark, "dashboard")
+    storage, phones = B.inventory(spark, d).drop("Estimated Price"), _merged_prices(spark, d)
+    write_snapshot(storage, root, "storage")
+    write_snapshot(phones, root, "phones")
+    tables = load_dashboard(spark, root, {"storage": "storage", "phones": "phones", "workstations": "workstations"},
+                            {"storage": storage.schema, "phones": phones.schema, "workstations": B.workstations(spark, d).schema})
+    panels = dashboard_tables(tables, B.county_domain(spark, d), B.TEST_COUNTY_OF_LOCATION)
+    if "storage_by_category" in panels:
+        raise RuntimeError("a storage panel without prices")
+    shown = {"cards": ("metric", "value"), "phone_bill_by_administration": ("Administration", "Annual Phone Bill"),
+             "county_phone_count": ("County", "Number of Phones"), "county_workstation_value": ("County", "Estimated Price")}
+    parts = [panels[p].select(F.lit(p).alias("panel"), F.col(f"`{k}`").alias("key"), F.col(f"`{v}`").cast("double").alias("value"))
+             for p, (k, v) in shown.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register("literal_rows", """
+SELECT section, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT CASE WHEN split_part(p_type, ' ', 1) IN ('SMALL', 'LARGE') THEN split_part(p_type, ' ', 1) END AS p FROM part)
+JOIN (VALUES ('SMALL', 'Small & Medium'), ('LARGE', 'Large'), (NULL, 'None')) t(k, section) ON k IS NOT DISTINCT FROM p
+GROUP BY section""")
+def q_literal_rows(spark, d):
+    """A literal table, null key included, met with every part."""
+    names = from_rows(spark, [("SMALL", "Small & Medium"), ("LARGE", "Large"), (None, "None")], "k string, section string")
+    word = F.split_part(F.col("p_type"), F.lit(" "), F.lit(1))
+    parts = B.table(spark, d, "part").select(F.when(word.isin("SMALL", "LARGE"), word).alias("p"))
+    return parts.join(names, parts.p.eqNullSafe(names.k)).groupBy("section").agg(F.count("*").alias("n"))
+
+
+@register("upsert_bucketed", ORACLES["upsert_items"])
+def q_upsert_bucketed(spark, d):
+    """I1 into a table in buckets of the match key: the touched ones are written."""
+    existing, incoming = B.split_existing_incoming(spark, d)
+    table = BucketedItems(spark, scratch_path(spark, "bucketed"), existing.schema, default_parallelism(spark))
+    table.write(existing)
+    table.upsert(incoming)
+    return snake(table.read())

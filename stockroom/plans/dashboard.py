@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,6 +14,7 @@ from ..functions.money import annualise, format_money, line_value, parse_money_c
 from ..operators.aggregate import group_count, group_total, rollup_to, share_of_total, summary_totals
 from ..operators.filters import ALL, drop_columns, filter_eq, filter_two_step
 from ..operators.joins import complete_domain
+from ..session import write_once
 from ..sources.readers import load_table
 from ..sources.sinks import export_view
 
@@ -113,9 +113,9 @@ def export_explored(df: DataFrame, root: str, kind: str, label: str = ALL, categ
 
 def load_dashboard(spark, root: str, names: Mapping[str, str], schemas: Mapping[str, StructType]) -> dict:
     """P4 for the dashboard: load each named table snapshot (a missing one
-    is an empty table of its schema, A4), clean it, and persist it once;
-    every panel below is a separate action over these."""
-    return {role: clean_table(load_table(spark, root, name, schemas[role])).persist(StorageLevel.MEMORY_AND_DISK)
+    is an empty table of its schema, A4), clean it, and write it once: every
+    panel below reads its columns of that copy, nothing stays cached."""
+    return {role: write_once(clean_table(load_table(spark, root, name, schemas[role])), f"dashboard-{role}")
             for role, name in names.items()}
 
 

@@ -32,7 +32,7 @@ class _Cut:
             self.spark.conf.set(k, v)
 
 
-def _files(folder, n=3, lines=400):
+def _files(folder, n=3, lines=120):
     for f in range(n):
         with open(os.path.join(folder, f"p{f}.csv"), "w") as out:
             out.write("f,n\n" + "".join(f"{f},{i}\n" for i in range(lines)))
@@ -41,7 +41,7 @@ def _files(folder, n=3, lines=400):
 
 def test_positions_hold_when_the_split_size_changes_before_the_action(spark, tmp_dir):
     want = _files(tmp_dir)
-    for first, then in ((256, 1 << 20), (1 << 20, 256), (300, 700)):
+    for first, then in ((128, 1 << 20), (1 << 20, 128), (100, 300)):
         with _Cut(spark, first):
             df = read_table(spark, tmp_dir, types={"f": "int", "n": "int"}, position="RowID")
         with _Cut(spark, then):
@@ -51,15 +51,15 @@ def test_positions_hold_when_the_split_size_changes_before_the_action(spark, tmp
 def test_export_holds_when_the_split_size_changes_before_the_action(spark, tmp_dir):
     for f in range(3):
         with open(os.path.join(tmp_dir, f"e{f}.csv"), "w") as out:
-            out.write("".join(f"banner {i},\n" for i in range(20)) + "n,f\n" + "".join(f"{i},{f}\n" for i in range(300)))
-    want = sorted((i, f) for f in range(3) for i in range(300))
+            out.write("".join(f"banner {i},\n" for i in range(20)) + "n,f\n" + "".join(f"{i},{f}\n" for i in range(60)))
+    want = sorted((i, f) for f in range(3) for i in range(60))
     for first, then in ((256, 1 << 20), (1 << 20, 256)):
         with _Cut(spark, first):
             df = read_export(spark, tmp_dir, header_record=21, types={"n": "int", "f": "int"}, position="at")
         with _Cut(spark, then):
             got = df.collect()
         assert sorted((r.n, r.f) for r in got) == want
-        assert sorted((r.at, r.f, r.n) for r in got) == [(1 + 300 * f + n, f, n) for f in range(3) for n in range(300)]
+        assert sorted((r.at, r.f, r.n) for r in got) == [(1 + 60 * f + n, f, n) for f in range(3) for n in range(60)]
 
 
 def test_parquet_positions_hold_for_any_split_size(spark, tmp_dir):
@@ -115,14 +115,14 @@ def _as_csv(rows_, header):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("size", [64, 200, 1 << 20])
+@pytest.mark.parametrize("size", [150, 1 << 20])
 def test_records_over_several_lines_and_splits(spark, tmp_dir, size):
     want = []
     for f in range(3):
-        data = _records(f, 150)
+        data = _records(f, 40)
         with open(os.path.join(tmp_dir, f"r{f}.csv"), "w") as out:
             out.write(_as_csv(data, ["n", "a", "b"]))
-        want += [(f * 150 + i + 1, int(n), a or None, b or None) for i, (n, a, b) in enumerate(data)]
+        want += [(f * 40 + i + 1, int(n), a or None, b or None) for i, (n, a, b) in enumerate(data)]
     with _Cut(spark, size):
         df = read_table(spark, tmp_dir, types={"n": "int"}, position="at")
     with _Cut(spark, 500):
