@@ -4,7 +4,7 @@ Under ``<root>/<name>/pending/base=<N>`` (N: the version added to, or none):
 
 - ``rows/seq=<K>``: rows of a keyed result (T1, T2). Each trigger writes the
   keys it changed; the newest row of a key counts.
-- ``log/stream=<id>/batch=<B>/slot=<S>``: quantity events (T3) by time slot.
+- ``log/stream=<id>/batch=<B>``: quantity events (T3) with their time slot.
 - ``sums/seq=<K>``: per (id, slot) the sum of the events and the lowest running
   sum at a negative one. Those that a batch touches are computed again from
   the log, so an event that comes late counts at its own time.
@@ -20,9 +20,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampType
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from ..operators.changes import apply_net_and_floor, net_and_floor
+from ..session import write_once
 from .sinks import (_fs, _latest, applied_batches, delete_path, path_exists, prune_snapshots, read_snapshot,
                     write_snapshot)
 
@@ -98,6 +99,8 @@ def slot_of(df: DataFrame, col: str, width: int) -> Column:
     kind, c = df.schema[col].dataType, F.col(f"`{col}`")
     if isinstance(kind, TimestampType):
         c = F.unix_micros(c) / 1_000_000
+    elif isinstance(kind, TimestampNTZType):
+        c = F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), c)
     elif isinstance(kind, DateType):
         c = F.unix_date(c).cast("long") * 86_400
     return F.coalesce(F.floor(c / width).cast("long"), F.lit(0).cast("long"))
@@ -117,11 +120,14 @@ def add_events(batch: DataFrame, stream: str, batch_id: int, root: str, name: st
     log, mine = f"{folder}/log", f"{folder}/log/stream={stream}/batch={batch_id}"
     events = batch.select(*[F.col(f"`{c}`") for c in order_cols], F.col(f"`{event_id_col}`").alias("_id"),
                           F.col(f"`{delta_col}`").alias("_delta"), slot_of(batch, order_cols[0], slot_width).alias("slot"))
-    events.write.mode("overwrite").partitionBy("slot").parquet(mine)
+    events.sortWithinPartitions("slot").write.mode("overwrite").parquet(mine)
     spark_log = spark.read.option("basePath", log).schema(_with_types(events)).parquet(log)
-    touched = spark.read.option("basePath", mine).schema(events.schema).parquet(mine).select("_id", "slot").distinct()
-    again = spark_log.join(touched, ["_id", "slot"], "left_semi")
-    keyed = again.withColumn("_key", F.struct("_id", "slot"))
+    batch_log = spark.read.schema(events.schema).parquet(mine)
+    touched = batch_log.select("_id", "slot").distinct()
+    # The batch's first and last slot: file statistics skip the log's other files.
+    span = batch_log.agg(F.min("slot").alias("a"), F.max("slot").alias("b")).first()
+    again = spark_log.where(F.col("slot").between(span.a, span.b)).join(touched, ["_id", "slot"], "left_semi")
+    keyed = write_once(again.withColumn("_key", F.struct("_id", "slot")), "touched-events")
     sums = net_and_floor(keyed, "_key", "_delta", order_cols)
     # At least one row, so that the folder tells its types.
     out = sums.select(F.col("_key._id").alias("_id"), F.col("_key.slot").alias("_slot"), "_net", "_floor",
