@@ -104,7 +104,7 @@ s{k} as (select *, sum(tokens) over (partition by domain, lang, source order by
             continue
         by = ", ".join(parent) or "1"
         out.append(f"""
-r{k} as (select domain, lang, source, g.tokens, whole * g.tokens + part spent, rest - part + over unspent,
+r{k} as (select x.domain, x.lang, x.source, g.tokens, whole * g.tokens + part spent, rest - part + extra unspent,
     case when whole < {MAX_EPOCHS} then beyond - part end needs
   from (select domain, lang, source, max(whole) whole, max(rest) rest, coalesce(max(upto) filter (upto <= rest), 0) part,
           min(upto) filter (upto > rest) beyond from s{k} group by all) x
@@ -115,7 +115,7 @@ c{k} as (select *, case when needs <= pool then row_number() over (partition by
 g{k + 1} as (select domain, lang, source, tokens,
     case when chosen then least(spent + pool, tokens * {MAX_EPOCHS}) else spent end budget,
     case when chosen then greatest(spent + pool - tokens * {MAX_EPOCHS}, 0)
-         when bool_or(coalesce(chosen, false)) over (partition by {by}) then 0 else unspent end over from c{k}),""")
+         when bool_or(coalesce(chosen, false)) over (partition by {by}) then 0 else unspent end extra from c{k}),""")
     return "".join(out)
 
 
@@ -127,7 +127,7 @@ with d as (select doc_id, 'domain' || ({_CRC32} % {DOMAINS})::varchar as domain,
 leaf as (select domain, lang, source, sum(tokens) tokens from d group by all),
 total as (select sum(tokens) * {BUDGET_PERCENT} // 100 budget from leaf),
 {_deal('b0', None, 0)},{_deal('b1', 'b0', 1)},{_deal('b2', 'b1', 2)},
-g0 as (select l.*, b.budget, 0 over from leaf l join b2 b
+g0 as (select l.*, b.budget, 0 extra from leaf l join b2 b
   on l.domain = b.domain and l.lang is not distinct from b.lang and l.source is not distinct from b.source),
 {_passes()}
 upto as (select * from s{len(LEVELS) * PASSES})
