@@ -6,8 +6,9 @@ the smallest hash of some LENGTH-byte window. Equal windows choose equal
 anchors, so any shared string is seen from a shared anchor.
 
 1. Anchors. Grams are hashed to ranges; grams of one text only are dropped.
-2. Texts are grouped by digest (equal texts are one) and meet their
-   surviving anchors; equal surroundings within a group are one row.
+2. Texts are grouped by digest (equal texts are one, with their smallest
+   id) and meet their surviving anchors; equal surroundings within a group
+   are one row.
 3. Surviving suffixes are range-partitioned by their leading 16 bytes at
    splitters sampled from the data. A splitter never parts equal leading
    bytes, so no common prefix of that length crosses a boundary. Each bucket
@@ -36,7 +37,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockroom.llm.common import materialize
 from stockroom.operators.ordering import with_row_id
 from stockroom.session import write_once
 
@@ -45,9 +45,9 @@ GRAM = 16
 _BEFORE = LENGTH - GRAM  # bytes before an anchor that a window can hold
 _SPAN = _BEFORE + LENGTH
 # Texts of so many bytes are one group, and anchors of so many one range.
-GROUP_BYTES = 16 << 20
-RANGE_BYTES = 20 << 20
-BUCKET_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
+RANGE_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 # Splitters come from about so many sampled documents.
 SAMPLE_DOCS = 2_000
 # Text that one task gathers before it deals out blobs, and hashes at a time.
@@ -256,16 +256,18 @@ def _range_stage(groups: int):
 
 def _text_stage(groups: int, id_at: int):
     """Texts dealt to their digest's group, equal texts of a task once with
-    the rows (all other columns) that hold them."""
+    the row (all other columns) of the smallest id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _gather(batches, 0):
-            held: dict[bytes, list[tuple]] = {}
+            held: dict[bytes, tuple] = {}
             for text, *row in rows:
-                held.setdefault(_raw(text), []).append(tuple(row))
+                raw = _raw(text)
+                if raw not in held or row[id_at] < held[raw][id_at]:
+                    held[raw] = tuple(row)
             dealt: dict[int, list] = {}
             for raw in sorted(held):
                 tid = _digest(raw)
-                dealt.setdefault(tid % groups, []).append((tid, raw, held[raw]))
+                dealt.setdefault(tid % groups, []).append((tid, raw, [held[raw]]))
             yield _rows(_NAMES, list(dealt), [1] * len(dealt), [_blob(x) for x in dealt.values()])
     return run
 
@@ -389,7 +391,8 @@ def _held_texts(rows: list[tuple], id_at: int) -> tuple[list[_Text], list[_Text]
             tids.append(tid), poss.append(pos)
         else:
             for tid, raw, own in _unblob(blob):
-                held.setdefault((tid, raw), []).extend(own)
+                # Of equal texts, however many rows hold them, one row is kept.
+                held[tid, raw] = [min([*held.get((tid, raw), []), *own], key=lambda r: r[id_at])]
     tid = np.concatenate(tids) if tids else np.zeros(0, dtype=np.uint64)
     pos = np.concatenate(poss) if poss else np.zeros(0, dtype=np.uint32)
     order = np.lexsort((pos, tid))
@@ -594,25 +597,20 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, with_text: bo
     own = [f"__k{i}" for i in range(len(keep))]
     rows = _with_order(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, own)]))
     rows = rows.select(F.coalesce("text", F.lit("")).alias("text"), "__id", *own).withColumn("__digest", F.unhex(F.md5("text")))
-    # Texts that several rows hold: all but those of the smallest id are settled here, so a text that very many
-    # rows hold is one text from now on.
-    held = rows.groupBy("__digest").agg(F.min("__id").alias("__low"), F.count("*").alias("__n")).where("__n > 1")
-    marked = rows.join(materialize(held, "suffix-copies"), "__digest", "left")
-    first = F.col("__low").isNull() | (F.col("__id") == F.col("__low"))
-    size = F.octet_length("text").cast("long")
-    gone = size >= LENGTH
-    zero = F.lit(0).cast("long")
-    facts = {"text": F.when(gone, F.lit("")).otherwise(F.col("text")), "n_bytes": size,
-             "n_removed": F.when(gone, size).otherwise(zero), "n_spans": F.when(gone, F.lit(1).cast("long")).otherwise(zero),
-             "kept_sha256": F.sha2(F.when(gone, F.lit("")).otherwise(F.col("text")).cast("binary"), 256)}
-    copies = marked.where(~first).select(*[F.col(k).alias(c) for k, c in zip(own, keep)], *[facts[c].alias(c) for c in results])
-    texts = marked.where(first).select("text", *own, "__id")
-    cut = _remove_repeats(texts, own, with_text)
-    return cut.select(*[F.col(k).alias(c) for k, c in zip(own, keep)], *results).unionByName(copies)
+    # One verdict per distinct text, for the row of its smallest id; the rows meet it by digest, without their
+    # texts. A digest that very many rows hold is split by AQE: the verdict's side is one row.
+    verdict = _remove_repeats(rows.select("text", "__digest", "__id"), ["__digest"], with_text).withColumnRenamed("__id", "__low")
+    met = rows.select("__digest", "__id", *own).join(verdict, "__digest")
+    gone = (F.col("__id") != F.col("__low")) & (F.col("n_bytes") >= LENGTH)
+    whole = {"text": F.lit(""), "n_bytes": F.col("n_bytes"), "n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"),
+             "kept_sha256": F.lit(hashlib.sha256(b"").hexdigest())}
+    return met.select(*[F.col(k).alias(c) for k, c in zip(own, keep)],
+                      *[F.when(gone, whole[c]).otherwise(F.col(c)).alias(c) for c in results])
 
 
 def _remove_repeats(texts: DataFrame, own: list[str], with_text: bool) -> DataFrame:
-    """Rows of (text, own columns, __id) in which no two ids hold the same text."""
+    """One row per distinct text of (text, own columns, __id): the own columns
+    and id of its row with the smallest id, and what is cut from it there."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     total, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()
