@@ -1,5 +1,7 @@
 """Pages and searches through indexes equal those by sorting and scanning."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ def test_a_deep_page_reads_its_range_only(spark, tmp_dir):
     deep = table.page(19_000, 10)
     deep.collect()
     plan = deep._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "_range" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert len(deep.inputFiles()) <= len(table.page(0, n).inputFiles()) / 8
+    read = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert re.search(r"_range#\d+ (= \d+|IN \(\d+,\d+\))", read), read
 
 
 def test_pages_with_ties_nulls_and_an_empty_table(spark, tmp_dir):
