@@ -86,11 +86,18 @@ def _bucket(gram: Column) -> Column:
 def write_gram_index(df: DataFrame, root: str, id_col: str) -> None:
     """(gram, row id) of the lower-case texts of all columns, in folders by
     the gram's hash, sorted by gram: file statistics skip the rest.
-    ``id_col`` tells rows apart."""
+    ``id_col`` tells rows apart; rows of one id each write their grams.
+
+    A row's grams are made distinct in the row, and short rows are dealt out
+    before they become many grams each, so that no task holds the grams of a
+    large file. The grams are sorted in parts that Spark cuts to size."""
     texts = F.array(*[F.lower(F.col(f"`{c}`").cast("string")) for c in df.columns])
-    grams = (df.select(F.col(f"`{id_col}`").alias("row_id"), F.explode(texts).alias("t")).where("t is not null")
-             .select("row_id", F.explode(_grams(F.col("t"))).alias("gram")).distinct())
-    (grams.withColumn("_bucket", _bucket(F.col("gram"))).repartition("_bucket", F.pmod(F.xxhash64("row_id"), F.lit(8)))
+    rows = (df.select(F.col(f"`{id_col}`").alias("row_id"), texts.alias("texts"))
+            .repartition(default_parallelism(df.sparkSession), "row_id", "texts"))
+    of_row = F.array_distinct(F.flatten(F.transform("texts", _grams)))
+    grams = (rows.select("row_id", F.explode(of_row).alias("gram")).withColumn("_bucket", _bucket(F.col("gram")))
+             .withColumn("_slice", F.pmod(F.xxhash64("row_id"), F.lit(8))))
+    (grams.hint("rebalance", F.col("_bucket"), F.col("_slice")).drop("_slice")
      .sortWithinPartitions("_bucket", "gram").write.partitionBy("_bucket").parquet(root))
 
 
@@ -109,6 +116,6 @@ def search_indexed(df: DataFrame, root: str, id_col: str, search: str | None) ->
         wanted = sorted({s[k:k + GRAM] for k in range(len(s) - GRAM + 1)})
         buckets = [r[0] for r in spark.createDataFrame([(w,) for w in wanted], "g string").select(_bucket(F.col("g"))).distinct().collect()]
         found = (index.where(F.col("_bucket").isin(buckets) & F.col("gram").isin(wanted)).groupBy("row_id")
-                 .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("row_id"))
+                 .agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("row_id"))
     rows = df.join(found, df[f"`{id_col}`"].eqNullSafe(found["row_id"]), "left_semi")
     return search_filter(rows, search)

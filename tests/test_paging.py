@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from stockroom.operators import search_filter, table_page
@@ -42,3 +43,28 @@ def test_search_by_grams_equals_the_scan(spark, tmp_dir, needle):
     df = spark.createDataFrame(data, "id long, name string, n long, note string")
     write_gram_index(df, f"{tmp_dir}/g", "id")
     assert rows(search_indexed(df, f"{tmp_dir}/g", "id", needle)) == rows(search_filter(df, needle))
+
+
+def test_the_gram_index_holds_no_grams_of_a_file_in_a_task(spark, tmp_dir, monkeypatch):
+    spark.range(300).select("id", F.concat(F.lit("steel plate "), F.col("id")).alias("name")).coalesce(1).write.parquet(f"{tmp_dir}/t")
+    plans, parquet = [], DataFrameWriter.parquet
+
+    def noted(self, *args, **options):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return parquet(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    write_gram_index(spark.read.parquet(f"{tmp_dir}/t"), f"{tmp_dir}/g", "id")
+    (plan,) = plans
+    # No hash table of (gram, row id); the rows leave the file's tasks before they become grams.
+    assert "Aggregate" not in plan, plan
+    assert "Exchange" in plan.split("Generate")[-1], plan
+
+
+def test_search_by_grams_with_repeated_and_null_ids(spark, tmp_dir):
+    data = [(1, "Plate", None), (1, "plates", "plate"), (1, "plat", "late"), (1, "pla", None), (2, "late", None), (2, "pla", None),
+            (None, "PLATE", None), (None, "plate", "plate"), (None, None, None), (3, "", "x"), (4, "a plate", None), (4, "a plate", None)]
+    df = spark.createDataFrame(data, "id long, name string, note string")
+    write_gram_index(df, f"{tmp_dir}/g", "id")
+    for needle in ("plate", "late", "pl", "pla", "zzz"):
+        assert rows(search_indexed(df, f"{tmp_dir}/g", "id", needle)) == rows(search_filter(df, needle)), needle
